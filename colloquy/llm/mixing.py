@@ -11,11 +11,11 @@ that are left.
 
 The prefix sums need no sorted source in one task: keys fall into `KEY_BUCKETS`
 value ranges, the sums of the buckets give the boundary bucket of each source,
-and only that bucket is sorted.
+and only rows of one source and bucket are sorted together.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a
 source of its own, the last in order; a source of size 0 has target 0; equal
-keys are ordered by id; repeated ids share a key and are ordered by text.
+keys are ordered by id; repeated ids share a key and are ordered by a hash of the text.
 """
 
 from __future__ import annotations
@@ -72,7 +72,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None) -> DataFrame:
-    """Adds size, source_size, target, epochs and taken to each row of docs."""
+    """Adds size, source_size, target, epochs and taken to each row of docs; columns of these names are replaced."""
+    docs = docs.drop("size", "source_size", "target", "epochs", "taken")
     key = -F.log(uniform(F.col(id_column))) / (quality if quality is not None else quality_weight(F.col(text)))
     keyed = docs.withColumns({"_size": words_of(F.col(text)), "_key": key}).withColumn("_bucket", F.floor(F.lit(float(KEY_BUCKETS)) * (1 - F.exp(-F.col("_key")))).cast("int"))
     sums = checkpointed(keyed.groupBy(F.col(source).alias("source"), F.col("_bucket").alias("bucket")).agg(F.sum("_size").alias("words")))
@@ -84,12 +85,11 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     plan = plan.withColumnsRenamed({"source": "_source", "budget": "_budget"})
     at_boundary = F.col("_source").eqNullSafe(F.col("_b_source")) & (F.col("_b_start") <= F.col("_budget")) & (F.col("_b_start") + F.col("words") > F.col("_budget"))
     plan = plan.join(starts, at_boundary, "left").select("_source", "source_size", "target", "epochs", "_budget", "_b_bucket", "_b_start")
-    joined = keyed.join(plan, F.col(source).eqNullSafe(F.col("_source")), "left")
-    inside = F.col("_bucket") == F.col("_b_bucket")
-    first = W.partitionBy("_source", "_bucket").orderBy("_key", id_column, text).rowsBetween(W.unboundedPreceding, -1)
-    sure = joined.where(~F.coalesce(inside, F.lit(False))).withColumn("_extra", F.when(F.col("_b_bucket").isNull() | (F.col("_bucket") < F.col("_b_bucket")), F.col("_size")).otherwise(F.lit(0)))
-    close = joined.where(inside).withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_budget") - F.col("_b_start") - F.coalesce(F.sum("_size").over(first), F.lit(0)))))
-    out = sure.unionByName(close)
+    joined = keyed.withColumn("_tie", F.xxhash64(F.col(text))).join(plan, F.col(source).eqNullSafe(F.col("_source")), "left")
+    first = W.partitionBy("_source", "_bucket").orderBy("_key", id_column, "_tie").rowsBetween(W.unboundedPreceding, -1)
+    left = F.col("_budget") - F.col("_b_start") - F.coalesce(F.sum("_size").over(first), F.lit(0))
+    extra = F.when(F.col("_b_bucket").isNull() | (F.col("_bucket") < F.col("_b_bucket")), F.col("_size")).when(F.col("_bucket") == F.col("_b_bucket"), F.greatest(F.lit(0), F.least(F.col("_size"), left)))
+    out = joined.withColumn("_extra", F.coalesce(extra, F.lit(0)))
     taken = F.col("epochs") * F.col("_size") + F.when(F.col("_budget") > 0, F.col("_extra")).otherwise(F.lit(0))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_size").alias("size"), "source_size", "target", "epochs", taken.cast("bigint").alias("taken"))
 
