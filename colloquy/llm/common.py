@@ -82,3 +82,69 @@ def list_column(values: np.ndarray, counts: np.ndarray, type_: pa.DataType) -> p
     ends = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=ends[1:])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, type_))
+
+
+# Classes of bytes: white space as `[\x20\x09-\x0D]`.
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+
+_R = 0x9E3779B97F4A7C15
+_R_INVERSE = pow(_R, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def power(n: int, inverse: bool = False) -> np.ndarray:
+    """The first n powers of the hash base, or of its inverse, modulo 2 ** 64."""
+    base = _R_INVERSE if inverse else _R
+    if base not in _powers or len(_powers[base]) < n:
+        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        steps[0] = 1
+        _powers[base] = np.cumprod(steps)
+    return _powers[base][:n]
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words `[^\\x20\\x09-\\x0D]+` of every text: 64-bit hash with A-Z lower-cased, start, end, and row of each."""
+    if not len(data):
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
+    inside = ~SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begins[firsts] = inside[firsts]
+    starts = np.flatnonzero(begins)
+    lasts = inside.copy()
+    lasts[:-1] &= ~inside[1:]
+    lasts[firsts[1:] - 1] = inside[firsts[1:] - 1]
+    ends = np.flatnonzero(lasts) + 1
+    codes = odd_constants(256, 11)
+    codes[65:91] = codes[97:123]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(codes[data] * power(len(data)), out=sums[1:])
+    hashes = mix64((sums[ends] - sums[starts]) * power(len(data), True)[starts] + (ends - starts).astype(np.uint64))
+    return hashes, starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of `size` words of each row, sorted within it, and the number of each row.
+
+    A row with fewer words has one shingle, its whole sequence; one without words has none.
+    """
+    factors = odd_constants(size, 12)
+    counts = np.bincount(rows, minlength=n_rows)
+    first = np.concatenate([[0], np.cumsum(counts)])
+    n = max(0, len(hashes) - size + 1)
+    made = np.zeros(n, np.uint64)
+    for j in range(size):
+        made += hashes[j : j + n] * factors[j]
+    whole = rows[:n] == rows[size - 1 : size - 1 + n]
+    made, own = mix64(made[whole]), rows[:n][whole]
+    short = np.flatnonzero((counts > 0) & (counts < size))
+    if len(short):
+        extra = [mix64(np.array([np.sum(hashes[first[i] : first[i + 1]] * factors[: counts[i]]) + np.uint64(counts[i])], np.uint64))[0] for i in short.tolist()]
+        made, own = np.concatenate([made, np.array(extra, np.uint64)]), np.concatenate([own, short])
+        order = np.argsort(own, kind="stable")
+        made, own = made[order], own[order]
+    bounds = np.searchsorted(own, np.arange(n_rows + 1))
+    parts = [np.unique(made[bounds[i] : bounds[i + 1]]) for i in range(n_rows)]
+    return np.concatenate(parts) if parts else made, np.array([len(p) for p in parts], np.int64)

@@ -1,0 +1,40 @@
+"""Connected components of an edge table, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpointed
+
+MOST_ROUNDS = 64
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Link the neighbours of each node to the least of them and the node itself.
+
+    The large star links only neighbours greater than the node, the small star
+    only those smaller, with the node itself.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
+    linked = both.join(least, "a")
+    if large:
+        return linked.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    others = linked.where(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return others.unionByName(least.select("a", F.col("least").alias("b"))).where("a <> b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of the edges (a, b); component is the smallest node that can be reached."""
+    edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    for _ in range(MOST_ROUNDS):
+        edges = checkpointed(_star(_star(edges, True), False))
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+    else:
+        raise RuntimeError(f"components did not converge in {MOST_ROUNDS} rounds")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
