@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie.
 
 The vocabulary file gives pieces and scores; nothing is trained.  Scores are
-taken as log probabilities; a vocabulary whose scores are merge ranks (0, -1,
--2, ...) gets log probabilities from Zipf's law over these ranks.  Blanks are
+taken as log probabilities; a vocabulary whose scores are whole numbers (merge
+ranks) gets log probabilities from Zipf's law over the order of its scores.  Blanks are
 the white-space marker: a text is encoded with one blank in front, and decoding
 turns markers into blanks and drops the first.  Characters without a piece
 become byte pieces, as does a literal marker character in a text, so decoding
@@ -57,7 +57,7 @@ class DoubleArray:
         self.base, self.check, self.value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
         taken = bytearray(size)
         taken[0] = 1
-        free, several, queue = 1, 1, [(0, 0)]
+        free, several, queue = 257, 257, [(0, 0)]
         for node, state in queue:
             codes = sorted(children[node])
             if not codes:
@@ -97,9 +97,9 @@ class Vocabulary:
             raise ValueError("the vocabulary has no piece for some byte")
         used = [i for i, k in enumerate(kinds) if k == "normal" and not re.search(rb"[^ ] ", raw[i])]
         own = np.array([scores[i] for i in used])
-        ranks = np.sort(-own)
-        if len(own) and np.array_equal(ranks, np.arange(len(own)) + ranks[0]):
-            own = -np.log((1 - own) * np.sum(1 / np.arange(1, len(own) + 1)))
+        if len(own) and np.array_equal(own, np.round(own)):
+            ranks = np.argsort(np.argsort(-own, kind="stable"), kind="stable")
+            own = -np.log((ranks + 1) * np.sum(1 / np.arange(1, len(own) + 1)))
         self.ids, self.scores = np.array(used, np.int32), own
         self.byte_score = (own.min() if len(own) else 0.0) - BYTE_PENALTY
         self.trie = DoubleArray([raw[i] for i in used])

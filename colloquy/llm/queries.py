@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .media import op3_media
 from .mixing import op4_mixing
 from .neardup import op7_neardup
+from .pieces import op2_pieces
 from .quality import op10_quality
 from .repeats import op5_repeats
 from .urls import op8_urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_media, op4_mixing, op5_repeats, op7_neardup, op8_urls, op10_quality)}
+    return {f.__name__: f for f in (op2_pieces, op3_media, op4_mixing, op5_repeats, op7_neardup, op8_urls, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

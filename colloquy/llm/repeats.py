@@ -199,15 +199,21 @@ def _bucketed(rows: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, rows) with the removed spans of (doc_id, text), as structs (name: end, place: start, flag)."""
-    found = _bucketed(docs.mapInArrow(_initial, ROW))
+    found = _bucketed(docs.select("doc_id", "text").mapInArrow(_initial, ROW))
     for part in (PART, 1):
         found = _bucketed(docs.join(found.hint("shuffle_hash"), "doc_id").mapInArrow(_refined(part), ROW))
     return found
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, n_bytes, n_removed, spans, kept_sha256): text is what is left, without broken characters; spans are the removed byte ranges."""
-    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """(doc_id, text, rest, n_bytes, n_removed, spans, kept_sha256) of each document.
+
+    text is what is left, without broken characters; rest is a struct of the
+    other columns; spans are the removed byte ranges.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_column, text)]
+    rest = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), rest.alias("rest"))
     joined = rows.join(repeated_spans(rows).hint("shuffle_hash"), "doc_id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,9 +228,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                 rest = b"".join(raw[a:b] for a, b in zip(ends, [*[s for s, _ in spans], len(raw)], strict=True))
                 out.append((rest.decode(errors="ignore"), len(raw), len(raw) - len(rest), [{"start": s, "end": e} for s, e in spans], hashlib.sha256(rest).hexdigest()))
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], ["doc_id", "text", "n_bytes", "n_removed", "spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rest"), *[pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], ["doc_id", "rest", "text", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
-    return joined.mapInArrow(cut, "doc_id bigint, text string, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string")
+    return joined.mapInArrow(cut, f"doc_id bigint, rest {rows.schema['rest'].dataType.simpleString()}, text string, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string")
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
