@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .imatch import op9_imatch
+from .langid import op6_langid
 from .media import op3_media
 from .mixing import op4_mixing
 from .neardup import op7_neardup
@@ -16,7 +18,7 @@ from .urls import op8_urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pieces, op3_media, op4_mixing, op5_repeats, op7_neardup, op8_urls, op10_quality)}
+    return {f.__name__: f for f in (op2_pieces, op3_media, op4_mixing, op5_repeats, op6_langid, op7_neardup, op8_urls, op9_imatch, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
