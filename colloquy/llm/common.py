@@ -103,11 +103,14 @@ def power(n: int, inverse: bool = False) -> np.ndarray:
     return _powers[base][:n]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words `[^\\x20\\x09-\\x0D]+` of every text: 64-bit hash with A-Z lower-cased, start, end, and row of each."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of every text: 64-bit hash with A-Z lower-cased, start, end, and row of each.
+
+    `between` marks the bytes that separate words; by default a word is `[^\\x20\\x09-\\x0D]+`.
+    """
     if not len(data):
         return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
-    inside = ~SPACE[data]
+    inside = ~between[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     firsts = offsets[:-1][offsets[:-1] < offsets[1:]]

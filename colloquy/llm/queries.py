@@ -14,11 +14,12 @@ from .neardup import op7_neardup
 from .pieces import op2_pieces
 from .quality import op10_quality
 from .repeats import op5_repeats
+from .toxicity import op1_toxicity
 from .urls import op8_urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pieces, op3_media, op4_mixing, op5_repeats, op6_langid, op7_neardup, op8_urls, op9_imatch, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pieces, op3_media, op4_mixing, op5_repeats, op6_langid, op7_neardup, op8_urls, op9_imatch, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
