@@ -8,14 +8,18 @@ A null text counts as an empty text unless an operator says otherwise.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
+__all__ = ["checkpointed"]
+
 SLICE_BYTES = 4 << 20
 
 
@@ -23,15 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through spark.checkpoint.dir; a private folder only where none is set."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="colloquy-"))
-    return df.checkpoint(eager=True)
-
-
 def crc_mod(column: str, divisor: int):
     """crc32 of the id as text, modulo: the split of held-out rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
@@ -50,11 +45,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about `most` bytes of text each (a longer text comes alone)."""
+    """Slices of the batches with about `most` bytes of text each (a longer text comes alone).
+
+    The column holds the texts, or their sizes.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offsets = utf8(batch.column(column))
+        found = batch.column(column)
+        offsets = np.concatenate([[0], np.cumsum(found.to_numpy(zero_copy_only=False))]) if pa.types.is_integer(found.type) else utf8(found)[1]
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1
@@ -63,6 +62,25 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLIC
             start = end
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, packed, rest): texts compressed, since they are dealt out by id."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in text_slices(batches, "text"):
+            raw = batch.column("text").cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([squeeze.compress(x) for x in raw], pa.binary()), batch.column("rest")], ["doc_id", "n_bytes", "packed", "rest"])
+
+    return docs.mapInArrow(pack, f"doc_id bigint, n_bytes bigint, packed binary, rest {docs.schema['rest'].dataType.simpleString()}")
+
+
+def unpacked(batches: Iterable[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices as of `text_slices`, with their texts."""
+    open_ = zstandard.ZstdDecompressor()
+    for batch in text_slices(batches, "n_bytes", most):
+        yield batch, [open_.decompress(x) if n else b"" for x, n in zip(batch.column("packed").to_pylist(), batch.column("n_bytes").to_pylist(), strict=True)]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over a 64-bit hash."""
     x = x ^ (x >> np.uint64(32))

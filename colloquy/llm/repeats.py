@@ -13,8 +13,8 @@ as far as they can still hold equal strings:
    bytes.  A block equal to an earlier one is settled: all its windows go.  A
    block alone in its bucket is settled: all its windows stay.
 3. First occurrences in buckets that still hold different blocks are refined
-   again: each block is cut into parts of `PART` windows, whose bucket is what
-   all windows of the part share; then into single windows.  Settled blocks
+   again: each block is cut into parts of fewer and fewer windows (`PARTS`), whose bucket
+   is what all windows of the part share, down to single windows.  Settled blocks
    take no part, and each round names its buckets from the same prefix sums.
 
 An identifier is a 64-bit hash, compared only inside one bucket.  Each task first
@@ -37,14 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix64, odd_constants, power, table, text_slices, utf8
+from .common import mix64, odd_constants, packed, power, table, text_slices, unpacked, utf8
 
 LENGTH = 100
 GRAM = 24
-PART = 8
+PARTS = (16, 4, 1)
 SLICE = 2 << 20
-REMOVED, OPEN = 1, 2
-ROW = "route bigint, name bigint, doc_id bigint, place bigint, flag int"
+# Bits of `place`, which packs the first window (from bit 16), the number of windows less one, and the place of the q-gram.
+OPEN, REMOVED = 1 << 15, 1 << 7
+ROW = "route bigint, name bigint, doc_id bigint, place bigint"
 
 
 class Names:
@@ -91,8 +92,7 @@ def blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 def settle(doc: np.ndarray, first: np.ndarray, last: np.ndarray, gram: np.ndarray, bucket: np.ndarray, name: np.ndarray, spans: tuple | None = None) -> pa.RecordBatch:
     """Rows of ROW: what repeats within this slice is marked as removed, the rest is routed to its bucket.
 
-    `place` packs the first window, the number of windows and the place of the
-    q-gram; of a removed span, route is a hash of the id, name its end, place its start.
+    Of a removed span, route is a hash of the id, name its end, and place its start.
     """
     order = np.lexsort((first, doc, name, bucket))
     doc, first, last, gram, bucket, name = (x[order] for x in (doc, first, last, gram, bucket, name))
@@ -108,12 +108,11 @@ def settle(doc: np.ndarray, first: np.ndarray, last: np.ndarray, gram: np.ndarra
     number = names_before - names_before[np.maximum.accumulate(np.where(new_bucket, np.arange(len(doc)), 0))]
     spread = number[keep] >= 2
     route = np.where(spread, mix64(bucket[keep] ^ mix64(name[keep])), bucket[keep])
-    columns = [[route.view(np.int64)], [name[keep].view(np.int64)], [doc[keep]], [place[keep]], [np.where(spread, OPEN, 0)]]
+    columns = [[route.view(np.int64)], [name[keep].view(np.int64)], [doc[keep]], [place[keep] | np.where(spread, OPEN, 0)]]
     gone = merged(np.concatenate([doc[copy], spans[0]]) if spans else doc[copy], np.concatenate([first[copy], spans[1]]) if spans else first[copy], np.concatenate([last[copy] + LENGTH, spans[2]]) if spans else last[copy] + LENGTH)
-    for column, more in zip(columns, (mix64(gone[0].view(np.uint64)).view(np.int64), gone[2], gone[0], gone[1], np.full(len(gone[0]), REMOVED)), strict=True):
+    for column, more in zip(columns, (mix64(gone[0].view(np.uint64)).view(np.int64), gone[2], gone[0], (gone[1] << 16) | REMOVED), strict=True):
         column.append(more)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(columns, kinds, strict=True)], ["route", "name", "doc_id", "place", "flag"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], ["route", "name", "doc_id", "place"])
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,17 +147,17 @@ def _refined(part: int):
     """Cut open blocks into parts of `part` windows (1: single windows) and settle these."""
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", SLICE):
-            data, offsets = utf8(batch.column("text"))
+        for batch, texts in unpacked(batches, SLICE):
+            data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
             docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
             rows = batch.column("rows")
             owner = np.repeat(np.arange(len(docs)), rows.value_lengths().to_numpy(zero_copy_only=False))
             found = rows.flatten()
-            name, place, flag = (found.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            gone = flag == REMOVED
-            spans = (docs[owner[gone]], place[gone], name[gone])
+            end, place = (found.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            gone = end > 0
+            spans = (docs[owner[gone]], place[gone] >> 16, end[gone])
             owner, place = owner[~gone], place[~gone]
-            first, count, reach = place >> 16, ((place >> 8) & 255) + 1, place & 255
+            first, count, reach = place >> 16, ((place >> 8) & 127) + 1, place & 127
             # Windows, by their distance before the q-gram: parts are aligned on it, so that they match between blocks.
             windows = np.repeat(np.arange(len(first)), count)
             step = np.arange(len(windows)) - np.repeat(np.cumsum(count) - count, count)
@@ -184,24 +183,22 @@ def _bucketed(rows: DataFrame) -> DataFrame:
     """(doc_id, rows): removed spans and blocks that are still open, of each document that has any."""
     same = W.partitionBy("route", "name").orderBy("doc_id", "place")
     bucket = W.partitionBy("route")
-    removed = F.col("flag") == REMOVED
+    removed = F.col("place").bitwiseAND(F.lit(REMOVED)) != 0
     seen = rows.withColumns({"_doc": F.first("doc_id").over(same), "_place": F.first("place").over(same)})
     seen = seen.withColumns({"_low": F.min("name").over(bucket), "_high": F.max("name").over(bucket)})
-    copy = ~removed & ((F.col("doc_id") != F.col("_doc")) | (F.shiftright("place", 16) != F.shiftright("_place", 16)))
-    still_open = ~removed & ((F.col("flag") == OPEN) | (F.col("_low") != F.col("_high")))
     first = F.shiftright("place", 16)
-    end = first + F.shiftright("place", 8).bitwiseAND(F.lit(255)) + LENGTH
-    kept = seen.where(removed | copy | still_open).select(
-        "doc_id", F.struct(F.when(copy, end).otherwise(F.col("name")).alias("name"), F.when(copy, first).otherwise(F.col("place")).alias("place"), F.when(removed | copy, REMOVED).otherwise(OPEN).alias("flag")).alias("row")
-    )
+    copy = ~removed & ((F.col("doc_id") != F.col("_doc")) | (first != F.shiftright("_place", 16)))
+    still_open = ~removed & ((F.col("place").bitwiseAND(F.lit(OPEN)) != 0) | (F.col("_low") != F.col("_high")))
+    end = F.when(removed, F.col("name")).when(copy, first + F.shiftright("place", 8).bitwiseAND(F.lit(127)) + LENGTH).otherwise(0)
+    kept = seen.where(removed | copy | still_open).select("doc_id", F.struct(end.alias("end"), "place").alias("row"))
     return kept.groupBy("doc_id").agg(F.collect_list("row").alias("rows"))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, rows) with the removed spans of (doc_id, text), as structs (name: end, place: start, flag)."""
+def repeated_spans(docs: DataFrame, small: DataFrame) -> DataFrame:
+    """(doc_id, rows) with the removed spans of (doc_id, text), as structs (end, place); small is packed(docs)."""
     found = _bucketed(docs.select("doc_id", "text").mapInArrow(_initial, ROW))
-    for part in (PART, 1):
-        found = _bucketed(docs.join(found.hint("shuffle_hash"), "doc_id").mapInArrow(_refined(part), ROW))
+    for part in PARTS:
+        found = _bucketed(small.join(found.hint("shuffle_hash"), "doc_id").mapInArrow(_refined(part), ROW))
     return found
 
 
@@ -214,16 +211,17 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_column, text)]
     rest = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), rest.alias("rest"))
-    joined = rows.join(repeated_spans(rows).hint("shuffle_hash"), "doc_id", "left")
+    small = packed(rows)
+    joined = small.join(repeated_spans(rows, small).hint("shuffle_hash"), "doc_id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", SLICE):
+        for batch, texts in unpacked(batches, SLICE):
             out = []
-            for raw, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("rows"), strict=True):
+            for raw, found in zip(texts, batch.column("rows"), strict=True):
                 spans = []
                 if found.is_valid:
-                    end, start = (found.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                    spans = list(zip(*(x.tolist() for x in merged(np.zeros(len(start), np.int64), start, end)[1:]), strict=True))
+                    end, place = (found.values.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+                    spans = list(zip(*(x.tolist() for x in merged(np.zeros(len(place), np.int64), place >> 16, end)[1:]), strict=True))
                 ends = [0, *[e for _, e in spans]]
                 rest = b"".join(raw[a:b] for a, b in zip(ends, [*[s for s, _ in spans], len(raw)], strict=True))
                 out.append((rest.decode(errors="ignore"), len(raw), len(raw) - len(rest), [{"start": s, "end": e} for s, e in spans], hashlib.sha256(rest).hexdigest()))
