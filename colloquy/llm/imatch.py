@@ -30,7 +30,7 @@ LOW, HIGH = 0.002, 0.05
 SUBSETS = 30
 ONE_IN = 64
 SLOTS = 1 << 15
-#: 64-bit hashes hold 10 choices of 6 bits each.
+#: Subsets of one draw: classes of the terms by a random hash, so disjoint.
 CHOICES = 10
 
 
@@ -55,12 +55,21 @@ def hashes_of(text: Column, slots: Column) -> Column:
     """One hash for each subset, null where it holds no term of the text."""
     known = F.array_sort(F.filter(terms_of(text), lambda t: F.array_contains(F.get(slots, F.pmod(t, F.lit(SLOTS))), t)))
 
-    def subset(terms: Column, k: int) -> Column:
-        mine = F.filter(terms, lambda t: F.shiftright(F.xxhash64(t, F.lit(k // CHOICES)), 6 * (k % CHOICES)).bitwiseAND(F.lit(ONE_IN - 1)) == 0)
-        return F.when(F.size(mine) > 0, F.xxhash64(mine, F.lit(k)))
+    def classes(terms: Column, draw: int) -> Column:
+        """Hashes of the first CHOICES classes of one draw, over its chosen terms."""
 
-    # The sorted terms are bound once for all subsets.
-    return F.transform(F.array(known), lambda terms: F.array(*[subset(terms, k) for k in range(SUBSETS)]))[0]
+        def hashed(c: int) -> Column:
+            mine = F.filter(terms, lambda t: F.pmod(F.xxhash64(t, F.lit(draw)), F.lit(ONE_IN)) == c)
+            return F.when(F.size(mine) > 0, F.xxhash64(mine, F.lit(draw * ONE_IN + c)))
+
+        return F.array(*[hashed(c) for c in range(CHOICES)])
+
+    def draw_of(terms: Column, draw: int) -> Column:
+        chosen = F.filter(terms, lambda t: F.pmod(F.xxhash64(t, F.lit(draw)), F.lit(ONE_IN)) < CHOICES)
+        return F.transform(F.array(chosen), lambda mine: classes(mine, draw))[0]
+
+    # A list of one binds the sorted terms once for all draws.
+    return F.transform(F.array(known), lambda terms: F.concat(*[draw_of(terms, d) for d in range(SUBSETS // CHOICES)]))[0]
 
 
 def fingerprint_of(hashes: Column, text: Column) -> Column:
