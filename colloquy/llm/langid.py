@@ -68,6 +68,7 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     row = np.repeat(np.arange(n), np.diff(offsets))[(data & 0xC0) != 0x80]
     code = letter_codes()[points]
     keep = code > 0
+    keep[:1] = True
     keep[1:] |= (code[:-1] > 0) | (row[1:] != row[:-1])
     code, row = code[keep], row[keep]
     if len(code) < 3:
