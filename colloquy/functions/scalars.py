@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Names of secret fields, and the patterns of secrets in texts.
 SECRET_FIELDS = (
@@ -26,13 +27,13 @@ STATUS_ORDER = {"failed": 0, "unsupported": 1, "partial": 2, "complete": 3}
 PREVIEW = 120
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(text: pd.Series) -> pd.Series:
     """Full Unicode case folding, which `lower` is not (for instance of the sharp s)."""
     return text.map(str.casefold, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(value: pd.Series) -> pd.Series:
     """JSON text with sorted keys and without blanks; text that is no JSON stays as it is."""
 
@@ -45,7 +46,7 @@ def canonical_json(value: pd.Series) -> pd.Series:
     return value.map(canonical, na_action="ignore")
 
 
-@F.pandas_udf("struct<value:string,events:bigint>")
+@F.pandas_udf(T.StructType([T.StructField("value", T.StringType()), T.StructField("events", T.LongType())]))
 def redact_json(value: pd.Series) -> pd.DataFrame:
     """Redact a JSON object by the names of its fields and the texts of its values, at any depth."""
     import re
