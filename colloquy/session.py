@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through spark.checkpoint.dir; a private folder only where none is set."""
+    """Cut lineage through spark.checkpoint.dir; a private folder only where none is set.
+
+    What no frame needs any more is then given back: Spark deletes shuffle and
+    checkpoint files when the driver collects the objects that stand for them,
+    which in a job of many short steps would come too late for the disks.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="colloquy-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    gc.collect()
+    context._jvm.System.gc()
+    return kept
