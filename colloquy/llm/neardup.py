@@ -8,11 +8,15 @@ population count of the XOR of two sketches estimates their similarity.
 Candidates far below the threshold by size or by sketch go; all others are
 confirmed on the full sets.
 
-Within a bucket no pairs are listed.  First each member is compared with the
-bucket's smallest member; the confirmed links form components.  Only buckets
+Within a bucket no pairs are listed.  First each member is compared with one
+pivot, the member that shares most buckets with others, which is the centre of a
+group of copies; confirmed links form components.  Only buckets
 with members of several components are looked at again: members outside the
 bucket's most frequent component are compared with the members of other
-components.  Links within a component can add nothing and are not looked for.
+components.  Links within a component can add nothing and are not looked for,
+and a shingle that occurs in one component only cannot be part of a link between
+two; the same holds of a class and what a bucket's most frequent component does
+not contain.  Classes and pairs whose other shingles are too few are left out.
 
 Defined results: a null text or one without words has an empty set and is linked
 with nothing; a text of one to four words has its whole sequence as the one
@@ -29,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, list_column, mix64, odd_constants, shingles, table, text_slices, utf8, words
-from .components import components
+from ..operators.graph import components
+from .common import checkpointed, list_column, mix64, odd_constants, packed, shingles, table, text_slices, unpacked, utf8, words
 
 BANDS = 40
 BAND_ROWS = 4
 MINHASHES = BANDS * BAND_ROWS
 SKETCH_BITS = 512
-SKETCH_FLOOR = 0.4
+SKETCH_FLOOR = 0.57
 SLICE = 1 << 20
 
 
@@ -93,15 +97,15 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles) from (doc_id, text)."""
+    """(doc_id, shingles) from (doc_id, n_bytes, packed)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", SLICE):
-            hashes, _, _, rows = words(*utf8(batch.column("text")))
+        for batch, texts in unpacked(batches, SLICE):
+            hashes, _, _, rows = words(*utf8(pa.array(texts, pa.binary())))
             values, counts = shingles(hashes, rows, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_column(values.view(np.int64), counts, pa.int64())], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id bigint, shingles array<bigint>")
+    return docs.select("doc_id", "n_bytes", "packed").mapInArrow(sets, "doc_id bigint, shingles array<bigint>")
 
 
 def may_link(n: tuple[Column, Column], threshold: int) -> Column:
@@ -124,38 +128,81 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.where(common * 100 >= (F.size("_sa") + F.size("_sb") - common) * threshold).select("a", "b")
 
 
+def cross_counts(labelled: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, cross): how many shingles of each class occur in another component too.
+
+    No link to another component can have more shingles in common.
+    """
+    own = labelled.select("rep", "component").distinct()
+    held = sets.join(own, sets["doc_id"] == own["rep"]).select("rep", "component", F.explode("shingles").alias("shingle"))
+    shared = held.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+    return held.join(shared, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("cross"))
+
+
+def by_sketch(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those that their sketches leave possible."""
+    both = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("_a")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("_b")), "b")
+    return both.where(sketch_similarity(F.col("_a"), F.col("_b")) >= SKETCH_FLOOR).select("a", "b")
+
+
+def by_pivot(members: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of each bucket's most popular member with its other members."""
+    pivots = members.groupBy("key").agg(F.max(F.struct("popularity", "rep", "n")).alias("pivot"))
+    pairs = members.join(pivots, "key").where((F.col("rep") != F.col("pivot.rep")) & may_link((F.col("n"), F.col("pivot.n")), threshold))
+    return pairs.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
+
+
+def main_counts(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, main, held): how many shingles of a class occur in the main component of a bucket that it is in."""
+    mains = rows.where("component = main").select("rep", "main").distinct()
+    theirs = sets.join(mains, sets["doc_id"] == mains["rep"]).select("main", F.explode("shingles").alias("shingle")).distinct()
+    asked = rows.where("component <> main").select("rep", "main").distinct()
+    own = sets.join(asked, sets["doc_id"] == asked["rep"]).select("rep", "main", F.explode("shingles").alias("shingle"))
+    return own.join(theirs, ["main", "shingle"], "left_semi").groupBy("rep", "main").agg(F.count("*").alias("held"))
+
+
+def across(labelled: DataFrame, sets: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of one bucket and different components that can be similar, by what they can have in common and by their sketches.
+
+    A pair of several common buckets comes from the one of least key.
+    """
+    main = labelled.groupBy("key", "component").agg(F.count("*").alias("many")).groupBy("key").agg(F.max_by("component", F.struct("many", "component")).alias("main"))
+    rows = labelled.join(main, "key").join(classes.select("rep", "bands", "sketch"), "rep")
+    asking = rows.where("component <> main").join(main_counts(rows, sets), ["rep", "main"], "left")
+    asking = asking.select("key", *[F.col(c).alias(f"q_{c}") for c in ("rep", "n", "cross", "component", "held", "bands", "sketch")])
+    of_main = F.col("component") == F.col("main")
+    other = (F.col("component") != F.col("q_component")) & (of_main | (F.col("rep") < F.col("q_rep")))
+    common = F.least("cross", "q_cross", F.when(of_main, F.coalesce("q_held", F.lit(0))))
+    near = common * 100 >= (F.col("n") + F.col("q_n") - common) * threshold
+    alike = sketch_similarity(F.col("sketch"), F.col("q_sketch")) >= SKETCH_FLOOR
+    once = F.array_min(F.array_intersect("bands", "q_bands")) == F.col("key")
+    return rows.join(asking, "key").where(other & near & alike & once).select(F.least("rep", "q_rep").alias("a"), F.greatest("rep", "q_rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each document."""
     signed = checkpointed(signatures(docs, id_column, text))
     classes = signed.where("n > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = checkpointed(classes)
     members = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("pivot"), F.count("*").alias("many")).where("many > 1")
-    members = checkpointed(members.join(shared.select("key", "pivot"), "key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    members = checkpointed(members.join(shared, "key"))
+    popular = members.groupBy("rep").agg(F.sum("many").alias("popularity"))
+    members = checkpointed(members.join(popular, "rep").select("key", "rep", "n", "popularity"))
     sketches = classes.select("rep", "sketch")
+    texts = packed(docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(F.lit(0).alias("none")).alias("rest")))
+    sets = checkpointed(shingle_sets(texts.join(popular.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")))
 
-    first = members.where(F.col("rep") != F.col("pivot.rep")).where(may_link((F.col("n"), F.col("pivot.n")), threshold)).select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    first = first.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("_a")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("_b")), "b")
-    first = checkpointed(first.where(sketch_similarity(F.col("_a"), F.col("_b")) >= SKETCH_FLOOR).select("a", "b"))
-
-    texts = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = checkpointed(shingle_sets(texts.join(wanted, "doc_id", "left_semi")))
-    edges = checkpointed(confirmed(first, sets, threshold))
-    parts = checkpointed(components(edges))
-
-    labelled = members.select("key", "rep", "n").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    tried = checkpointed(by_sketch(by_pivot(members, threshold), sketches))
+    edges = checkpointed(confirmed(tried, sets, threshold))
+    parts = components(edges)
+    labelled = members.drop("popularity").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    labelled = checkpointed(labelled.join(mixed, "key", "left_semi").join(sketches, "rep"))
-    main = labelled.groupBy("key", "component").agg(F.count("*").alias("many")).groupBy("key").agg(F.max_by("component", F.struct("many", "component")).alias("main"))
-    labelled = labelled.join(main, "key")
-    asking = labelled.where("component <> main").select("key", *[F.col(c).alias(f"q_{c}") for c in ("rep", "n", "component", "sketch")])
-    other = (F.col("component") != F.col("q_component")) & ((F.col("component") == F.col("main")) | (F.col("rep") < F.col("q_rep")))
-    near = may_link((F.col("n"), F.col("q_n")), threshold) & (sketch_similarity(F.col("sketch"), F.col("q_sketch")) >= SKETCH_FLOOR)
-    second = labelled.join(asking, "key").where(other & near).select(F.least("rep", "q_rep").alias("a"), F.greatest("rep", "q_rep").alias("b")).distinct()
-    second = second.join(first, ["a", "b"], "left_anti")
-    found = edges.unionByName(confirmed(second, sets, threshold))
-    parts = checkpointed(components(found))
+    labelled = checkpointed(labelled.join(mixed, "key", "left_semi"))
+
+    labelled = checkpointed(labelled.join(cross_counts(labelled, sets), "rep").where(F.col("cross") * 100 >= F.col("n") * threshold))
+    second = across(labelled, sets, classes, threshold).join(tried, ["a", "b"], "left_anti")
+    parts = components(edges.unionByName(confirmed(second, sets, threshold)))
 
     owners = classes.select("set_a", "set_b", "rep").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n", "set_a", "set_b").join(owners, ["set_a", "set_b"], "left")
