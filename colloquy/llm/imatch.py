@@ -8,7 +8,9 @@ texts are as alike as the share of equal hashes among those subsets that hold a
 term of either.
 
 The number of lexicon terms is at most (mean distinct terms of a document) /
-`LOW`, whatever the number of documents; they travel as one constant.
+`LOW`, whatever the number of documents, which bounds the broadcast table of
+terms and subsets.  Words meet that table as rows, so that splitting, hashing
+and looking up run as generated code; a text's rows stay in its own task.
 
 Defined results: a null text is an empty one; a text without any chosen term has
 a fingerprint of its whole text, like another only if equal; an only document is
@@ -18,8 +20,6 @@ those of the next id.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,52 +29,56 @@ from .common import checkpointed, table
 LOW, HIGH = 0.002, 0.05
 SUBSETS = 30
 ONE_IN = 64
-SLOTS = 1 << 15
 #: Subsets of one draw: classes of the terms by a random hash, so disjoint.
 CHOICES = 10
+#: A subset's number gives its draw and its class.
+NUMBERS = tuple(d * ONE_IN + c for d in range(SUBSETS // CHOICES) for c in range(CHOICES))
+#: Stands for the text itself among its words, so that each text has a row.
+WHOLE = -1
 
 
-def terms_of(text: Column) -> Column:
-    """Distinct hashes of the runs of letters and digits, lower-cased."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
-
+def words_of(text: Column) -> Column:
+    """Runs of letters and digits, lower-cased; an empty string may come first or last."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
-def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH) -> Column:
-    """Arrays of term hashes, by their remainder modulo SLOTS, as one constant."""
-    n = docs.count()
-    often = docs.select(F.explode(terms_of(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
-    chosen = often.where((F.col("docs") >= F.lit(low) * n) & (F.col("docs") < F.lit(high) * n)).select("term")
-    slots: list[list[int]] = [[] for _ in range(SLOTS)]
-    for row in chosen.toLocalIterator():
-        slots[row.term % SLOTS].append(row.term)
-    return F.from_json(F.lit(json.dumps([sorted(x) for x in slots], separators=(",", ":"))), "array<array<bigint>>")
 
+def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
+    """(term, subset): the hashes of the terms in the band, once for each subset that holds them.
 
-def hashes_of(text: Column, slots: Column) -> Column:
-    """One hash for each subset, null where it holds no term of the text."""
-    known = F.array_sort(F.filter(terms_of(text), lambda t: F.array_contains(F.get(slots, F.pmod(t, F.lit(SLOTS))), t)))
+    The empty term has one row, with the subset WHOLE.
+    """
+    n = docs.count()
+    words = docs.select(F.explode(F.array_distinct(words_of(F.col(text)))).alias("word")).where("word <> ''")
+    often = words.groupBy(F.xxhash64("word").alias("term")).agg(F.count("*").alias("docs"))
+    chosen = often.where((F.col("docs") >= F.lit(low) * n) & (F.col("docs") < F.lit(high) * n))
+    draws = chosen.select("term", F.explode(F.array(*[F.lit(d) for d in range(SUBSETS // CHOICES)])).alias("draw"))
+    classes = draws.select("term", "draw", F.pmod(F.xxhash64("term", "draw"), F.lit(ONE_IN)).cast("int").alias("class")).where(F.col("class") < CHOICES)
+    held = classes.select("term", (F.col("draw") * ONE_IN + F.col("class")).alias("subset"))
+    return checkpointed(held.unionByName(docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit(WHOLE).alias("subset"))))
 
-    def classes(terms: Column, draw: int) -> Column:
-        """Hashes of the first CHOICES classes of one draw, over its chosen terms."""
 
-        def hashed(c: int) -> Column:
-            mine = F.filter(terms, lambda t: F.pmod(F.xxhash64(t, F.lit(draw)), F.lit(ONE_IN)) == c)
-            return F.when(F.size(mine) > 0, F.xxhash64(mine, F.lit(draw * ONE_IN + c)))
+def hashes_of(texts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, found) of rows (keys, text) whose keys are unique: structs (subset, hash) of the subsets that hold a term of the text.
 
-        return F.array(*[hashed(c) for c in range(CHOICES)])
+    Rows that are dealt out by a key are not dealt out again.
+    """
+    words = texts.select(*keys, F.explode(F.concat(words_of(F.col("text")), F.array(F.lit("")))).alias("word"))
+    known = words.select(*keys, F.xxhash64("word").alias("term")).join(F.broadcast(terms), "term")
+    each = known.groupBy(*keys, "subset").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    hashed = each.select(*keys, F.when(F.col("subset") != WHOLE, F.struct("subset", F.xxhash64("terms", "subset").alias("hash"))).alias("own"))
+    return hashed.groupBy(*keys).agg(F.collect_list("own").alias("found"))
 
-    def draw_of(terms: Column, draw: int) -> Column:
-        chosen = F.filter(terms, lambda t: F.pmod(F.xxhash64(t, F.lit(draw)), F.lit(ONE_IN)) < CHOICES)
-        return F.transform(F.array(chosen), lambda mine: classes(mine, draw))[0]
 
-    # A list of one binds the sorted terms once for all draws.
-    return F.transform(F.array(known), lambda terms: F.concat(*[draw_of(terms, d) for d in range(SUBSETS // CHOICES)]))[0]
+def by_subset(found: Column) -> Column:
+    """One hash for each subset, null where it holds no term of the text."""
+    known = F.map_from_entries(found)
+    return F.transform(F.array(*[F.lit(k) for k in NUMBERS]), lambda s: F.try_element_at(known, s))
 
 
-def fingerprint_of(hashes: Column, text: Column) -> Column:
+def fingerprint_of(hashes: Column, sha: Column) -> Column:
+    """The subsets' hashes as text; sha is the digest of the text, for one without any."""
     parts = F.transform(hashes, lambda h: F.coalesce(F.substring(F.lpad(F.hex(h), 16, "0"), 9, 8), F.lit("-")))
-    return F.when(F.exists(hashes, lambda h: h.isNotNull()), F.array_join(parts, ".")).otherwise(F.concat(F.lit("text:"), F.sha2(text, 256)))
+    return F.when(F.exists(hashes, lambda h: h.isNotNull()), F.array_join(parts, ".")).otherwise(F.concat(F.lit("text:"), sha))
 
 
 def likeness(a: Column, a_print: Column, b: Column, b_print: Column) -> Column:
@@ -100,31 +104,43 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return found.select("doc_id", "n", F.coalesce("following", "after").alias("next_id"))
 
 
-def with_next(docs: DataFrame, slots: Column) -> DataFrame:
-    """(doc_id, text, n_chars, fingerprint, edited, edited_fingerprint, near_edited, near_next) of (doc_id, text).
+def edited_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, n_chars, edited, next_id, next_sha) of (doc_id, text), dealt out by doc_id.
 
-    The edited text has its last quarter replaced by the beginning of the next document.
+    The edited text has its last quarter replaced by the beginning of the next document; next_sha is the digest of that one's text.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     follow = checkpointed(next_ids(rows.select("doc_id", F.length("text").alias("n"))))
-    printed = rows.withColumn("hashes", hashes_of(F.col("text"), slots)).repartition("doc_id")
+    dealt = rows.repartition("doc_id")
     asked = follow.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), F.floor(F.col("n") / 4).cast("int").alias("quarter"))
-    tails = printed.join(asked.distinct(), "doc_id").select(
-        F.col("for_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("quarter")).alias("tail"), F.col("hashes").alias("next_hashes"), fingerprint_of(F.col("hashes"), F.col("text")).alias("next_print")
+    tails = dealt.join(asked.distinct(), "doc_id").select(
+        F.col("for_id").alias("doc_id"), F.col("doc_id").alias("next_id"), F.sha2("text", 256).alias("next_sha"), F.substring("text", F.lit(1), F.col("quarter")).alias("tail")
     )
-    joined = printed.join(tails, "doc_id").withColumn("n_chars", F.length("text").cast("bigint"))
+    joined = dealt.join(tails, "doc_id").withColumn("n_chars", F.length("text").cast("bigint"))
     kept = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
-    edited = joined.withColumn("edited", F.concat(F.substring("text", F.lit(1), kept), "tail"))
-    edited = edited.withColumn("edited_hashes", hashes_of(F.col("edited"), slots))
-    out = edited.withColumns({"fingerprint": fingerprint_of(F.col("hashes"), F.col("text")), "edited_fingerprint": fingerprint_of(F.col("edited_hashes"), F.col("edited"))})
+    return joined.select("doc_id", "text", "n_chars", F.concat(F.substring("text", F.lit(1), kept), "tail").alias("edited"), "next_id", "next_sha")
+
+
+def with_next(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of (doc_id, text), against `edited_texts` and the next document."""
+    edited = edited_texts(docs).withColumn("row", F.monotonically_increasing_id())
+    texts = edited.select("doc_id", "row", "n_chars", "next_id", "next_sha", F.posexplode(F.array("text", "edited")).alias("which", "text"))
+    keys = ["doc_id", "row", "n_chars", "next_id", "next_sha", "which", "sha"]
+    found = hashes_of(texts.withColumn("sha", F.sha2("text", 256)), terms, keys)
+    same = ["doc_id", "row", "n_chars", "next_id", "next_sha"]
+    of = lambda column, which: F.max(F.when(F.col("which") == which, F.col(column)))
+    both = checkpointed(found.groupBy(*same).agg(of("sha", 0).alias("sha"), of("sha", 1).alias("edited_sha"), of("found", 0).alias("found"), of("found", 1).alias("edited_found")))
+    following = both.groupBy(F.col("doc_id").alias("next_id"), F.col("sha").alias("next_sha")).agg(F.max("found").alias("next_found"))
+    out = both.join(following, ["next_id", "next_sha"])
+    out = out.withColumns({"hashes": by_subset(F.col("found")), "edited_hashes": by_subset(F.col("edited_found")), "next_hashes": by_subset(F.col("next_found"))})
+    out = out.withColumns({f"{x}print": fingerprint_of(F.col(f"{x}hashes"), F.col(f"{x}sha")) for x in ("", "edited_", "next_")})
     return out.select(
-        "doc_id", "text", "n_chars", "fingerprint", "edited", "edited_fingerprint",
-        likeness(F.col("hashes"), F.col("fingerprint"), F.col("edited_hashes"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("hashes"), F.col("fingerprint"), F.col("next_hashes"), F.col("next_print")).alias("near_next"),
+        "doc_id", "n_chars", F.col("edited_sha").alias("edited_sha256"), F.col("print").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"),
+        likeness(F.col("hashes"), F.col("print"), F.col("edited_hashes"), F.col("edited_print")).alias("near_edited"),
+        likeness(F.col("hashes"), F.col("print"), F.col("next_hashes"), F.col("next_print")).alias("near_next"),
     )
 
 
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = with_next(docs, lexicon(docs))
-    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return with_next(docs, lexicon(docs))

@@ -119,10 +119,13 @@ def test_fingerprints(docs, texts, empty):
     ids = sorted(texts)
     own = docs.select("doc_id", "text")
     found = {r.doc_id: r for r in imatch.with_next(own, imatch.lexicon(own, low=0.02, high=0.5)).collect()}
+    edited = {r.doc_id: r.edited for r in imatch.edited_texts(own).collect()}
+    assert found.keys() == edited.keys() == set(ids)
     for k, i in enumerate(ids):
         text, after = texts[i] or "", texts[ids[(k + 1) % len(ids)]] or ""
         quarter = len(text) // 4
-        assert (found[i].n_chars, found[i].edited) == (len(text), text[: len(text) - quarter] + after[:quarter])
+        assert (found[i].n_chars, edited[i]) == (len(text), text[: len(text) - quarter] + after[:quarter])
+        assert found[i].edited_sha256 == hashlib.sha256(edited[i].encode()).hexdigest()
         assert 0 <= found[i].near_edited <= 1 and 0 <= found[i].near_next <= 1
     assert found[6].fingerprint == found[7].fingerprint and found[6].near_next == 1
     assert found[0].fingerprint == found[1].fingerprint
@@ -132,7 +135,7 @@ def test_fingerprints(docs, texts, empty):
 def test_fingerprint_hashes_are_those_of_plain_code(spark, texts):
     rows = spark.createDataFrame([(texts[6],)], "text string")
     lexicon = imatch.lexicon(rows, low=0, high=2)
-    hashes = rows.select(imatch.hashes_of(F.col("text"), lexicon).alias("h")).first().h
+    hashes = imatch.hashes_of(rows.withColumn("doc_id", F.lit(6)), lexicon, ["doc_id"]).select(imatch.by_subset(F.col("found")).alias("h")).first().h
     terms = {t for t in re.split(r"[\W_]+", texts[6].lower()) if t}
     chosen = spark.createDataFrame([(t,) for t in terms], "t string").select(F.xxhash64("t").alias("h"))
     for k in (0, 13, 29):
