@@ -99,7 +99,8 @@ def next_ids(ids: DataFrame) -> DataFrame:
     order = W.orderBy("part")
     least = F.min("head").over(W.partitionBy(F.lit(1)))
     heads = heads.select("part", F.coalesce(F.lead("head").over(order), least).alias("after"))
-    inside = W.partitionBy("part").orderBy("doc_id").rangeBetween(1, W.unboundedFollowing)
+    # Descending, so that the frame only grows and each row is added once.
+    inside = W.partitionBy("part").orderBy(F.desc("doc_id")).rangeBetween(W.unboundedPreceding, -1)
     found = ranged.withColumn("following", F.min("doc_id").over(inside)).join(heads, "part")
     return found.select("doc_id", "n", F.coalesce("following", "after").alias("next_id"))
 
