@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..model import CONTRACT, MESSAGE, SCHEMA_VERSION
+from ..operators.attribution import near_in_time, unique_best, within_span
 
 #: Item types whose text is kept, and roles of the stores.
 TEXT_ITEMS = ("input_text", "output_text", "text")
@@ -47,25 +48,31 @@ def json_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return numbered.select("path", "line_no", F.try_parse_json("value").alias("v")).where("v is not null")
 
 
-def existing(spark: SparkSession, patterns: list[str]) -> list[str]:
-    """The patterns that match a file, by Spark's file system; an error if none does."""
+def matching(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """The patterns that match a file, by Spark's file system."""
     jvm = spark.sparkContext._jvm
     found = []
     for pattern in patterns:
         path = jvm.org.apache.hadoop.fs.Path(pattern)
         if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path):
             found.append(pattern)
+    return found
+
+
+def existing(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """The patterns that match a file; an error if none does."""
+    found = matching(spark, patterns)
     if not found:
         raise FileNotFoundError(f"no file matches {', '.join(patterns)}")
     return found
 
 
-def texts_of(content: Column, types: tuple[str, ...]) -> Column:
+def texts_of(content: Column, types: tuple[str, ...], clean: Callable[[Column], Column] = S.identity) -> Column:
     """Text of a message: itself, or the texts of its items of these types, by blank lines; null if there is none."""
     items = F.coalesce(F.try_variant_get(content, "$", "array<variant>"), F.array().cast("array<variant>"))
-    parts = F.transform(items, lambda i: S.identity(F.when(F.schema_of_variant(i) == "STRING", F.try_variant_get(i, "$", "string")).when(F.try_variant_get(i, "$.type", "string").isin(*types), F.try_variant_get(i, "$.text", "string"))))
+    parts = F.transform(items, lambda i: clean(F.when(F.schema_of_variant(i) == "STRING", F.try_variant_get(i, "$", "string")).when(F.try_variant_get(i, "$.type", "string").isin(*types), F.try_variant_get(i, "$.text", "string"))))
     listed = F.nullif(F.array_join(F.array_compact(parts), "\n\n"), F.lit(""))
-    return F.when(F.schema_of_variant(content) == "STRING", S.identity(F.try_variant_get(content, "$", "string"))).otherwise(listed)
+    return F.when(F.schema_of_variant(content) == "STRING", clean(F.try_variant_get(content, "$", "string"))).otherwise(listed)
 
 
 def message(role: Column, text: Column, images: Column | None = None, timestamp: Column | None = None, id_: Column | None = None) -> Column:
@@ -74,12 +81,12 @@ def message(role: Column, text: Column, images: Column | None = None, timestamp:
     return fields.cast(MESSAGE)
 
 
-def conversations(rows: DataFrame, key: str, context: str, session: Column, provenance: Column | None = None, completeness: str | None = None, limitations: list[str] | None = None, metadata: Column | None = None) -> DataFrame:
+def conversations(rows: DataFrame, key: str, context: str, session: Column, provenance: Column | None = None, completeness: Column | None = None, limitations: Column | None = None, metadata: Column | None = None) -> DataFrame:
     """Shape rows (path, messages, ...) as conversations, collected now."""
     contract = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit("chat").alias("archive_kind"), F.lit(None).alias("focus"), F.lit(None).alias("allowed_roles"), F.lit(None).alias("excluded_artifacts"))
     return rows.select(
         F.lit(key).alias("source"), F.lit(context).alias("execution_context"), S.utc_text(F.current_timestamp()).alias("collected_at"), F.col("messages").cast(f"array<{MESSAGE}>").alias("messages"),
-        contract.cast(CONTRACT).alias("contract"), F.lit(completeness).cast("string").alias("transcript_completeness"), F.lit(limitations).cast("array<string>").alias("limitations"),
+        contract.cast(CONTRACT).alias("contract"), (completeness if completeness is not None else F.lit(None)).cast("string").alias("transcript_completeness"), (limitations if limitations is not None else F.lit(None)).cast("array<string>").alias("limitations"),
         session.alias("source_session_id"), F.col("path").alias("source_artifact_path"), (metadata if metadata is not None else F.lit(None).cast("string")).alias("session_metadata"),
         (provenance if provenance is not None else F.lit(None).cast("string")).alias("provenance"), F.lit(None).cast("string").alias("superseded_at"),
     )
@@ -112,14 +119,40 @@ def rollouts(spark: SparkSession, root: str, key: str = "codex_cli", context: st
     return conversations(found, key, context, F.coalesce(F.col("meta.id"), stem(F.col("path"))), provenance)
 
 
+def raw_lines(spark: SparkSession, patterns: list[str]) -> DataFrame:
+    """(path, value): all lines, in no order."""
+    return spark.read.text(existing(spark, patterns)).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+IDE_MARKER = "<command-name>/ide</command-name>"
+
+
+def without_wrapper(text: Column) -> Column:
+    """Trimmed, null if empty or all inside a wrapper of a local command."""
+    wrapped = [S.identity(text).startswith(f"<{w}>") & S.identity(text).endswith(f"</{w}>") for w in ("local-command-stdout", "local-command-caveat")]
+    return F.when(wrapped[0] | wrapped[1], F.lit(None)).otherwise(S.identity(text))
+
+
+def ide_marked(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """(path) of the files with the editor command's marker in a line as it stands, or in the content of a local command."""
+    content = _get("v", "$.message.content", "variant")
+    items = F.coalesce(F.try_variant_get(content, "$", "array<variant>"), F.array().cast("array<variant>"))
+    inside = lambda i: (F.schema_of_variant(i) == "STRING") & F.try_variant_get(i, "$", "string").contains(IDE_MARKER)
+    local = (_get("v", "$.type") == "system") & (_get("v", "$.subtype") == "local_command")
+    told = rows.where(local & (inside(content) | F.exists(items, inside))).select("path")
+    return told.unionByName(lines.where(F.col("value").contains(IDE_MARKER)).select("path")).distinct()
+
+
 def claude(spark: SparkSession, root: str, key: str = "claude", context: str = "cli", sessions: DataFrame | None = None) -> DataFrame:
     """Project transcripts: user and assistant rows, images of users; subagents are sessions of their parent.
 
-    With `sessions` (session_id), only transcripts of these sessions are kept.
+    With `sessions` (session_id), only transcripts of these sessions and those that
+    hold the marker of the editor command are kept, without wrappers of local commands.
     """
-    rows = json_lines(spark, [f"{root}/projects/*/*.jsonl", f"{root}/projects/*/*/subagents/*.jsonl"])
+    patterns = [f"{root}/projects/*/*.jsonl", f"{root}/projects/*/*/subagents/*.jsonl"]
+    rows = json_lines(spark, patterns)
     kind, content = _get("v", "$.type"), _get("v", "$.message.content", "variant")
-    text = texts_of(content, ("text",))
+    text = texts_of(content, ("text",), S.identity if sessions is None else without_wrapper)
     items = F.coalesce(F.try_variant_get(content, "$", "array<variant>"), F.array().cast("array<variant>"))
     pictures = F.filter(
         F.transform(F.filter(items, lambda i: F.try_variant_get(i, "$.type", "string") == "image"), lambda i: F.struct(
@@ -136,13 +169,18 @@ def claude(spark: SparkSession, root: str, key: str = "claude", context: str = "
     child = F.when(F.col("sessionId") != parent, F.col("sessionId")).otherwise(own)
     session = F.when(F.element_at(parts, -2) == "subagents", F.concat(parent, F.lit("/subagents/"), child)).otherwise(F.coalesce("sessionId", own))
     if sessions is not None:
-        found = found.join(sessions.select(F.col("session_id").alias("sessionId")).distinct(), "sessionId", "left_semi")
+        asked = F.when(F.element_at(parts, -2) == "subagents", parent).otherwise(F.coalesce("sessionId", own))
+        named = sessions.select(F.col("session_id").alias("_asked")).distinct().withColumn("_named", F.lit(True))
+        marked = ide_marked(rows, raw_lines(spark, patterns)).withColumn("_marked", F.lit(True))
+        found = found.withColumn("_asked", asked).join(named, "_asked", "left").join(marked, "path", "left").where(F.col("_named") | F.col("_marked"))
     provenance = F.to_json(F.struct(F.col("timestamp").alias("session_started_at"), "cwd", F.lit(key).alias("originator")))
     return conversations(found, key, context, session, provenance)
 
 
 def ide_sessions(spark: SparkSession, root: str) -> DataFrame:
-    """(session_id) of the history lines that start an editor session."""
+    """(session_id) of the history lines that start an editor session; none without a history."""
+    if not matching(spark, [f"{root}/history.jsonl"]):
+        return spark.createDataFrame([], "session_id string")
     rows = json_lines(spark, [f"{root}/history.jsonl"])
     return rows.where(F.trim(_get("v", "$.display")).startswith("/ide")).select(_get("v", "$.sessionId").alias("session_id")).where("session_id is not null")
 
@@ -336,18 +374,118 @@ LOG_KEYS = ("argv", "logsPath", "headless", "verbose", "status", "trace", "list-
 
 
 def cursor_invocations(spark: SparkSession, root: str) -> DataFrame:
-    """(path, payload, invoked): the first line of each command log that holds a known key, and the time in its folder's name."""
+    """(path, payload, session, invoked): the first line of each command log that holds a known key, and the name and time of its log folder."""
     rows = json_lines(spark, [f"{root}/logs/*/cli.log"])
     known = F.coalesce(*[_get("v", f"$['{k}']", "variant") for k in LOG_KEYS]).isNotNull()
     found = rows.where(known).groupBy("path").agg(F.min_by(F.to_json("v"), "line_no").alias("payload"))
-    return found.withColumn("invoked", F.unix_timestamp(F.try_to_timestamp(F.element_at(F.split("path", "/"), -2), F.lit("yyyyMMdd'T'HHmmss"))))
+    folder = F.element_at(F.split("path", "/"), -2)
+    named = F.nullif(F.regexp_extract(F.get_json_object("payload", "$.logsPath"), r"([^/]*)/*$", 1), F.lit(""))
+    time = lambda slug: F.unix_timestamp(F.try_to_timestamp(slug, F.lit("yyyyMMdd'T'HHmmss")))
+    return found.withColumns({"session": F.coalesce(named, folder), "invoked": F.coalesce(time(named), time(folder))})
+
+
+#: Seconds by which an invocation may lie outside a session that has a transcript, and from the last activity of one that has prompts only.
+ATTRIBUTION_SLACK = 120
+ACTIVITY_WINDOW = 600
+
+
+def _items(value: Column, path: str, kind: str = "variant") -> Column:
+    return F.coalesce(F.try_variant_get(value, path, f"array<{kind}>"), F.array().cast(f"array<{kind}>"))
+
+
+def workspace_sessions(spark: SparkSession, root: str) -> DataFrame:
+    """The chosen composer of each workspace that has prompts, with its prompts, times of generations, and span.
+
+    Chosen is the last focused, else a selected, else the only composer.
+    """
+    keys = ("composer.composerData", "aiService.prompts", "aiService.generations")
+    states = key_values(spark, [f"{root}/User/workspaceStorage/*/state.vscdb"], "ItemTable", keys)
+    wide = states.groupBy(F.col("path").alias("workspace")).agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(n) for k, n in zip(keys, ("c", "p", "g"), strict=True)])
+    wide = wide.select("workspace", *[F.try_parse_json(n).alias(n) for n in ("c", "p", "g")])
+    time = lambda i, name: S.epoch_text(F.try_variant_get(i, f"$.{name}", "string"))
+    composers = F.filter(F.transform(_items(F.col("c"), "$.allComposers"), lambda i: F.struct(
+        F.try_variant_get(i, "$.composerId", "string").alias("id"), time(i, "createdAt").alias("created"), time(i, "lastUpdatedAt").alias("updated"),
+    )), lambda x: x["id"].isNotNull())
+    ids = F.array_distinct(F.transform("composers", lambda x: x["id"]))
+    asked = F.filter(F.concat(_items(F.col("c"), "$.lastFocusedComposerIds", "string"), _items(F.col("c"), "$.selectedComposerIds", "string")), lambda w: F.array_contains("ids", w))
+    prompts = F.array_compact(F.transform(_items(F.col("p"), "$"), lambda i: S.identity(F.try_variant_get(i, "$.text", "string"))))
+    made = F.filter(_items(F.col("g"), "$"), lambda i: F.schema_of_variant(i).startswith("OBJECT") & F.coalesce(F.try_variant_get(i, "$.type", "string") == "composer", F.lit(True)))
+    rows = wide.withColumns({"composers": composers, "prompts": prompts, "times": F.transform(made, lambda i: time(i, "unixMs"))}).withColumn("ids", ids)
+    rows = rows.withColumn("composer", F.coalesce(F.get(asked, F.lit(0)), F.when(F.size("ids") == 1, F.get("ids", F.lit(0))))).where(F.col("composer").isNotNull() & (F.size("prompts") > 0))
+    own = F.try_element_at(F.filter("composers", lambda x: x["id"] == F.col("composer")), F.lit(-1))
+    rows = rows.withColumn("own", own).withColumn("active", F.coalesce(F.try_element_at(F.filter("times", lambda t: t.isNotNull()), F.lit(-1)), "own.updated", "own.created"))
+    created, updated, active = (F.unix_timestamp(F.try_to_timestamp(c)) for c in ("own.created", "own.updated", "active"))
+    rows = rows.withColumns({"active_s": active, "start_s": F.coalesce(created, active, updated), "end_s": F.greatest(F.coalesce(created, active, updated), F.coalesce(active, updated, created))})
+    return rows.select("workspace", "composer", "prompts", "times", "active", "active_s", "start_s", "end_s")
+
+
+def composer_transcripts(spark: SparkSession, root: str, sessions: DataFrame) -> DataFrame:
+    """(composer, said, users_missing, assistants_missing) of the sessions' composers: texts in order of headers, with the ordinal among the assistant's."""
+    base = matching(spark, [f"{root}/User/globalStorage/state.vscdb"])
+    if not base:
+        return spark.createDataFrame([], "composer string, said array<struct<line_no:int,role:string,text:string,ordinal:int>>, users_missing bigint, assistants_missing bigint")
+    kv = key_values(spark, base, "cursorDiskKV").withColumn("v", F.try_parse_json("value"))
+    own = kv.where(F.col("key").startswith("composerData:")).withColumn("composer", F.substring_index("key", ":", -1)).join(sessions.select("composer").distinct(), "composer", "left_semi")
+    headers = own.select("composer", F.posexplode(_items(F.col("v"), "$.fullConversationHeadersOnly")).alias("line_no", "header"))
+    headers = headers.select("composer", "line_no", _get("header", "$.bubbleId").alias("bubble"), _get("header", "$.type", "int").alias("kind")).where("bubble is not null and kind in (1, 2)")
+    bubbles = kv.where(F.col("key").startswith("bubbleId:")).select(F.split("key", ":")[1].alias("composer"), F.split("key", ":")[2].alias("bubble"), F.col("v").alias("body"))
+    tool = F.to_json(_get("body", "$.toolFormerData", "variant"))
+    joined = headers.join(bubbles, ["composer", "bubble"], "left").select("composer", "line_no", "kind", S.identity(_get("body", "$.text")).alias("text"), F.coalesce(tool.rlike(r"^[{\[]") & ~tool.isin("{}", "[]"), F.lit(False)).alias("tool"))
+    told = F.col("text").isNotNull()
+    before = W.partitionBy("composer").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    ranked = joined.withColumn("ordinal", F.count_if((F.col("kind") == 2) & told).over(before).cast("int"))
+    item = F.when(told, F.struct("line_no", F.when(F.col("kind") == 1, "user").otherwise("assistant").alias("role"), "text", "ordinal"))
+    return ranked.groupBy("composer").agg(
+        F.array_sort(F.collect_list(item)).alias("said"), F.count_if((F.col("kind") == 1) & ~told).alias("users_missing"), F.count_if((F.col("kind") == 2) & ~told & ~F.col("tool")).alias("assistants_missing")
+    )
+
+
+def cursor_attributed(spark: SparkSession, root: str, calls: DataFrame) -> DataFrame:
+    """(path, strategy, workspace, composer, prompts, active, messages, users_missing, assistants_missing) of the invocations that one session fits best.
+
+    A session with a transcript that says all its prompts comes first, by its
+    span; else a session gives its prompts as evidence only, by its last activity.
+    """
+    sessions = workspace_sessions(spark, root)
+    rows = sessions.join(composer_transcripts(spark, root, sessions), "composer", "left")
+    users = F.transform(F.filter("said", lambda m: m["role"] == "user"), lambda m: m["text"])
+    said = F.transform("said", lambda m: message(m["role"], m["text"], None, F.when(m["role"] == "assistant", F.get("times", m["ordinal"] - 1))))
+    rows = rows.withColumns({"messages": said, "overlaps": F.coalesce((F.size("said") > 0) & (F.size(F.array_except("prompts", users)) == 0), F.lit(False))})
+    timed = calls.select("path", "invoked").where("invoked is not null")
+    spans = rows.where("overlaps and start_s is not null").select("workspace", "start_s", "end_s", "active_s")
+    pairs = within_span(timed, spans, [], "invoked", "start_s", "end_s", ATTRIBUTION_SLACK)
+    t = F.col("invoked")
+    score = F.struct((~t.between(F.col("start_s"), F.col("end_s"))).cast("int"), F.abs(t - F.col("start_s")), F.abs(F.coalesce("active_s", "end_s") - t))
+    whole = unique_best(pairs, "path", score).select("path", "workspace", F.lit("prompt_overlap_plus_time_window").alias("strategy"))
+    active = rows.where("active_s is not null").select("workspace", "active_s")
+    close = near_in_time(timed.join(whole, "path", "left_anti"), active, [], "invoked", "active_s", ACTIVITY_WINDOW)
+    hints = unique_best(close, "path", F.col("distance")).select("path", "workspace", F.lit("time_proximity_metadata_only").alias("strategy"))
+    return whole.unionByName(hints).join(rows.select("workspace", "composer", "prompts", "active", "messages", "users_missing", "assistants_missing"), "workspace")
 
 
 def cursor_cli(spark: SparkSession, root: str) -> DataFrame:
-    """Invocations of the command line as conversations without messages: the body is in the editor's store."""
-    rows = cursor_invocations(spark, root).withColumn("messages", F.array().cast(f"array<{MESSAGE}>"))
-    out = conversations(rows, "cursor", "cli", F.element_at(F.split("path", "/"), -2), metadata=F.col("payload"), completeness="unsupported", limitations=["the log holds no transcript"])
-    return out
+    """Invocations of the command line: with the messages of the editor session that fits, or its prompts as evidence, or without any."""
+    calls = cursor_invocations(spark, root)
+    kinds = f"path string, workspace string, strategy string, composer string, prompts array<string>, active string, messages array<{MESSAGE}>, users_missing bigint, assistants_missing bigint"
+    stored = matching(spark, [f"{root}/User/workspaceStorage/*/state.vscdb"])
+    rows = calls.join(cursor_attributed(spark, root, calls) if stored else spark.createDataFrame([], kinds), "path", "left")
+    whole = F.coalesce(F.col("strategy") == "prompt_overlap_plus_time_window", F.lit(False))
+    lacks = F.array_compact(F.array(F.when(F.col("users_missing") > 0, "user_body_missing_from_cursor_disk_kv"), F.when(F.col("assistants_missing") > 0, "assistant_body_missing_from_cursor_disk_kv")))
+    complete = (F.size(lacks) == 0) & F.exists("messages", lambda m: m["role"] == "assistant")
+    unconfirmed = lambda other: F.array(F.lit("cursor_cli_transcript_not_confirmed"), F.lit(other))
+    evidence = F.to_json(F.struct(
+        F.col("strategy").alias("match_strategy"), F.element_at(F.split("workspace", "/"), -2).alias("workspace_id"), F.col("composer").alias("composer_id"), F.size("prompts").alias("prompt_count"),
+        F.col("prompts").alias("partial_prompt_texts"), F.col("workspace").alias("source_artifact_path"), F.col("active").alias("activity_at"),
+    ))
+    name = F.when(whole, "transcript_attribution").otherwise("workspace_prompt_evidence")
+    payload = F.when(F.col("strategy").isNull(), F.col("payload")).otherwise(F.concat(F.regexp_replace("payload", r"\}$", ""), F.lit(',"'), name, F.lit('":'), evidence, F.lit("}")))
+    rows = rows.withColumns({
+        "payload": payload, "messages": F.when(whole, F.col("messages")).otherwise(F.array().cast(f"array<{MESSAGE}>")),
+        "completeness": F.when(whole, F.when(complete, "complete").otherwise("partial")).otherwise(F.when(F.col("strategy").isNotNull(), "partial").otherwise("unsupported")),
+        "lacks": F.when(whole, lacks).when(F.col("strategy").isNotNull(), unconfirmed("workspace_prompt_cache_only")).otherwise(unconfirmed("metadata_only_cli_invocation")),
+    })
+    provenance = F.to_json(F.struct(S.utc_text(F.timestamp_seconds("invoked")).alias("session_started_at"), F.lit("cli").alias("source"), F.lit("cursor_cli").alias("originator")))
+    return conversations(rows, "cursor", "cli", F.col("session"), provenance, metadata=F.col("payload"), completeness=F.col("completeness"), limitations=F.col("lacks"))
 
 
 SOURCES = {

@@ -83,6 +83,53 @@ def test_command_logs(spark, tmp_path):
     assert json.loads(row.session_metadata) == {"argv": ["x"]} and row.transcript_completeness == "unsupported"
 
 
+def store(path, table, rows):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    base = sqlite3.connect(path)
+    base.execute(f"create table {table} (key text, value blob)")
+    base.executemany(f"insert into {table} values (?, ?)", [(k, json.dumps(v)) for k, v in rows.items()])
+    base.commit()
+    base.close()
+
+
+def test_invocations_get_the_messages_of_their_session(spark, tmp_path):
+    at = 1704164645000  # 20240102T030405
+    for slug in ("20240102T030405", "20240102T031000", "20240102T031405", "20240102T050000", "20240103T000000"):
+        put(tmp_path / f"logs/{slug}/cli.log", [{"argv": ["x"]}])
+
+    def workspace(name, composer, prompts, created, done):
+        values = {"composer.composerData": {"allComposers": [{"composerId": composer, "createdAt": created}]}, "aiService.prompts": [{"text": p} for p in prompts], "aiService.generations": [{"type": "composer", "unixMs": done}, {"type": "other", "unixMs": 1}]}
+        store(tmp_path / f"User/workspaceStorage/{name}/state.vscdb", "ItemTable", values)
+
+    workspace("w1", "k", [" question "], at - 60000, at + 60000)
+    workspace("w2", "l", ["never said"], at + 500000, at + 500000)
+    for name in ("w3", "w4"):  # the same distance from the third invocation, so neither
+        workspace(name, "m", ["never said"], at + 7000000, at + 86400000 - 11045000)
+    store(tmp_path / "User/globalStorage/state.vscdb", "cursorDiskKV", {
+        "composerData:k": {"fullConversationHeadersOnly": [{"bubbleId": "1", "type": 1}, {"bubbleId": "t", "type": 2}, {"bubbleId": "2", "type": 2}]},
+        "bubbleId:k:1": {"text": "question"}, "bubbleId:k:t": {"toolFormerData": {"a": 1}}, "bubbleId:k:2": {"text": "answer"},
+        "composerData:l": {"fullConversationHeadersOnly": [{"bubbleId": "1", "type": 1}]}, "bubbleId:l:1": {"text": "something else"},
+    })
+    found = {r.source_session_id: r for r in SOURCES["cursor"].collect(spark, str(tmp_path)).collect()}
+    whole = found["20240102T030405"]
+    assert [(m.role, m.text, m.timestamp) for m in whole.messages] == [("user", "question", None), ("assistant", "answer", "2024-01-02T03:05:05Z")]
+    assert (whole.transcript_completeness, whole.limitations) == ("complete", []) and json.loads(whole.session_metadata)["transcript_attribution"]["composer_id"] == "k"
+    for slug in ("20240102T031000", "20240102T031405"):
+        assert found[slug].messages == [] and found[slug].transcript_completeness == "partial"
+        assert json.loads(found[slug].session_metadata)["workspace_prompt_evidence"]["composer_id"] == "l"
+    assert {found[s].transcript_completeness for s in ("20240102T050000", "20240103T000000")} == {"unsupported"}
+
+
+def test_editor_command_marker_keeps_a_session(spark, tmp_path):
+    marker, said = "<command-name>/ide</command-name>", {"type": "user", "message": {"content": "hi"}}
+    put(tmp_path / "projects/p/raw.jsonl", [said, {"type": "user", "message": {"content": [{"type": "text", "text": "<local-command-stdout>no</local-command-stdout>"}, {"type": "text", "text": "yes"}]}}, {"type": "x", "n": marker}])
+    put(tmp_path / "projects/p/escaped.jsonl", json.dumps(said) + "\n" + json.dumps({"type": "system", "subtype": "local_command", "message": {"content": [marker]}}).replace("/", "\\/"))
+    put(tmp_path / "projects/p/other.jsonl", [said])
+    assert collected(spark, "claude_code_ide", tmp_path) == {"raw": [("user", "hi"), ("user", "yes")], "escaped": [("user", "hi")]}
+    put(tmp_path / "history.jsonl", [{"display": "/ide", "sessionId": "other"}])
+    assert collected(spark, "claude_code_ide", tmp_path).keys() == {"raw", "escaped", "other"}
+
+
 def test_selection():
     assert [s.key for s in selected(least_level="complete", excluded=("gemini",))] == ["codex_cli", "codex_ide_extension", "codex_app", "claude"]
     with pytest.raises(KeyError):
