@@ -40,7 +40,7 @@ BANDS = 40
 BAND_ROWS = 4
 MINHASHES = BANDS * BAND_ROWS
 SKETCH_BITS = 512
-SKETCH_FLOOR = 0.57
+SKETCH_FLOOR = 0.4
 SLICE = 1 << 20
 
 

@@ -91,3 +91,22 @@ def test_odd_sketch_estimates_similarity():
         differ = np.unpackbits((neardup.odd_sketch(a) ^ neardup.odd_sketch(b)).view(np.uint8), axis=1).sum(axis=1)
         estimate = 1 + np.log(1 - 2 * differ / neardup.SKETCH_BITS) * neardup.SKETCH_BITS / (4 * neardup.MINHASHES)
         assert abs(estimate.mean() - share) < 0.02 and (estimate > neardup.SKETCH_FLOOR).all()
+
+
+def sketch_loss(share, floor=None):
+    """Exact probability that two documents of this similarity get an estimate below the floor."""
+    floor = neardup.SKETCH_FLOOR if floor is None else floor
+    bits, n = neardup.SKETCH_BITS, neardup.MINHASHES
+    most = max(k for k in range(bits // 2) if 1 + np.log(1 - 2 * k / bits) * bits / (4 * n) >= floor)
+    odd, lost, weight = np.eye(1, bits + 1)[0], 0.0, share**n
+    for differ in range(n + 1):  # samples that differ; each toggles two bits
+        lost += weight * odd[most + 1 :].sum()
+        weight *= (n - differ) / (differ + 1) * (1 - share) / share
+        for _ in range(2):
+            odd = np.append(0, odd[:-1] * (bits - np.arange(bits)) / bits) + np.append(odd[1:] * np.arange(1, bits + 1) / bits, 0)
+    return lost
+
+
+def test_sketches_lose_less_than_the_bands():
+    assert sketch_loss(0.75, 0.57) > 1e-5
+    assert sketch_loss(0.75) < (1 - 0.75**neardup.BAND_ROWS) ** neardup.BANDS / 100
