@@ -3,8 +3,9 @@
 The lexicon keeps the terms whose share of documents lies in a band, so neither
 the common nor the rare ones.  Of each text the distinct lexicon terms are
 sorted, and `SUBSETS` random subsets of the lexicon, each with one term in
-`ONE_IN`, give one hash each over the terms of the text that they hold.  Two
-texts are as alike as the share of equal hashes among those subsets that hold a
+`ONE_IN`, give one hash each over the terms of the text that they hold.  The
+subsets of a draw share out the whole lexicon, so that each term is in one
+subset of every draw.  Two texts are as alike as the share of equal hashes among those subsets that hold a
 term of either.
 
 The number of lexicon terms is at most (mean distinct terms of a document) /
@@ -27,12 +28,13 @@ from pyspark.sql import functions as F
 from .common import checkpointed, table
 
 LOW, HIGH = 0.002, 0.05
-SUBSETS = 30
+DRAWS = 1
 ONE_IN = 64
-#: Subsets of one draw: classes of the terms by a random hash, so disjoint.
-CHOICES = 10
+#: Subsets of one draw: all classes of the terms by a random hash, so disjoint and without a term left over.
+CHOICES = ONE_IN
+SUBSETS = DRAWS * CHOICES
 #: A subset's number gives its draw and its class.
-NUMBERS = tuple(d * ONE_IN + c for d in range(SUBSETS // CHOICES) for c in range(CHOICES))
+NUMBERS = tuple(d * ONE_IN + c for d in range(DRAWS) for c in range(CHOICES))
 #: Stands for the text itself among its words, so that each text has a row.
 WHOLE = -1
 
@@ -51,8 +53,8 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float =
     words = docs.select(F.explode(F.array_distinct(words_of(F.col(text)))).alias("word")).where("word <> ''")
     often = words.groupBy(F.xxhash64("word").alias("term")).agg(F.count("*").alias("docs"))
     chosen = often.where((F.col("docs") >= F.lit(low) * n) & (F.col("docs") < F.lit(high) * n))
-    draws = chosen.select("term", F.explode(F.array(*[F.lit(d) for d in range(SUBSETS // CHOICES)])).alias("draw"))
-    classes = draws.select("term", "draw", F.pmod(F.xxhash64("term", "draw"), F.lit(ONE_IN)).cast("int").alias("class")).where(F.col("class") < CHOICES)
+    draws = chosen.select("term", F.explode(F.array(*[F.lit(d) for d in range(DRAWS)])).alias("draw"))
+    classes = draws.select("term", "draw", F.pmod(F.xxhash64("term", "draw"), F.lit(ONE_IN)).cast("int").alias("class"))
     held = classes.select("term", (F.col("draw") * ONE_IN + F.col("class")).alias("subset"))
     return checkpointed(held.unionByName(docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit(WHOLE).alias("subset"))))
 

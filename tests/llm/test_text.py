@@ -145,6 +145,13 @@ def test_fingerprint_hashes_are_those_of_plain_code(spark, texts):
         assert hashes[k] == wanted
 
 
+def test_every_lexicon_term_is_in_a_subset_of_every_draw(spark):
+    words = [f"term{i}" for i in range(300)]
+    held = imatch.lexicon(spark.createDataFrame([(" ".join(words),)], "text string"), low=0, high=2).where(F.col("subset") != imatch.WHOLE)
+    draws = held.groupBy("term").agg(F.count_distinct(F.floor(F.col("subset") / imatch.ONE_IN)).alias("n")).collect()
+    assert len(draws) == len(words) and {r.n for r in draws} == {imatch.DRAWS}
+
+
 def test_every_operator_is_registered():
     assert sorted(int(name[2:].split("_")[0]) for name in queries()) == list(range(1, 11))
 
