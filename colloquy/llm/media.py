@@ -31,7 +31,7 @@ RATE = 8000
 WINDOW = 96
 HOP = 48
 BANDS = ((1, 8), (8, 20), (20, 49))
-REACH = 1
+REACH = 3
 
 
 def wav_bytes(payload: bytes, rate: int = RATE) -> bytes:

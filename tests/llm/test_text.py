@@ -58,6 +58,12 @@ def test_media_round_trip(docs, texts, empty):
     assert media.fingerprint(media.with_wav(empty)).count() == 0
 
 
+def test_peaks_are_paired_over_the_whole_target_zone():
+    times, codes = media.peak_pairs(np.frombuffer(("abc def " * 60).encode(), np.uint8))
+    assert set((codes % 4).tolist()) == {1, 2, 3}  # the distances that two bits hold
+    assert np.bincount(times)[0] == 3 * len(media.BANDS) and (np.diff(times) >= 0).all()
+
+
 def test_bytes_that_are_no_wav(spark):
     row = media.fingerprint(spark.createDataFrame([(1, b"junk"), (2, None)], "doc_id long, media binary")).orderBy("doc_id").collect()
     assert (row[0].payload_bytes, row[0].media_bytes, row[0].peak_codes) == (None, 4, []) and row[1].media_bytes is None
