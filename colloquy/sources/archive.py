@@ -15,6 +15,18 @@ FILES = "*.{jsonl,txt}"
 RESERVED = ("runs", "archive-index")
 
 
+def numbered(lines: DataFrame, path: str, name: str) -> DataFrame:
+    """Adds the number of each line in its file, from 1, to rows (path, _block, _order, ...).
+
+    Lines are counted by split, and only lines of one split are sorted together.
+    """
+    counts = lines.groupBy(path, "_block").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(path).orderBy("_block")) - F.col("_n")
+    starts = counts.select(path, "_block", before.alias("_start"))
+    inside = F.row_number().over(W.partitionBy(path, "_block").orderBy("_order"))
+    return lines.withColumn(name, inside).join(starts, [path, "_block"]).withColumn(name, (F.col(name) + F.col("_start")).cast("bigint")).drop("_start")
+
+
 def read_lines(spark: SparkSession, root: str, source: str | None = None) -> DataFrame:
     """(source_dir, output_path, row_number, line): all lines, numbered from 1 within their file.
 
@@ -24,9 +36,8 @@ def read_lines(spark: SparkSession, root: str, source: str | None = None) -> Dat
     lines = spark.read.text(f"{root}/{source or '*'}/{FILES}").select(
         F.col("_metadata.file_path").alias("output_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_order"), F.col("value").alias("line")
     )
-    numbered = lines.withColumn("row_number", F.row_number().over(W.partitionBy("output_path").orderBy("_block", "_order")).cast("bigint"))
     folder = F.element_at(F.split("output_path", "/"), -2)
-    return numbered.select(folder.alias("source_dir"), "output_path", "row_number", "line").where(~F.col("source_dir").isin(*RESERVED))
+    return numbered(lines, "output_path", "row_number").select(folder.alias("source_dir"), "output_path", "row_number", "line").where(~F.col("source_dir").isin(*RESERVED))
 
 
 def parsed(lines: DataFrame, strict: bool = True) -> DataFrame:

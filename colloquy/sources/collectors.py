@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from ..functions import scalars as S
 from ..model import CONTRACT, MESSAGE, SCHEMA_VERSION
 from ..operators.attribution import near_in_time, unique_best, within_span
+from .archive import numbered
 
 #: Item types whose text is kept, and roles of the stores.
 TEXT_ITEMS = ("input_text", "output_text", "text")
@@ -44,8 +45,7 @@ def json_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, line_no, v): the JSON values of all lines that are JSON."""
     reader = spark.read.option("ignoreMissingFiles", "true").option("recursiveFileLookup", "false")
     rows = reader.text(existing(spark, paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_order"), "value")
-    numbered = rows.withColumn("line_no", F.row_number().over(W.partitionBy("path").orderBy("_block", "_order")))
-    return numbered.select("path", "line_no", F.try_parse_json("value").alias("v")).where("v is not null")
+    return numbered(rows, "path", "line_no").select("path", F.col("line_no").cast("int").alias("line_no"), F.try_parse_json("value").alias("v")).where("v is not null")
 
 
 def matching(spark: SparkSession, patterns: list[str]) -> list[str]:

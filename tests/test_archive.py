@@ -126,3 +126,21 @@ def test_verify_finds_each_breach(spark, tmp_path):
     assert found == [(2, "invalid_field"), (3, "invalid_contract"), (4, "missing_required_field"), (5, "missing_required_field"), (6, "invalid_enum")]
     assert V.quarantine(rows.select("output_path", "row_number", "line"), V.findings(rows)).count() == 5
     assert V.findings(V.migrated(rows.where("row_number = 3"))).count() == 0
+
+
+def test_lines_of_several_splits_are_numbered_by_split(spark, tmp_path):
+    from colloquy.sources.archive import read_lines
+
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s/a.jsonl").write_text("".join(f"{i}\n" for i in range(1, 2001)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        found = read_lines(spark, str(tmp_path))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        rows = found.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 2000 and all(int(r.line) == r.row_number for r in rows)
+    windows = [x for x in plan.splitlines() if "windowspecdefinition" in x and "_order#" in x]
+    assert windows and not any("_block#" in x.split("_order#")[0] and " ASC" in x.split("windowspecdefinition")[1].split("_order#")[0] for x in windows)
