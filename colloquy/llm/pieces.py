@@ -10,12 +10,21 @@ gives back every text exactly.
 
 The best segmentation never crosses a place that no piece crosses: before a run
 of blanks and around bytes that no piece holds.  Texts are cut there, each
-distinct segment is solved once per task, and the trie is walked for all places
-of the new segments together.
+distinct segment is solved once per task as long as the memory of solved
+segments (`CACHE_BYTES`) lasts, and the trie is walked for all places of
+`BATCH` bytes of new segments together.  A segment of more bytes than that is
+solved block by block: what is kept of the blocks behind is one piece for each
+place, so a task's memory grows with `BATCH`, the cache and the ids of the
+longest text, and not with the pieces that were tried.
 
 Defined results: a null text gives null ids, an empty one none; null ids decode
 to null; ids outside the vocabulary, control and unknown pieces decode to
-nothing.  Pieces with a blank after another character are not used.
+nothing.  Pieces with a blank after another character are not used.  Of equal
+scores the segmentation whose last pieces are longest wins.  Rows with one id
+(or a null id) are encoded each for itself, so repeated rows give equal rows; a
+text of any length is encoded whole; an empty table gives an empty one.
+Other columns do not reach the result of `encode`; `decode` hands all columns on
+but replaces one called `text`.
 """
 
 from __future__ import annotations
@@ -26,15 +35,25 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import list_column, table, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BYTE_PENALTY = 10.0
-CACHE = 400_000
+#: Bytes of text (of 4-byte ids, when decoding) that are worked on at once.
+SLICE = 1 << 20
+#: Segments of one long text that are looked up at once.
+RUN = 1 << 17
+#: Bytes of new segments that are solved together.
+BATCH = 1 << 16
+#: Bytes of solved segments that a task remembers, each counted with ENTRY_BYTES for its place in memory.
+CACHE_BYTES = 24 << 20
+ENTRY_BYTES = 160
 STEP = 48
 
 
@@ -103,6 +122,7 @@ class Vocabulary:
         self.ids, self.scores = np.array(used, np.int32), own
         self.byte_score = (own.min() if len(own) else 0.0) - BYTE_PENALTY
         self.trie = DoubleArray([raw[i] for i in used])
+        self.longest = max((len(raw[i]) for i in used), default=1)
         self.sizes = np.array([len(r) for r in raw], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
@@ -122,11 +142,11 @@ class Vocabulary:
         kinds = ["byte" if model.is_byte(i) else "other" if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) else "normal" for i in ids]
         return cls([model.id_to_piece(i) for i in ids], [model.get_score(i) for i in ids], kinds)
 
-    def edges(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All pieces at all places: start, end, id, score; ends holds the end of the segment of each place."""
-        place = np.arange(len(data))
-        found = [(place, place + 1, self.byte_ids[data], np.full(len(data), self.byte_score))]
-        state, depth = np.zeros(len(data), np.int32), 0
+    def edges(self, data: np.ndarray, ends: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces that start at one of the first `places`: start, end, id, score; ends holds the end of the segment of each place."""
+        place = np.arange(places, dtype=np.int32)
+        found = [(place, place + 1, self.byte_ids[data[:places]], np.full(places, self.byte_score))]
+        state, depth = np.zeros(places, np.int32), 0
         while len(place):
             nxt = self.trie.base[state] + data[place + depth] + 1
             ok = self.trie.check[nxt] == state
@@ -135,20 +155,63 @@ class Vocabulary:
             value = self.trie.value[state]
             hit = value >= 0
             if hit.any():
-                found.append((place[hit], place[hit] + depth, self.ids[value[hit]], self.scores[value[hit]]))
+                found.append((place[hit], place[hit] + np.int32(depth), self.ids[value[hit]], self.scores[value[hit]]))
             more = place + depth < ends[place]
             place, state = place[more], state[more]
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def encode(self, segments: list[bytes]) -> list[np.ndarray]:
         """Ids of the best segmentation of each segment; of equal scores, the one whose last pieces are longest."""
+        out: list[np.ndarray] = []
+        batch: list[bytes] = []
+        held = 0
+        for segment in segments:
+            if batch and held + len(segment) > BATCH:
+                out += self._together(batch)
+                batch, held = [], 0
+            if len(segment) > BATCH:
+                out.append(self._by_blocks(segment))
+            else:
+                batch.append(segment)
+                held += len(segment)
+        return out + self._together(batch)
+
+    def _by_blocks(self, segment: bytes) -> np.ndarray:
+        """Ids of one long segment; of each place only the length and the id of its best last piece are kept."""
+        data = np.frombuffer(segment, np.uint8)
+        n = len(data)
+        length, via = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+        carried = [0.0]  # best scores of the places from the start of the block on
+        for low in range(0, n, BATCH):
+            high = min(low + BATCH, n)
+            reach = min(high + self.longest, n)
+            start, end, piece, score = self.edges(data[low:reach], np.full(reach - low, reach - low, np.int32), high - low)
+            order = np.lexsort((end, start))
+            best = carried + [-np.inf] * (reach - low + 1 - len(carried))
+            own, ids = [0] * len(best), [0] * len(best)
+            behind = len(carried)
+            for k in range(1, behind):
+                own[k], ids[k] = int(length[low + k]), int(via[low + k])
+            for s, e, p, w in zip(start[order].tolist(), end[order].tolist(), piece[order].tolist(), score[order].tolist(), strict=True):
+                gain = best[s] + w
+                if gain > best[e]:
+                    best[e], own[e], ids[e] = gain, e - s, p
+            length[low + 1 : reach + 1], via[low + 1 : reach + 1] = own[1:], ids[1:]
+            carried = best[high - low :]
+        found, place = [], n
+        while place:
+            found.append(via[place])
+            place -= length[place]
+        return np.array(found[::-1], np.int32)
+
+    def _together(self, segments: list[bytes]) -> list[np.ndarray]:
         if not segments:
             return []
         sizes = np.array([len(s) for s in segments])
         starts = np.concatenate([[0], np.cumsum(sizes)])
         data = np.frombuffer(b"".join(segments), np.uint8)
         begin = np.repeat(starts[:-1], sizes)
-        start, end, piece, score = self.edges(data, np.repeat(starts[1:], sizes))
+        start, end, piece, score = self.edges(data, np.repeat(starts[1:], sizes), len(data))
         step = end - begin[start]
         order = np.lexsort((start, end, step))
         start, end, piece, score, step = (x[order] for x in (start, end, piece, score, step))
@@ -201,37 +264,61 @@ class _Index(dict):
         return n
 
 
+class Solved:
+    """Looks segments up among those that are solved, and solves the new ones; forgets all when CACHE_BYTES are held."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        self.clear()
+
+    def clear(self) -> None:
+        self.index, self.pool, self.ends, self.held = _Index(), np.zeros(0, np.int32), np.zeros(1, np.int64), 0
+
+    def ids(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments, one after the other, and the number of ids of each."""
+        if self.held > CACHE_BYTES:
+            self.clear()
+        known = len(self.index)
+        numbers = np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))
+        new = list(islice(self.index, known, None))
+        if new:
+            found = self.vocabulary.encode(new)
+            sizes = np.array([len(x) for x in found])
+            self.pool = np.concatenate([self.pool, *found])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self.held += ENTRY_BYTES * len(new) + sum(map(len, new)) + 4 * int(sizes.sum())
+        own = self.ends[numbers + 1] - self.ends[numbers]
+        total = np.cumsum(own)
+        return self.pool[np.repeat(self.ends[numbers] - total + own, own) + np.arange(total[-1] if len(total) else 0)], own
+
+
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """(id, token_ids, n_tokens, n_bytes_tokens) of each row."""
+    """(id, token_ids, n_tokens, n_byte_tokens) of each row."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        index, pool, sizes = _Index(), np.zeros(0, np.int32), np.zeros(0, np.int64)
-        for batch in text_slices(batches, "text"):
+        solved = Solved(v)
+        for batch in text_slices(batches, "text", SLICE):
             texts = batch.column("text")
-            if len(index) > CACHE:
-                index, pool, sizes = _Index(), np.zeros(0, np.int32), np.zeros(0, np.int64)
-            known, numbers, counts = len(index), [], []
-            for raw in texts.cast(pa.binary()).to_pylist():
-                own = list(map(index.__getitem__, v.segment.findall(b" " + raw))) if raw else []
-                numbers += own
-                counts.append(len(own))
-            new = v.encode(list(islice(index, known, None)))
-            pool = np.concatenate([pool, *new])
-            sizes = np.concatenate([sizes, [len(x) for x in new]]).astype(np.int64)
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            numbers = np.array(numbers, np.int64)
-            own = sizes[numbers]
-            total = np.cumsum(own)
-            ids = pool[np.repeat(at[numbers] - total + own, own) + np.arange(total[-1] if len(total) else 0)]
-            rows = np.repeat(np.arange(len(counts)), counts)
-            n = np.bincount(rows, own, len(counts)).astype(np.int64)
-            fallback = np.bincount(np.repeat(np.arange(len(counts)), n), v.is_byte[ids], len(counts)).astype(np.int64)
-            lists = list_column(ids, n, pa.int32())
+            raw = texts.cast(pa.binary()).to_pylist()
+            if len(raw) == 1 and raw[0] and len(raw[0]) > SLICE:
+                found, parts = v.segment.finditer(b" " + raw[0]), []
+                while some := [m.group() for m in islice(found, RUN)]:
+                    parts.append(solved.ids(some)[0])
+                ids = np.concatenate(parts)
+                n = np.array([len(ids)], np.int64)
+            else:
+                lists = [v.segment.findall(b" " + x) if x else [] for x in raw]
+                ids, own = solved.ids([s for x in lists for s in x])
+                n = np.bincount(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), own, len(lists)).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            fallback = np.diff(np.concatenate([[0], np.cumsum(v.is_byte[ids])])[ends])
             if texts.null_count:
-                lists = pa.array([None if gone else x for gone, x in zip(texts.is_null().to_pylist(), lists.to_pylist(), strict=True)], lists.type)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists, pa.array(n), pa.array(fallback)], ["id", "token_ids", "n_tokens", "n_byte_tokens"])
+                column = pa.array([None if gone else ids[a:b] for gone, a, b in zip(texts.is_null().to_pylist(), ends[:-1], ends[1:], strict=True)], pa.list_(pa.int32()))
+            else:
+                column = list_column(ids, n, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), column, pa.array(n), pa.array(fallback, pa.int64())], ["id", "token_ids", "n_tokens", "n_byte_tokens"])
 
     kind = df.schema[id_column].dataType.simpleString()
     out = df.select(F.col(id_column).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, token_ids array<int>, n_tokens bigint, n_byte_tokens bigint")
@@ -246,14 +333,14 @@ def decode(df: DataFrame, vocabulary: Vocabulary, token_ids: str = "token_ids")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                ids = part.column(token_ids)
-                texts = [None if x is None else v.decode(x)[1:].tobytes().decode(errors="replace") for x in ([y.values.to_numpy() if y.is_valid else None for y in ids])]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "text"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{schema}, text string")
+            sizes = pc.fill_null(pc.list_value_length(batch.column(token_ids)), 0).cast(pa.int64())
+            marked = pa.RecordBatch.from_arrays([*batch.columns, sizes], [*batch.schema.names, "_n"])
+            for part in text_slices([marked], "_n", SLICE // 4):
+                ids = [y.values.to_numpy(zero_copy_only=False) if y.is_valid else None for y in part.column(token_ids)]
+                texts = [None if x is None else v.decode(x)[1:].tobytes().decode(errors="replace") for x in ids]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
