@@ -1,31 +1,42 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words are mapped to classes (insult, threat, target, negation, reported speech,
-article, other) and small transducers read the classes of a clause:
+article, other).  Five transducers read the classes of a clause; each hands
+every symbol on, some with a mark, and gives it a weight:
 
-* insult: emits the weight of the word;
-* threat: emits its weight in full once a target follows in the clause;
-* target: an insult near a target, before or after it, weighs more;
-* negation: a negation, with nothing but articles up to the insult, nearly
-  cancels it;
-* reported speech: after a verb of saying the rest of the clause weighs less.
+* negation: marks what follows a negation with nothing but articles between;
+* reported speech: marks all that follows a verb of saying;
+* target: marks what comes within `NEAR` words after a target;
+* insult: weighs insults by their marks, and a target soon after one;
+* threat: weighs threats by their marks, in full once a target follows.
 
-`GRAMMAR` is their composition, one table over the product of their states, so
-a clause is read once.  Clauses are scored, not words; a text's features are the
-sum and the maximum of its clause scores, and a logistic curve maps them to 0..1.
+`composed` makes one transducer of two: its states are the pairs of their states
+that can be reached, and weights of one symbol add up.  `GRAMMAR` is the
+composition of all five, so a clause is read once.  Clauses are scored, not
+words; a text's features are the sum and the maximum of its clause scores, and a
+logistic curve maps them to 0..1.
 
 The insult lexicon starts from `INSULTS`; further terms and all weights are
-learnt from up to `TRAIN_ROWS` labelled rows, a hash sample over all: half for
-the terms, half for the curve.
-
-Defined results: a null text is an empty one; a text without matches gets the
-curve's lowest score; without labels of both kinds the curve is `DEFAULT_CURVE`.
+learnt from up to about `TRAIN_ROWS` labelled rows, a hash sample over all: half
+for the terms, half for the curve.  At most `MOST_TERMS` terms are learnt, those
+of greatest log-likelihood ratio of at least `LEAST_G` whose log odds are at
+least `LEAST_WEIGHT`.  A known word that is learnt keeps its class: an insult or
+threat gets the learnt weight, words of the other classes stay as they are.
+
+Defined results: a null text is an empty one; a text without matches, an empty
+one too, gets the curve's lowest score; without labels of both kinds the curve
+is `DEFAULT_CURVE`.  A text of any length is read whole.  Terms of equal ratio
+are ordered by their hash.  Rows that repeat an id are scored each by its own
+text; labels that repeat an id count as their maximum; a null id or label is
+never learnt from.  An empty table gives an empty one.  Only the columns doc_id
+and text of the documents are read, whatever others they have.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,37 +65,87 @@ INSULT_WEIGHT, THREAT_WEIGHT = 4.0, 4.0
 NEAR = 3
 
 
-def _composed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """next state, factor of the word's weight, and factor of a weight held back, by state and class.
+CLASSES = 7
+#: A symbol is a class plus CLASSES times the sum of its marks.
+NEGATED, REPORTED, AIMED = 1, 2, 4
+SYMBOLS = CLASSES * 8
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Tables by state and symbol; state 0 is the start.
 
-    A state is (negation, reported, target distance, insult distance, threat
-    pending): whether a negation is open, a verb of saying was read, how many
-    words ago a target or an insult was (NEAR: none), and a threat without target.
+    An arc's weight is factor times the weight of the word that is read plus
+    bonus times the greatest word weight of the clause so far.
     """
-    states = list(product((0, 1), (0, 1), range(NEAR + 1), range(NEAR + 1), (0, 1)))
-    number = {s: i for i, s in enumerate(states)}
-    following, factor, bonus = (np.zeros((len(states), 7), kind) for kind in (np.int64, float, float))
-    for state, (negated, reported, target, insult, pending) in enumerate(states):
-        far = lambda d: min(d + 1, NEAR)
-        said = 0.4 if reported else 1.0
-        for c in range(7):
-            n = 1 if c == NEGATION or (negated and c == ARTICLE) else 0
-            r = 1 if reported or c == REPORT else 0
-            t = 0 if c == TARGET else far(target)
-            i = 0 if c == INSULT else far(insult)
-            p = 0 if c == TARGET else 1 if pending or c == THREAT else 0
-            following[state, c] = number[n, r, t, i, p]
-            if c == INSULT:
-                factor[state, c] = said * (0.1 if negated else 1.25 if target < NEAR else 1.0)
-            elif c == THREAT:
-                factor[state, c] = said * (0.1 if negated else 1.0 if target < NEAR else 0.25)
-            elif c == TARGET:
-                bonus[state, c] = said * ((0.25 if insult < NEAR else 0.0) + (0.75 if pending else 0.0))
-    return following, factor, bonus
-
-
-GRAMMAR = _composed()
-START = [s for s in product((0, 1), (0, 1), range(NEAR + 1), range(NEAR + 1), (0, 1))].index((0, 0, NEAR, NEAR, 0))
+
+    following: np.ndarray
+    output: np.ndarray
+    factor: np.ndarray
+    bonus: np.ndarray
+
+    @classmethod
+    def of(cls, states: int, step) -> Transducer:
+        """step(state, class, marks) gives (next state, marks, factor, bonus)."""
+        tables = [np.zeros((states, SYMBOLS), kind) for kind in (np.int64, np.int64, float, float)]
+        for state in range(states):
+            for symbol in range(SYMBOLS):
+                kind, marks = symbol % CLASSES, symbol // CLASSES
+                after, marked, factor, bonus = step(state, kind, marks)
+                for table_, value in zip(tables, (after, kind + CLASSES * marked, factor, bonus), strict=True):
+                    table_[state, symbol] = value
+        return cls(*tables)
+
+
+def composed(a: Transducer, b: Transducer) -> Transducer:
+    """b reads what a writes; weights add up.  Only pairs of states that can be reached become states."""
+    number, queue, rows = {(0, 0): 0}, [(0, 0)], []
+    for x, y in queue:
+        middle = a.output[x]
+        after = list(zip(a.following[x].tolist(), b.following[y, middle].tolist(), strict=True))
+        for pair in after:
+            if pair not in number:
+                number[pair] = len(number)
+                queue.append(pair)
+        rows.append(([number[pair] for pair in after], b.output[y, middle], a.factor[x] + b.factor[y, middle], a.bonus[x] + b.bonus[y, middle]))
+    return Transducer(*(np.array(x) for x in zip(*rows, strict=True)))
+
+
+def _said(marks: int) -> float:
+    return 0.4 if marks & REPORTED else 1.0
+
+
+def _negation(state: int, kind: int, marks: int) -> tuple[int, int, float, float]:
+    """State 1: a negation is open."""
+    return int(kind == NEGATION or (state and kind == ARTICLE)), marks | (NEGATED if state else 0), 0.0, 0.0
+
+
+def _reported(state: int, kind: int, marks: int) -> tuple[int, int, float, float]:
+    """State 1: a verb of saying was read."""
+    return int(state or kind == REPORT), marks | (REPORTED if state else 0), 0.0, 0.0
+
+
+def _target(state: int, kind: int, marks: int) -> tuple[int, int, float, float]:
+    """State 0: no target near; k: NEAR + 1 - k words since a target, of which the last still is near."""
+    return NEAR if kind == TARGET else max(0, state - 1), marks | (AIMED if state else 0), 0.0, 0.0
+
+
+def _insult(state: int, kind: int, marks: int) -> tuple[int, int, float, float]:
+    """States as of `_target`, for insults."""
+    factor = _said(marks) * (0.1 if marks & NEGATED else 1.25 if marks & AIMED else 1.0) if kind == INSULT else 0.0
+    bonus = 0.25 * _said(marks) if kind == TARGET and state else 0.0
+    return NEAR if kind == INSULT else max(0, state - 1), marks, factor, bonus
+
+
+def _threat(state: int, kind: int, marks: int) -> tuple[int, int, float, float]:
+    """State 1: a threat waits for its target."""
+    factor = _said(marks) * (0.1 if marks & NEGATED else 1.0 if marks & AIMED else 0.25) if kind == THREAT else 0.0
+    bonus = 0.75 * _said(marks) if kind == TARGET and state else 0.0
+    return int(kind != TARGET and (state or kind == THREAT)), marks, factor, bonus
+
+
+PARTS = tuple(Transducer.of(n, step) for n, step in ((2, _negation), (2, _reported), (NEAR + 1, _target), (NEAR + 1, _insult), (2, _threat)))
+GRAMMAR = reduce(composed, PARTS)
 
 # Letters, digits and bytes of other scripts make words; these bytes end a clause.
 BETWEEN = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) for b in range(256)])
@@ -105,6 +166,24 @@ def hashed(terms: list[str]) -> np.ndarray:
     return words(lowered(data), offsets, BETWEEN)[0]
 
 
+def _scores(classes: np.ndarray, weights: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Scores of clauses that lie one after the other; all clauses take their next step together."""
+    starts = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    starts, left = starts[order], np.sort(lengths)
+    state, total, held = np.zeros(len(order), np.int64), np.zeros(len(order)), np.zeros(len(order))
+    for t in range(int(lengths.max(initial=0))):
+        n = len(left) - int(np.searchsorted(left, t, side="right"))
+        at = starts[:n] + t
+        own, weight = classes[at], weights[at]
+        total[:n] += GRAMMAR.factor[state[:n], own] * weight + GRAMMAR.bonus[state[:n], own] * held[:n]
+        held[:n] = np.maximum(held[:n], weight)
+        state[:n] = GRAMMAR.following[state[:n], own]
+    out = np.zeros(len(order))
+    out[order] = total
+    return out
+
+
 class Lexicon:
     """Class and weight of the known words, found by binary search of their hashes."""
 
@@ -112,7 +191,10 @@ class Lexicon:
         known: dict[int, tuple[int, float]] = {}
         for kind, terms, weight in ((ARTICLE, ARTICLES, 0), (REPORT, REPORTS, 0), (NEGATION, NEGATIONS, 0), (TARGET, TARGETS, 0), (THREAT, THREATS, THREAT_WEIGHT), (INSULT, INSULTS, INSULT_WEIGHT)):
             known |= {int(h): (kind, weight) for h in hashed(terms)}
-        known |= {h: (INSULT, w) for h, w in (learnt or {}).items()}
+        for h, w in (learnt or {}).items():
+            kind = known.get(h, (INSULT, 0))[0]
+            if kind in (INSULT, THREAT):
+                known[h] = (kind, w)
         self.hashes = np.array(sorted(known), np.uint64)
         self.classes = np.array([known[int(h)][0] for h in self.hashes])
         self.weights = np.array([known[int(h)][1] for h in self.hashes], float)
@@ -130,18 +212,15 @@ class Lexicon:
         begins = np.flatnonzero(np.concatenate([[True], (ends[1:] != ends[:-1]) | (rows[1:] != rows[:-1])]))
         bounds = np.append(begins, len(hashes))
         marked = np.unique(np.searchsorted(begins, np.flatnonzero((classes == INSULT) | (classes == THREAT)), side="right") - 1)
-        following, factor, bonus = GRAMMAR
-        scores = np.zeros(len(marked))
-        for k, clause in enumerate(marked.tolist()):
-            state, total, held = START, 0.0, 0.0
-            a, b = bounds[clause], bounds[clause + 1]
-            for c, p in zip(classes[a:b].tolist(), place[a:b].tolist(), strict=True):
-                weight = self.weights[p] if c in (INSULT, THREAT) else 0.0
-                total += factor[state, c] * weight + bonus[state, c] * held
-                held = max(held, weight)
-                state = following[state, c]
-            scores[k] = total
-        return rows[begins[marked]], scores
+        # After NEAR other words in a row nothing but the reported state and a waiting threat is left, so further ones change nothing.
+        clause = np.repeat(np.arange(len(begins)), np.diff(bounds))
+        wanted = np.zeros(len(begins), bool)
+        wanted[marked] = True
+        since = np.arange(len(classes)) - np.maximum.accumulate(np.where(classes != OTHER, np.arange(len(classes)), 0))
+        kept = np.flatnonzero(wanted[clause] & ((since <= NEAR) | (np.arange(len(classes)) - begins[clause] < NEAR)))
+        weights = np.where((classes == INSULT) | (classes == THREAT), self.weights[place], 0.0)
+        lengths = np.bincount(clause[kept], minlength=len(begins))[marked]
+        return rows[begins[marked]], _scores(classes[kept], weights[kept], lengths)
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log(1 + sum) and maximum of the clause scores of each text."""
@@ -211,9 +290,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int
     own = labels.groupBy("doc_id").agg(F.max(label).alias("label")).where("label is not null").where(crc_mod("doc_id", fold) != 2)
     share = min(1.0, train_rows / max(1, own.count()))
     draw = F.crc32(F.concat(F.lit("train:"), F.col("doc_id").cast("string")).cast("binary"))
-    own = own.where(draw < F.lit(int(share * (1 << 32)))).withColumn("half", F.pmod(draw, F.lit(2)))
+    own = checkpointed(own.where(draw < F.lit(int(share * (1 << 32)))).withColumn("half", F.pmod(draw, F.lit(2))))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    train = checkpointed(rows.join(own, "doc_id"))
+    # The sample has train_rows ids as its mean, which bounds the broadcast; only the texts of the training move.
+    drawn = own.count()
+    if drawn > 2 * train_rows:
+        raise ValueError(f"{drawn} rows were drawn for a training of {train_rows}")
+    train = checkpointed(rows.join(F.broadcast(own), "doc_id"))
     lexicon = Lexicon(learn_terms(train.where("half = 0")))
     curve = fit_curve(measured(train.where("half = 1"), lexicon, ["label"]))
     found = measured(rows, lexicon, ["doc_id"])
