@@ -32,6 +32,23 @@ def crc_mod(column: str, divisor: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
+def document_keys(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, ...) whose doc_id is a key that is not null and never stands for two different texts.
+
+    Where no id is null or repeats, which one count by id tells, keys are the ids themselves.
+    Else documents are numbered in the order of their ids, nulls last; different texts of
+    one id are documents of their own, in the order of a hash; equal texts of one id share a key.
+    """
+    if rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return rows
+    texts = rows.select("doc_id", F.xxhash64("text").alias("hash")).distinct()
+    order = [F.col("doc_id").asc_nulls_last(), F.col("hash")]
+    keys = checkpointed(texts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id()))
+    own = keys.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("key").alias("_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    return rows.join(own, same).withColumn("doc_id", F.col("_key")).drop("_id", "_hash", "_key")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string or binary column as one buffer, and the n + 1 offsets into it; nulls are empty."""
     if column.null_count:

@@ -1,29 +1,42 @@
-"""Exact substring dedup in the order of a suffix array, by bucket-pointer refinement.
+"""Exact substring dedup in the manner of a suffix array, by bucket-pointer refinement.
 
 A byte is removed if a string of `LENGTH` bytes covers it that also starts
-earlier: in a document of smaller id, or earlier in the same one.  Instead of
-sorting all suffixes, the suffixes are put into buckets that are refined only
-as far as they can still hold equal strings:
-
-1. Every window of `LENGTH` bytes is represented by its least q-gram (by a hash,
-   the leftmost of equals), so equal windows have the same q-gram at the same
-   place.  Neighbouring windows with the same representative form one block;
-   the q-gram names the block's initial bucket.
-2. A bucket is refined by the identifier of the block's later (and earlier)
-   bytes.  A block equal to an earlier one is settled: all its windows go.  A
-   block alone in its bucket is settled: all its windows stay.
-3. First occurrences in buckets that still hold different blocks are refined
-   again: each block is cut into parts of fewer and fewer windows (`PARTS`), whose bucket
-   is what all windows of the part share, down to single windows.  Settled blocks
-   take no part, and each round names its buckets from the same prefix sums.
-
-An identifier is a 64-bit hash, compared only inside one bucket.  Each task first
+earlier: in a document before it, or earlier in the same one.
+
+An identifier of depth D names the string of D bytes at a place.  The first
+ones are the q-grams of 8 bytes; an identifier of depth D pairs the one of the
+depth d before it at the same place with the one of depth d at a later offset,
+D - d bytes on, and so on up to `LENGTH` (`DEPTHS`): each refinement reuses the
+identifiers that the last one made.  Identifiers are labels instead of ranks, as
+a label is the same in every task, while a rank would have to be sent back to
+every place; equality, not the order of different strings, is what is asked.
+
+Suffixes are put into buckets by the identifier of a small depth, and a bucket is
+refined, by sorting its rows on the identifiers of a greater depth, only as far
+as it can still hold equal strings of `LENGTH` bytes:
+
+1. Every window of `LENGTH` bytes is represented by its least q-gram of `GRAM` bytes (by
+   identifier, the leftmost of equals), so equal windows have the same q-gram at
+   the same place.  Neighbouring windows with the same representative form one
+   block, whose initial bucket is that q-gram.
+2. The rows of a bucket are sorted on the identifiers of depth `LENGTH` at the
+   first and the last window of their blocks.  A block equal to an earlier one is
+   settled: all its windows go.  A block alone in its bucket is settled: all its windows stay.
+3. The other blocks are cut into parts of LENGTH + 1 - D windows, for each depth D of `REFINED`; all
+   windows of a part share a string of D bytes, whose identifier is the part's refined bucket.  These
+   buckets are sorted and settled in the same way.  At depth `LENGTH` a part is one window.
+
+An identifier has 64 bits and is compared only inside one bucket.  Each task first
 settles what repeats within its own slice, so that a key of many copies reaches
 a bucket once for each slice; further rows of a bucket that is known to stay
 open are spread over tasks by their identifiers.
 
-Defined results: a null or short text has nothing removed; ids are taken to be
-unique, and rows that repeat an id with its text get equal results.
+Defined results: a null, empty or short text has nothing removed, and an empty
+table gives an empty one.  Documents are ordered by id, a null id last; rows
+that repeat an id with its text are one document and get equal results, different
+texts of one id are documents of their own, in the order of a hash.  A text of
+any length is judged whole: texts longer than a slice are read in pieces that overlap.
+Columns of any name are handed on inside `rest`.
 """
 
 from __future__ import annotations
@@ -37,27 +50,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix64, odd_constants, packed, power, table, text_slices, unpacked, utf8
+from .common import document_keys, mix64, packed, table, text_slices, unpacked, utf8
 
 LENGTH = 100
 GRAM = 24
-PARTS = (16, 4, 1)
+#: Depths of the identifiers; each is at most twice the one before it.
+DEPTHS = (8, 16, GRAM, 48, 84, 96, LENGTH)
+#: Depths at which open buckets are sorted again.
+REFINED = (84, 96, LENGTH)
 SLICE = 2 << 20
 # Bits of `place`, which packs the first window (from bit 16), the number of windows less one, and the place of the q-gram.
 OPEN, REMOVED = 1 << 15, 1 << 7
 ROW = "route bigint, name bigint, doc_id bigint, place bigint"
 
 
-class Names:
-    """Identifiers of the substrings of a buffer, from prefix sums of a polynomial hash."""
-
-    def __init__(self, data: np.ndarray) -> None:
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(odd_constants(256, 41)[data] * power(len(data)), out=self.sums[1:])
-        self.inverse = power(len(data) + 1, True)
-
-    def of(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
-        return mix64((self.sums[end] - self.sums[start]) * self.inverse[start] + np.asarray(salt).astype(np.uint64))
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit label of each pair of labels."""
+    x = a * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x += b
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def identifiers(data: np.ndarray, wanted: tuple[int, ...]) -> list[np.ndarray]:
+    """Identifiers of the wanted depths, ascending, at each place where a string of that depth starts."""
+    found = []
+    ids = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, DEPTHS[0])).view(np.uint64).ravel() if len(data) >= DEPTHS[0] else np.zeros(0, np.uint64)
+    for before, depth in zip(DEPTHS, DEPTHS[1:], strict=False):
+        later = depth - before
+        ids = paired(ids[: max(0, len(ids) - later)], ids[later:])
+        if depth in wanted:
+            found.append(ids)
+        if depth == max(wanted):
+            break
+    return found
 
 
 def blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -66,9 +94,8 @@ def blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(data) - LENGTH + 1
     if n < 1:
         return none
-    names = Names(data)
-    at = np.arange(len(data) - GRAM + 1)
-    grams = names.of(at, at + GRAM)
+    grams, whole = identifiers(data, (GRAM, LENGTH))
+    at = np.arange(len(grams))
     key = (grams & np.uint64(0xFFFFFFFFFF000000)) | at.astype(np.uint64)
     width = LENGTH - GRAM + 1
     step, least = 1, key
@@ -84,11 +111,16 @@ def blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         return none
     last = np.flatnonzero(inside & np.concatenate([(gram_at[1:] != gram_at[:-1]) | ~inside[1:], [True]]))
     gram, row = gram_at[first], row[first]
-    name = names.of(first, last + LENGTH, (last - first) * 256 + gram - first)
+    name = named(whole, first, last, gram)
     base = offsets[row]
     return row, first - base, last - base, gram - base, grams[gram], name
 
 
+def named(whole: np.ndarray, first: np.ndarray, last: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Identifiers of blocks: of their first and last windows, which overlap, and of their shape."""
+    return mix64(paired(whole[first], whole[last]) + ((last - first) * 256 + gram - first).astype(np.uint64))
+
+
 def settle(doc: np.ndarray, first: np.ndarray, last: np.ndarray, gram: np.ndarray, bucket: np.ndarray, name: np.ndarray, spans: tuple | None = None) -> pa.RecordBatch:
     """Rows of ROW: what repeats within this slice is marked as removed, the rest is routed to its bucket.
 
@@ -135,7 +167,7 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 def _initial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches, "text", SLICE):
         data, offsets = utf8(batch.column("text"))
-        docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        docs = batch.column("doc_id").to_numpy()
         # A text longer than a slice is cut into pieces that share LENGTH - 1 bytes.
         pieces = [(0, data, offsets)] if len(data) <= SLICE or len(docs) > 1 else [(s, data[s : s + SLICE + LENGTH - 1], np.array([0, min(len(data) - s, SLICE + LENGTH - 1)])) for s in range(0, len(data) - LENGTH + 1, SLICE)]
         for base, part, ends in pieces:
@@ -143,17 +175,30 @@ def _initial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield settle(docs[row], first + base, last + base, gram + base, bucket, name)
 
 
-def _refined(part: int):
-    """Cut open blocks into parts of `part` windows (1: single windows) and settle these."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(data, start of each document, ids, document of each row, end, place): slices; a longer text comes in overlapping pieces with the rows that start in each."""
+    for batch, texts in unpacked(batches, SLICE):
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *[len(x) for x in texts]])
+        docs = batch.column("doc_id").to_numpy()
+        rows = batch.column("rows")
+        owner = np.repeat(np.arange(len(docs)), rows.value_lengths().to_numpy())
+        end, place = (rows.flatten().field(k).to_numpy() for k in range(2))
+        if len(docs) > 1 or len(data) <= SLICE:
+            yield data, offsets, docs, owner, end, place
+            continue
+        piece = np.maximum((place >> 16) // SLICE, 0)
+        for k in range(-(-len(data) // SLICE)):
+            own = piece == k
+            # The windows of a block start within LENGTH of its first one.
+            yield data[k * SLICE : (k + 1) * SLICE + 2 * LENGTH], np.array([-k * SLICE]), docs, owner[own], end[own], place[own]
+
+
+def _refined(depth: int):
+    """Cut open blocks into parts whose windows share a string of this depth, and settle these."""
+    part = LENGTH + 1 - depth
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in unpacked(batches, SLICE):
-            data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
-            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            rows = batch.column("rows")
-            owner = np.repeat(np.arange(len(docs)), rows.value_lengths().to_numpy(zero_copy_only=False))
-            found = rows.flatten()
-            end, place = (found.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+        for data, offsets, docs, owner, end, place in _pieces(batches):
             gone = end > 0
             spans = (docs[owner[gone]], place[gone] >> 16, end[gone])
             owner, place = owner[~gone], place[~gone]
@@ -170,10 +215,9 @@ def _refined(part: int):
             low, high = first[windows] + step[begins], first[windows] + step[lasts]
             gram = first[windows] + reach[windows]
             base = offsets[owner[windows]]
-            names = Names(data)
-            shared = base + gram - group * part
-            bucket = names.of(shared, shared + LENGTH - part + 1, group)
-            name = names.of(base + low, base + high + LENGTH, (high - low) * 256 + gram - low) if part > 1 else bucket
+            found = identifiers(data, (depth, LENGTH))
+            bucket = mix64(found[0][base + gram - group * part] + group.astype(np.uint64))
+            name = named(found[1], base + low, base + high, base + gram) if part > 1 else bucket
             yield settle(docs[owner[windows]], low, high, gram, bucket, name, spans)
 
     return refine
@@ -197,8 +241,8 @@ def _bucketed(rows: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, small: DataFrame) -> DataFrame:
     """(doc_id, rows) with the removed spans of (doc_id, text), as structs (end, place); small is packed(docs)."""
     found = _bucketed(docs.select("doc_id", "text").mapInArrow(_initial, ROW))
-    for part in PARTS:
-        found = _bucketed(small.join(found.hint("shuffle_hash"), "doc_id").mapInArrow(_refined(part), ROW))
+    for depth in REFINED:
+        found = _bucketed(small.join(found, "doc_id").mapInArrow(_refined(depth), ROW))
     return found
 
 
@@ -209,10 +253,11 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     other columns; spans are the removed byte ranges.
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_column, text)]
-    rest = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
+    rest = F.struct(F.col(id_column).cast("bigint").alias("id"), (F.struct(*others) if others else F.struct(F.lit(0).alias("none"))).alias("others"))
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), rest.alias("rest"))
+    rows = document_keys(rows)
     small = packed(rows)
-    joined = small.join(repeated_spans(rows, small).hint("shuffle_hash"), "doc_id", "left")
+    joined = small.join(repeated_spans(rows, small), "doc_id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in unpacked(batches, SLICE):
@@ -228,7 +273,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rest"), *[pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], ["doc_id", "rest", "text", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
-    return joined.mapInArrow(cut, f"doc_id bigint, rest {rows.schema['rest'].dataType.simpleString()}, text string, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string")
+    schema = f"doc_id bigint, rest {rows.schema['rest'].dataType.simpleString()}, text string, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string"
+    return joined.mapInArrow(cut, schema).withColumns({"doc_id": F.col("rest.id"), "rest": F.col("rest.others")})
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
