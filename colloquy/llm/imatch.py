@@ -9,14 +9,18 @@ subset of every draw.  Two texts are as alike as the share of equal hashes among
 term of either.
 
 The number of lexicon terms is at most (mean distinct terms of a document) /
-`LOW`, whatever the number of documents, which bounds the broadcast table of
-terms and subsets.  Words meet that table as rows, so that splitting, hashing
-and looking up run as generated code; a text's rows stay in its own task.
-
-Defined results: a null text is an empty one; a text without any chosen term has
-a fingerprint of its whole text, like another only if equal; an only document is
-its own next one; a repeated id gives a row for each pair of its own rows and
-those of the next id.
+`LOW`, whatever the number of documents.  Their table is broadcast up to
+`MOST_BROADCAST` terms and joined by a shuffle beyond.  Words meet that table as
+rows, so that splitting, hashing and looking up run as generated code; a text's
+rows stay in its own task, and carry its id and a few numbers only.
+
+Defined results: a null text is an empty one; a text without any chosen term, an
+empty one too, has a fingerprint of its whole text, like another only if equal; an
+only document is its own next one.  Documents are in the order of their ids, a
+null id last; rows that repeat an id with its text are one document and give one
+row, different texts of one id are documents of their own in the order of a hash.
+Texts of any length are read whole; an empty table gives an empty one; only
+doc_id and text of the input are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, document_keys, table
 
 LOW, HIGH = 0.002, 0.05
 DRAWS = 1
@@ -35,6 +39,8 @@ CHOICES = ONE_IN
 SUBSETS = DRAWS * CHOICES
 #: A subset's number gives its draw and its class.
 NUMBERS = tuple(d * ONE_IN + c for d in range(DRAWS) for c in range(CHOICES))
+#: Lexicon terms that are broadcast, at 16 bytes each.
+MOST_BROADCAST = 2_000_000
 #: Stands for the text itself among its words, so that each text has a row.
 WHOLE = -1
 
@@ -60,15 +66,16 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float =
 
 
 def hashes_of(texts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, found) of rows (keys, text) whose keys are unique: structs (subset, hash) of the subsets that hold a term of the text.
+    """(keys, hashes) of rows (keys, text), equal for equal keys: one 32-bit hash for each subset, null where it holds no term of the text.
 
     Rows that are dealt out by a key are not dealt out again.
     """
     words = texts.select(*keys, F.explode(F.concat(words_of(F.col("text")), F.array(F.lit("")))).alias("word"))
-    known = words.select(*keys, F.xxhash64("word").alias("term")).join(F.broadcast(terms), "term")
+    known = words.select(*keys, F.xxhash64("word").alias("term")).join(F.broadcast(terms) if terms.count() <= MOST_BROADCAST else terms, "term")
     each = known.groupBy(*keys, "subset").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    hashed = each.select(*keys, F.when(F.col("subset") != WHOLE, F.struct("subset", F.xxhash64("terms", "subset").alias("hash"))).alias("own"))
-    return hashed.groupBy(*keys).agg(F.collect_list("own").alias("found"))
+    low = F.shiftright(F.shiftleft(F.xxhash64("terms", "subset"), 32), 32).cast("int")
+    hashed = each.select(*keys, F.when(F.col("subset") != WHOLE, F.struct("subset", low.alias("hash"))).alias("own"))
+    return hashed.groupBy(*keys).agg(F.collect_list("own").alias("found")).select(*keys, by_subset(F.col("found")).alias("hashes"))
 
 
 def by_subset(found: Column) -> Column:
@@ -108,37 +115,36 @@ def next_ids(ids: DataFrame) -> DataFrame:
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_chars, edited, next_id, next_sha) of (doc_id, text), dealt out by doc_id.
+    """(key, text, n_chars, edited, next_key) of (doc_id, text), dealt out by key, and doc_id where keys and ids differ.
 
-    The edited text has its last quarter replaced by the beginning of the next document; next_sha is the digest of that one's text.
+    The edited text has its last quarter replaced by the beginning of the next document.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("id"))
+    rows = document_keys(given)
+    # Without a column that only one side needs, both sides of the join share one shuffle.
+    own = [] if rows is given else [F.col("id").alias("doc_id")]
     follow = checkpointed(next_ids(rows.select("doc_id", F.length("text").alias("n"))))
     dealt = rows.repartition("doc_id")
-    asked = follow.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), F.floor(F.col("n") / 4).cast("int").alias("quarter"))
-    tails = dealt.join(asked.distinct(), "doc_id").select(
-        F.col("for_id").alias("doc_id"), F.col("doc_id").alias("next_id"), F.sha2("text", 256).alias("next_sha"), F.substring("text", F.lit(1), F.col("quarter")).alias("tail")
-    )
+    asked = follow.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_key"), F.floor(F.col("n") / 4).cast("int").alias("quarter"))
+    tails = dealt.join(asked.distinct(), "doc_id").select(F.col("for_key").alias("doc_id"), F.col("doc_id").alias("next_key"), F.substring("text", F.lit(1), F.col("quarter")).alias("tail"))
     joined = dealt.join(tails, "doc_id").withColumn("n_chars", F.length("text").cast("bigint"))
     kept = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
-    return joined.select("doc_id", "text", "n_chars", F.concat(F.substring("text", F.lit(1), kept), "tail").alias("edited"), "next_id", "next_sha")
+    return joined.select(F.col("doc_id").alias("key"), *own, "text", "n_chars", F.concat(F.substring("text", F.lit(1), kept), "tail").alias("edited"), "next_key")
 
 
 def with_next(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of (doc_id, text), against `edited_texts` and the next document."""
-    edited = edited_texts(docs).withColumn("row", F.monotonically_increasing_id())
-    texts = edited.select("doc_id", "row", "n_chars", "next_id", "next_sha", F.posexplode(F.array("text", "edited")).alias("which", "text"))
-    keys = ["doc_id", "row", "n_chars", "next_id", "next_sha", "which", "sha"]
-    found = hashes_of(texts.withColumn("sha", F.sha2("text", 256)), terms, keys)
-    same = ["doc_id", "row", "n_chars", "next_id", "next_sha"]
+    edited = edited_texts(docs)
+    same = [c for c in edited.columns if c not in ("text", "edited")]
+    texts = edited.select(*same, F.posexplode(F.array("text", "edited")).alias("which", "text"))
+    found = hashes_of(texts.withColumn("sha", F.unhex(F.sha2("text", 256))), terms, [*same, "which", "sha"]).withColumn("sha", F.lower(F.hex("sha")))
     of = lambda column, which: F.max(F.when(F.col("which") == which, F.col(column)))
-    both = checkpointed(found.groupBy(*same).agg(of("sha", 0).alias("sha"), of("sha", 1).alias("edited_sha"), of("found", 0).alias("found"), of("found", 1).alias("edited_found")))
-    following = both.groupBy(F.col("doc_id").alias("next_id"), F.col("sha").alias("next_sha")).agg(F.max("found").alias("next_found"))
-    out = both.join(following, ["next_id", "next_sha"])
-    out = out.withColumns({"hashes": by_subset(F.col("found")), "edited_hashes": by_subset(F.col("edited_found")), "next_hashes": by_subset(F.col("next_found"))})
+    both = checkpointed(found.groupBy(*same).agg(of("sha", 0).alias("sha"), of("sha", 1).alias("edited_sha"), of("hashes", 0).alias("hashes"), of("hashes", 1).alias("edited_hashes")))
+    following = both.select(F.col("key").alias("next_key"), F.col("hashes").alias("next_hashes"), F.col("sha").alias("next_sha"))
+    out = both.join(following, "next_key")
     out = out.withColumns({f"{x}print": fingerprint_of(F.col(f"{x}hashes"), F.col(f"{x}sha")) for x in ("", "edited_", "next_")})
     return out.select(
-        "doc_id", "n_chars", F.col("edited_sha").alias("edited_sha256"), F.col("print").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"),
+        F.col("doc_id" if "doc_id" in same else "key").alias("doc_id"), "n_chars", F.col("edited_sha").alias("edited_sha256"), F.col("print").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"),
         likeness(F.col("hashes"), F.col("print"), F.col("edited_hashes"), F.col("edited_print")).alias("near_edited"),
         likeness(F.col("hashes"), F.col("print"), F.col("next_hashes"), F.col("next_print")).alias("near_next"),
     )
