@@ -18,9 +18,18 @@ and a shingle that occurs in one component only cannot be part of a link between
 two; the same holds of a class and what a bucket's most frequent component does
 not contain.  Classes and pairs whose other shingles are too few are left out.
 
-Defined results: a null text or one without words has an empty set and is linked
-with nothing; a text of one to four words has its whole sequence as the one
-shingle; rows that repeat an id count as one document if their texts are equal.
+Members of a bucket are dealt out in blocks of about `BLOCK` rows, so that a bucket of many
+copies is the work of many tasks: a pivot goes to each block, and members that
+are compared with others meet them block by block.
+
+Defined results: a null or empty text, or one without words, has an empty set and is
+linked with nothing; a text of one to four words has its whole sequence as the one
+shingle; texts of any length are taken whole.  Documents are in the order of
+their ids, a null id last; component_id is the id of a component's first
+document.  Rows that repeat an id with its text are one document and get equal
+rows, so all of them are kept or none; different texts of one id are documents of
+their own in the order of a hash, of which a component keeps only the first.  An empty
+table gives an empty one; only id and text of the input are read.
 """
 
 from __future__ import annotations
@@ -34,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import checkpointed, list_column, mix64, odd_constants, packed, shingles, table, text_slices, unpacked, utf8, words
+from .common import checkpointed, document_keys, list_column, mix64, odd_constants, packed, shingles, table, text_slices, unpacked, utf8, words
 
 BANDS = 40
 BAND_ROWS = 4
@@ -42,6 +51,7 @@ MINHASHES = BANDS * BAND_ROWS
 SKETCH_BITS = 512
 SKETCH_FLOOR = 0.4
 SLICE = 1 << 20
+BLOCK = 1024
 
 
 def minhashes(values: np.ndarray, counts: np.ndarray, n: int = MINHASHES) -> np.ndarray:
@@ -145,10 +155,25 @@ def by_sketch(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.where(sketch_similarity(F.col("_a"), F.col("_b")) >= SKETCH_FLOOR).select("a", "b")
 
 
+def blocks_of(many: Column) -> Column:
+    """Blocks that so many rows are dealt out in."""
+    return F.greatest(F.ceil(many / F.lit(float(BLOCK))).cast("int"), F.lit(1))
+
+
+def own_block(rep: Column, many: Column) -> Column:
+    return F.pmod(F.xxhash64(rep), blocks_of(many)).cast("int")
+
+
+def all_blocks(many: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), blocks_of(many) - 1))
+
+
 def by_pivot(members: DataFrame, threshold: int) -> DataFrame:
     """Pairs of each bucket's most popular member with its other members."""
-    pivots = members.groupBy("key").agg(F.max(F.struct("popularity", "rep", "n")).alias("pivot"))
-    pairs = members.join(pivots, "key").where((F.col("rep") != F.col("pivot.rep")) & may_link((F.col("n"), F.col("pivot.n")), threshold))
+    pivots = members.groupBy("key").agg(F.max(F.struct("popularity", "rep", "n")).alias("pivot"), F.first("many").alias("many"))
+    pivots = pivots.select("key", "pivot", all_blocks(F.col("many")).alias("block"))
+    own = members.withColumn("block", own_block(F.col("rep"), F.col("many")))
+    pairs = own.join(pivots, ["key", "block"]).where((F.col("rep") != F.col("pivot.rep")) & may_link((F.col("n"), F.col("pivot.n")), threshold))
     return pairs.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
 
 
@@ -165,32 +190,41 @@ def across(labelled: DataFrame, sets: DataFrame, classes: DataFrame, threshold:
     """Pairs of one bucket and different components that can be similar, by what they can have in common and by their sketches.
 
     A pair of several common buckets comes from the one of least key.
+    A bucket's rows and those that are compared with them are both cut into blocks, and each pair of blocks is a key of its own.
     """
-    main = labelled.groupBy("key", "component").agg(F.count("*").alias("many")).groupBy("key").agg(F.max_by("component", F.struct("many", "component")).alias("main"))
-    rows = labelled.join(main, "key").join(classes.select("rep", "bands", "sketch"), "rep")
+    counts = labelled.groupBy("key", "component").agg(F.count("*").alias("many"))
+    main = counts.groupBy("key").agg(F.max_by("component", F.struct("many", "component")).alias("main"), F.sum("many").alias("many"), F.max("many").alias("of_main"))
+    rows = labelled.drop("many").join(main, "key").join(classes.select("rep", "bands", "sketch"), "rep").withColumn("asking", F.col("many") - F.col("of_main"))
     asking = rows.where("component <> main").join(main_counts(rows, sets), ["rep", "main"], "left")
-    asking = asking.select("key", *[F.col(c).alias(f"q_{c}") for c in ("rep", "n", "cross", "component", "held", "bands", "sketch")])
+    asking = asking.withColumns({"q_block": own_block(F.col("rep"), F.col("asking")), "block": all_blocks(F.col("many"))})
+    asking = asking.select("key", "block", "q_block", *[F.col(c).alias(f"q_{c}") for c in ("rep", "n", "cross", "component", "held", "bands", "sketch")])
+    rows = rows.withColumns({"block": own_block(F.col("rep"), F.col("many")), "q_block": all_blocks(F.col("asking"))})
     of_main = F.col("component") == F.col("main")
     other = (F.col("component") != F.col("q_component")) & (of_main | (F.col("rep") < F.col("q_rep")))
     common = F.least("cross", "q_cross", F.when(of_main, F.coalesce("q_held", F.lit(0))))
     near = common * 100 >= (F.col("n") + F.col("q_n") - common) * threshold
     alike = sketch_similarity(F.col("sketch"), F.col("q_sketch")) >= SKETCH_FLOOR
     once = F.array_min(F.array_intersect("bands", "q_bands")) == F.col("key")
-    return rows.join(asking, "key").where(other & near & alike & once).select(F.least("rep", "q_rep").alias("a"), F.greatest("rep", "q_rep").alias("b")).distinct()
+    found = rows.join(asking, ["key", "block", "q_block"]).where(other & near & alike & once)
+    return found.select(F.least("rep", "q_rep").alias("a"), F.greatest("rep", "q_rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each document."""
-    signed = checkpointed(signatures(docs, id_column, text))
+    given = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{id_column}`").cast("bigint").alias("id"))
+    rows = document_keys(given)
+    keys = None if rows is given else checkpointed(rows.select("doc_id", "id"))
+    rows = rows.select("doc_id", "text")
+    signed = checkpointed(signatures(rows))
     classes = signed.where("n > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = checkpointed(classes)
     members = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     members = checkpointed(members.join(shared, "key"))
     popular = members.groupBy("rep").agg(F.sum("many").alias("popularity"))
-    members = checkpointed(members.join(popular, "rep").select("key", "rep", "n", "popularity"))
+    members = checkpointed(members.join(popular, "rep").select("key", "rep", "n", "many", "popularity"))
     sketches = classes.select("rep", "sketch")
-    texts = packed(docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(F.lit(0).alias("none")).alias("rest")))
+    texts = packed(rows.withColumn("rest", F.struct(F.lit(0).alias("none"))))
     sets = checkpointed(shingle_sets(texts.join(popular.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")))
 
     tried = checkpointed(by_sketch(by_pivot(members, threshold), sketches))
@@ -207,7 +241,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     owners = classes.select("set_a", "set_b", "rep").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n", "set_a", "set_b").join(owners, ["set_a", "set_b"], "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    if keys is None:
+        return out
+    own = keys.distinct().select(F.col("doc_id").alias("_key"), F.col("id").alias("_id"))
+    first = own.select(F.col("_key").alias("_first"), F.col("_id").alias("_of"))
+    named = out.join(own, F.col("doc_id") == F.col("_key")).join(first, F.col("component_id") == F.col("_first"))
+    return named.select(F.col("_id").alias("doc_id"), "n_shingles", F.col("_of").alias("component_id"), "kept")
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
