@@ -6,9 +6,16 @@ Fourier transform into time-coded arrays, in the way of a landmark fingerprint:
 the strongest peak of a frame is paired with all peaks of the next `REACH`
 frames, and a pair is coded from its two frequencies and their distance in time.
 
+Two sounds are compared by their codes in common at one difference of times
+(`common_landmarks`), which a cut or a shift by whole hops leaves as they are.
+
 Defined results: a null text is an empty text; an empty text is stored as one
-block of spaces; equal payloads give equal files and fingerprints; a null file,
-or bytes that are no 8-bit mono WAV, give null columns and no pairs.
+block of spaces; equal payloads, so repeated rows too, give equal files and
+fingerprints; a null file, or bytes that are no 8-bit mono WAV, give null columns
+and no pairs; of bins of equal strength the lowest is the peak.  Ids are handed on as
+they are, null or repeated.  Texts of any length that Spark can hold (2 GB, where
+the size fields of a WAV file take 4 GB) are stored whole, and their frames are
+transformed in blocks.  An empty table gives an empty one; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import list_column, table, text_slices
@@ -128,7 +135,16 @@ def fingerprint(df: DataFrame, media: str = "media", id_column: str = "doc_id")
     return df.select(F.col(id_column).alias("id"), n_bytes, F.col(media).alias("media")).mapInArrow(read, schema).withColumnRenamed("id", id_column)
 
 
+def common_landmarks(a_times: Column, a_codes: Column, b_times: Column, b_codes: Column) -> Column:
+    """Of the difference of times that most equal codes of two fingerprints have: a struct (pairs, shift), null if no code is equal."""
+    of = lambda times, codes: F.arrays_zip(times.alias("t"), codes.alias("c"))
+    shifts = F.flatten(F.transform(of(a_times, a_codes), lambda x: F.transform(F.filter(of(b_times, b_codes), lambda y: y["c"] == x["c"]), lambda y: y["t"] - x["t"])))
+    counts = F.transform(F.array_distinct(shifts), lambda s: F.struct(F.size(F.filter(shifts, lambda x: x == s)).alias("pairs"), s.alias("shift")))
+    return F.array_max(counts)
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = fingerprint(with_wav(table(spark, sf_dir, "documents")))
     digest = F.sha2(F.to_json(F.struct("peak_times", "peak_codes")), 256)
-    return features.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(":", F.size("peak_codes").cast("string"), digest).alias("feature"))
+    feature = F.concat_ws(":", F.size("peak_codes").cast("string"), digest).alias("feature")
+    return features.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature, "peak_times", "peak_codes")
