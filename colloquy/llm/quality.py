@@ -6,12 +6,19 @@ equations by partition, solves the ridge problem, and fits an isotonic curve on
 rows that the regression has not seen.  Everything that reaches the driver is
 bounded by the number of features or bins, whatever the number of rows.
 
-Training takes at most about `TRAIN_ROWS` labelled rows, a hash sample over all
+Training takes about `TRAIN_ROWS` labelled rows at most, a hash sample over all
 of them, so that its cost does not grow with the corpus; scoring covers all rows.
+The curve is fitted to the shares of label 1 in `BINS` equal ranges of the raw
+score and drawn straight between their middles: rows whose raw scores differ by
+less than a range (0.01) may get closer scores than an exact isotonic fit would give.
 
 Defined results: a null text counts as an empty one; an empty text has
 statistics of zero and is scored like any other; without labelled rows of both
-classes every score is the share of label 1, or 0.5 if there are none.
+classes every score is the share of label 1, or 0.5 if there are none.  Texts of any
+length are measured whole.  Rows that repeat an id, and rows of a null id, are
+scored each by its own text; labels that repeat an id count as their maximum, and
+a null id or label is never learnt from; equal raw scores get equal scores.  An
+empty table gives an empty one; only doc_id, text and the columns that are asked for are read.
 """
 
 from __future__ import annotations
@@ -195,17 +202,18 @@ def with_score(measured: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return measured.select(*keep, *STATISTICS).mapInArrow(score, schema)
 
 
-def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 5, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted): rows with crc32(doc_id) mod fold = 0 are held out of the training."""
-    measured = checkpointed(statistics(docs))
+def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 5, train_rows: int = TRAIN_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted, and the columns `keep`): rows with crc32(doc_id) mod fold = 0 are held out of the training."""
+    rows = docs.select(F.struct("doc_id", *keep).alias("id"), "text")
+    measured = checkpointed(statistics(rows, "id").select("id.*", *STATISTICS))
     own = labels.groupBy("doc_id").agg(F.max(label).alias("label")).where("label is not null").where(crc_mod("doc_id", fold) != 0)
     many = own.count()
     share = min(1.0, train_rows / max(1, many))
     draw = F.crc32(F.concat(F.lit("train:"), F.col("doc_id").cast("string")).cast("binary"))
     own = own.where(draw < F.lit(int(share * (1 << 32)))).withColumn("calibrate", crc_mod("doc_id", fold) == 1)
-    rows = checkpointed(measured.join(own, "doc_id").repartition(PARTS, "doc_id"))
-    scored = with_score(measured, fit(rows, "label", "calibrate"), ["doc_id"])
-    return scored.select("doc_id", (crc_mod("doc_id", fold) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    train = checkpointed(measured.join(own, "doc_id").repartition(PARTS, "doc_id"))
+    scored = with_score(measured, fit(train, "label", "calibrate"), ["doc_id", *keep])
+    return scored.select("doc_id", (crc_mod("doc_id", fold) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *keep)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
