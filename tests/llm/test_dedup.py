@@ -110,3 +110,93 @@ def sketch_loss(share, floor=None):
 def test_sketches_lose_less_than_the_bands():
     assert sketch_loss(0.75, 0.57) > 1e-5
     assert sketch_loss(0.75) < (1 - 0.75**neardup.BAND_ROWS) ** neardup.BANDS / 100
+
+
+def odd_rows(texts):
+    """Rows of a null id (two texts, one of them twice), a repeated id with its text, and one id with two texts."""
+    long = max((t for t in texts.values() if t), key=len)
+    return [(None, texts[6]), (None, long[:300]), (None, long[:300]), (7, texts[7]), (7, texts[7]), (50, texts[6] + " end"), (50, long[100:600]), (51, None), (52, ""), (1, "é" * 200)]
+
+
+def in_order(rows, hashes):
+    """The rows as distinct documents in the order of the operators: by id, nulls last, then by hash."""
+    return sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hashes[r[1] or ""]))
+
+
+def hashes_of(spark, rows):
+    from pyspark.sql import functions as F
+
+    return {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+
+
+def test_repeats_of_null_and_repeated_ids(spark, texts):
+    rows = odd_rows(texts)
+    order = in_order(rows, hashes_of(spark, rows))
+    wanted = kept_bytes({k: t for k, (_, t) in enumerate(order)})
+    expected = sorted(((str(i), *wanted[order.index((i, t))]) for i, t in rows), key=str)
+    docs = spark.createDataFrame([(i, t, 3) for i, t in rows], "doc_id long, text string, _key int").repartition(3)
+    found = repeats.remove_repeats(docs).collect()
+    assert sorted(((str(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in found), key=str) == expected
+    assert all(r.rest._key == 3 for r in found)
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark, texts):
+    rows = odd_rows(texts)
+    order = in_order(rows, hashes_of(spark, rows))
+    wanted = classes({k: t for k, (_, t) in enumerate(order)})
+    expected = []
+    for i, t in rows:
+        n, first, kept = wanted[order.index((i, t))]
+        expected.append((str(i), n, str(order[first][0]), kept))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = neardup.near_duplicates(docs).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in found) == sorted(expected)
+
+
+def test_repeats_of_texts_longer_than_a_slice_equal_brute_force(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(repeats, "SLICE", 700)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    batch = __import__("pyarrow").RecordBatch
+    assert kept_locally(rows, batch) == {i: v[1] for i, v in kept_bytes(texts).items()}
+
+
+def kept_locally(rows, batch):
+    """Bytes removed, by the functions that tasks run, with a plain sort in the place of Spark's."""
+    import pyarrow as pa
+    import zstandard
+
+    own = [(i, t or "") for i, t in rows]
+    found = list(repeats._initial([batch.from_arrays([pa.array([i]), pa.array([t])], ["doc_id", "text"]) for i, t in own]))
+    pack = zstandard.ZstdCompressor()
+    for depth in (*repeats.REFINED, None):
+        by_doc = settled(pa.Table.from_batches(found).to_pylist())
+        if depth is None:
+            break
+        kind = pa.list_(pa.struct([("end", pa.int64()), ("place", pa.int64())]))
+        batches = [batch.from_arrays([pa.array([i]), pa.array([len(t.encode())]), pa.array([pack.compress(t.encode())]), pa.array([by_doc[i]], kind)], ["doc_id", "n_bytes", "packed", "rows"]) for i, t in own if i in by_doc]
+        found = list(repeats._refined(depth)(iter(batches)))
+    out = {}
+    for i, t in own:
+        cover = np.zeros(len(t.encode()), bool)
+        for row in by_doc.get(i, []):
+            cover[row["place"] >> 16 : row["end"]] = True
+        out[i] = int(cover.sum())
+    return out
+
+
+def settled(rows):
+    by_doc, buckets = {}, {}
+    for r in rows:
+        if r["place"] & repeats.REMOVED:
+            by_doc.setdefault(r["doc_id"], []).append({"end": r["name"], "place": r["place"]})
+        else:
+            buckets.setdefault(r["route"], []).append(r)
+    for own in buckets.values():
+        several, seen = len({r["name"] for r in own}) > 1, {}
+        for r in sorted(own, key=lambda r: (r["name"], r["doc_id"], r["place"])):
+            first = seen.setdefault(r["name"], r)
+            copy = (first["doc_id"], first["place"] >> 16) != (r["doc_id"], r["place"] >> 16)
+            if copy or several or r["place"] & repeats.OPEN:
+                end = (r["place"] >> 16) + ((r["place"] >> 8) & 127) + repeats.LENGTH if copy else 0
+                by_doc.setdefault(r["doc_id"], []).append({"end": end, "place": r["place"]})
+    return by_doc

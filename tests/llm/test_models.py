@@ -60,3 +60,115 @@ def test_grammar_scores_clauses_in_context(worse, better):
 
 def test_isotonic_fit():
     assert quality.isotonic(np.array([0.1, 0.5, 0.3, 0.9]), np.ones(4)).tolist() == [0.1, 0.4, 0.4, 0.9]
+
+
+def strings(n, seed):
+    r = np.random.default_rng(seed)
+    return r.integers(0, toxicity.CLASSES, (n, 12))
+
+
+def read(machine, symbols):
+    """What a transducer writes, and the factors and bonuses of its arcs."""
+    state, out, weights = 0, [], []
+    for x in symbols:
+        out.append(int(machine.output[state, x]))
+        weights.append((machine.factor[state, x], machine.bonus[state, x]))
+        state = machine.following[state, x]
+    return out, np.array(weights)
+
+
+def test_composed_transducers_equal_one_after_the_other():
+    machines = (*toxicity.PARTS, toxicity.composed(toxicity.PARTS[0], toxicity.PARTS[2]))
+    for a in machines:
+        for b in machines:
+            both = toxicity.composed(a, b)
+            for symbols in strings(20, 3):
+                middle, first = read(a, symbols)
+                out, second = read(b, middle)
+                assert read(both, symbols)[0] == out and np.allclose(read(both, symbols)[1], first + second)
+
+
+def plain_score(classes, weights):
+    """The grammar's rules for one clause, word by word."""
+    total, said, negated, target, insult, waits, most = 0.0, 1.0, False, 99, 99, False, 0.0
+    for c, w in zip(classes, weights, strict=True):
+        near = target <= toxicity.NEAR
+        if c == toxicity.INSULT:
+            total += w * said * (0.1 if negated else 1.25 if near else 1.0)
+        if c == toxicity.THREAT:
+            total += w * said * (0.1 if negated else 1.0 if near else 0.25)
+        if c == toxicity.TARGET:
+            total += most * said * ((0.25 if insult <= toxicity.NEAR else 0) + (0.75 if waits else 0))
+        negated = c == toxicity.NEGATION or (negated and c == toxicity.ARTICLE)
+        said = 0.4 if c == toxicity.REPORT else said
+        target, insult = (1 if c == toxicity.TARGET else target + 1), (1 if c == toxicity.INSULT else insult + 1)
+        waits = c != toxicity.TARGET and (waits or c == toxicity.THREAT)
+        most = max(most, w)
+    return total
+
+
+def test_texts_score_as_by_plain_rules():
+    import random
+    import re
+
+    import pyarrow as pa
+
+    r, kinds = random.Random(9), {}
+    for kind, terms in ((toxicity.ARTICLE, toxicity.ARTICLES), (toxicity.REPORT, toxicity.REPORTS), (toxicity.NEGATION, toxicity.NEGATIONS), (toxicity.TARGET, toxicity.TARGETS), (toxicity.THREAT, toxicity.THREATS), (toxicity.INSULT, toxicity.INSULTS)):
+        kinds |= dict.fromkeys(terms, kind)
+    words = [*kinds, *["some", "other", "word"] * 30]
+    texts = [" ".join(r.choice(words) + r.choice(["", "", "", "", ".", ";", "\n", ","]) for _ in range(r.randint(0, 300))) for _ in range(120)] + ["idiot " * 3000, None, ""]
+    total, most = toxicity.Lexicon().features(*utf8(pa.array(texts)))
+    for k, text in enumerate(texts):
+        scores = []
+        for clause in re.split(r"[.!?;:\n]", text or ""):
+            own = [kinds.get(w, toxicity.OTHER) for w in re.findall(r"[^\W_]+", clause)]
+            scores.append(plain_score(own, [4.0 if c in (toxicity.INSULT, toxicity.THREAT) else 0.0 for c in own]))
+        assert total[k] == pytest.approx(np.log1p(sum(scores))) and most[k] == pytest.approx(max(scores))
+
+
+def test_a_learnt_word_keeps_its_class():
+    threat, target, new = (int(toxicity.hashed([w])[0]) for w in ("kill", "you", "blorp"))
+    lexicon = toxicity.Lexicon({threat: 7.0, target: 9.0, new: 5.0})
+    found = {int(h): (int(c), float(w)) for h, c, w in zip(lexicon.hashes, lexicon.classes, lexicon.weights, strict=True)}
+    assert found[threat] == (toxicity.THREAT, 7.0) and found[target][0] == toxicity.TARGET and found[new] == (toxicity.INSULT, 5.0)
+
+
+def test_null_and_repeated_ids_and_clashing_names(spark, texts):
+    made = "label half calibrate id score total most stop digit"
+    rows = [(None, texts[6]), (None, None), (4, texts[4]), (4, texts[4]), (8, texts[8]), (8, texts[9]), (9, ""), (21, texts[18])]
+    docs = spark.createDataFrame([(i, t, ("en", "fr")[k % 2], *made.split()) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in made.split())).repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(30)] + [(8, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for found in (quality.quality(docs, labels).collect(), toxicity.toxicity(docs, labels).collect()):
+        assert sorted(str(r.doc_id) for r in found) == sorted(str(i) for i, _ in rows) and all(0 <= r.score <= 1 for r in found)
+        assert len({r.score for r in found if r.doc_id == 4}) == 1
+    langs = langid.identify(docs, langid.learn(langid.training_rows(docs))).collect()
+    assert len(langs) == len(rows) and {r.lang_pred for r in langs if r.doc_id == 9} == {"und"}
+
+
+def test_more_trigrams_than_are_remembered(monkeypatch):
+    import pyarrow as pa
+
+    column = pa.array([" ".join(chr(97 + (i * i + j) % 26) * (1 + i % 3) for i in range(400)) for j in range(3)])
+    whole = langid.Profiles().bundle(3, *langid.trigrams(*utf8(column)))
+    monkeypatch.setattr(langid, "VECTORS", 7)
+    assert np.allclose(langid.Profiles().bundle(3, *langid.trigrams(*utf8(column))), whole)
+
+
+def test_quality_equals_a_plain_fit(spark, texts):
+    """Scores of the whole pipeline against normal equations and pooling over all rows at once."""
+    names = quality.STATISTICS
+    r = np.random.default_rng(2)
+    x = r.normal(size=(600, len(names)))
+    y = (x[:, 0] + 0.3 * r.normal(size=600) > 0).astype(float)
+    rows = spark.createDataFrame([(i, float(y[i]), i % 5 == 1, *map(float, x[i])) for i in range(600)], "doc_id long, label double, calibrate boolean, " + ", ".join(f"{c} double" for c in names)).repartition(4)
+    model = quality.fit(rows, "label", "calibrate")
+    held = np.arange(600) % 5 == 1
+    plain = quality.Model(x.mean(axis=0), x.std(axis=0))
+    z = plain.features(x[~held])
+    weights = np.linalg.solve(z.T @ z + quality.RIDGE * (~held).sum() * np.eye(z.shape[1]), z.T @ y[~held])
+    assert np.allclose(model.raw(x), plain.features(x) @ weights, atol=1e-3)
+    assert (np.diff(model.values) >= 0).all()
+    place = np.clip((model.raw(x[held]) + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1).astype(int)
+    bins = np.unique(place)
+    assert np.allclose(model.values, quality.isotonic(np.array([y[held][place == b].mean() for b in bins]), np.array([(place == b).sum() for b in bins])))
