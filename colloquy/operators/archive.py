@@ -7,7 +7,6 @@ out by `active` before, unless an operator says otherwise.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -95,35 +94,45 @@ def sample(conversations: DataFrame, count: int, seed: str, payload: Column, **f
     return chosen.orderBy("rank", *newest_first()).limit(count)
 
 
-def _counts() -> list[Column]:
-    known = S.completeness(F.col("transcript_completeness"))
-    limited = F.size(F.coalesce("limitations", F.array().cast("array<string>"))) > 0
-    return [
-        F.count_distinct("output_path").alias("file_count"), F.count("*").alias("conversation_count"), F.coalesce(F.sum(F.size("messages")), F.lit(0)).cast("bigint").alias("message_count"),
-        *[F.count_if(known == c).alias(f"{c}_count") for c in COMPLETENESS],
-        F.min("collected_at").alias("earliest_collected_at"), F.max("collected_at").alias("latest_collected_at"), F.count_if(limited).alias("conversation_with_limitations_count"),
+def _measured(conversations: DataFrame) -> DataFrame:
+    """What statistics count of each row, so that no text or list is copied for the grouping sets."""
+    of_role = lambda r: F.size(F.filter("messages", lambda m: m["role"] == r))
+    return conversations.select(
+        "source", "output_path", "collected_at", S.completeness(F.col("transcript_completeness")).alias("known"), F.size("messages").alias("n"),
+        (F.size(F.coalesce("limitations", F.array().cast("array<string>"))) > 0).alias("limited"), *[of_role(r).alias(r) for r in ROLES],
+    )
+
+
+def _summed(conversations: DataFrame, more: list[Column]) -> DataFrame:
+    counts = [
+        F.count_distinct("output_path").alias("file_count"), F.count("*").alias("conversation_count"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("message_count"),
+        *[F.count_if(F.col("known") == c).alias(f"{c}_count") for c in COMPLETENESS],
+        F.min("collected_at").alias("earliest_collected_at"), F.max("collected_at").alias("latest_collected_at"), F.count_if("limited").alias("conversation_with_limitations_count"), *more,
     ]
+    found = _measured(conversations).rollup("source").agg(F.grouping("source").alias("_all"), *counts)
+    return found.select(F.when(F.col("_all") == 1, "*").otherwise(F.col("source")).alias("source"), *[c for c in found.columns if c not in ("source", "_all")])
 
 
 def stats(conversations: DataFrame) -> DataFrame:
-    """Counts of each source, and of all (source null), in one grouping-sets aggregation."""
-    found = conversations.rollup("source").agg(F.grouping("source").alias("_all"), *_counts())
-    return found.select(F.when(F.col("_all") == 1, "*").otherwise(F.col("source")).alias("source"), *[c for c in found.columns if c not in ("source", "_all")])
+    """Counts of each source, and of all (source `*`), in one grouping-sets aggregation."""
+    return _summed(conversations, [])
+
+
+def first_invalid_role(conversations: DataFrame) -> DataFrame:
+    """The first message, in order of rows, whose role is unknown; no row if there is none."""
+    return messages(conversations).where("role = '__invalid__'").orderBy("output_path", "row_number", "message_index").limit(1)
 
 
 def check_roles(conversations: DataFrame) -> None:
     """Raise on the first message, in order of rows, whose role is unknown."""
-    bad = messages(conversations).where("role = '__invalid__'").orderBy("output_path", "row_number", "message_index").first()
+    bad = first_invalid_role(conversations).first()
     if bad is not None:
         raise ValueError(f"{bad.output_path}, row {bad.row_number}: message {bad.message_index} has an unknown role")
 
 
 def profile(conversations: DataFrame) -> DataFrame:
     """Statistics with message counts by role and the ratios of all counts, by source and for all."""
-    roles = conversations.select("source", *[F.size(F.expr(f"filter(messages, m -> m.role = '{r}')")).alias(r) for r in ROLES])
-    roles = roles.rollup("source").agg(F.grouping("source").alias("_all"), *[F.coalesce(F.sum(r), F.lit(0)).cast("bigint").alias(f"{r}_messages") for r in ROLES])
-    roles = roles.withColumn("source", F.when(F.col("_all") == 1, "*").otherwise(F.col("source"))).drop("_all")
-    both = stats(conversations).join(roles, "source")
+    both = _summed(conversations, [F.coalesce(F.sum(r), F.lit(0)).cast("bigint").alias(f"{r}_messages") for r in ROLES])
     n, m = F.col("conversation_count"), F.col("message_count")
     return both.withColumns(
         {f"{c}_ratio": S.ratio(F.col(f"{c}_count"), n) for c in COMPLETENESS}
@@ -160,7 +169,7 @@ def anomalies(conversations: DataFrame, low_messages: int = 1, many_limitations:
     return s.withColumn("reasons", codes).where(F.size("reasons") > 0)
 
 
-def source_anomalies(conversations: DataFrame, low_messages: int = 1, many_limitations: int = 2, unsupported_count: int = 2, unsupported_ratio: float = 0.1) -> DataFrame:
+def source_anomalies(conversations: DataFrame, low_messages: int = 1, many_limitations: int = 2, unsupported_count: int = 2, unsupported_ratio: float = 0.5) -> DataFrame:
     """Counts of each trait by source, and whether unsupported transcripts are too frequent."""
     s = summaries(conversations)
     limited = (F.col("limitation_count") > 0) & (F.col("limitation_count") >= many_limitations)
@@ -176,19 +185,27 @@ def source_anomalies(conversations: DataFrame, low_messages: int = 1, many_limit
 
 
 def with_suppression(found: DataFrame, policy: DataFrame) -> DataFrame:
-    """Adds the policy entry that suppresses each finding (source, report, code), the most specific first.
+    """Adds the policy entry that suppresses each finding (source, report, code, level): a warning whose source, report and code an entry names.
+
+    `drift_suspected` is never suppressed, nor is a finding without source.
+    """
+    rules = policy.where("kind = 'finding'").groupBy("source", "report", "code").agg(F.min("id").alias("_entry"))
+    open_ = (F.col("level") == "warning") & (F.col("code") != "drift_suspected")
+    return found.join(rules, ["source", "report", "code"], "left").withColumn("suppressed_by", F.when(open_, F.col("_entry"))).drop("_entry")
+
+
+def suppressed_reasons(found: DataFrame, policy: DataFrame) -> DataFrame:
+    """One row for each reason of each suspicious conversation (as of `anomalies`), with the policy entry that suppresses it.
 
-    An entry without source, report or code holds for any; `drift_suspected` is never suppressed.
+    Unsupported transcripts are suppressed by an entry for the degraded source,
+    many limitations only if there is an entry for each of them (the first
+    limitation's is named), and few messages never.
     """
-    rules = policy.select("id", *[F.col(c).alias(f"_{c}") for c in ("source", "report", "code")])
-    fits = [F.col(f"_{c}").isNull() | (F.col(f"_{c}") == F.col(c)) for c in ("source", "report", "code")]
-    specific = sum((F.col(f"_{c}").isNotNull().cast("int") for c in ("source", "report", "code")), F.lit(0))
-    keys = found.select("source", "report", "code").distinct()
-    best = keys.join(F.broadcast(rules), fits[0] & fits[1] & fits[2] & (F.col("code") != "drift_suspected"))
-    best = best.groupBy("source", "report", "code").agg(F.max_by("id", F.struct(specific, F.col("id"))).alias("suppressed_by"))
-    return found.join(best, ["source", "report", "code"], "left")
-
-
-def newest(rows: DataFrame, by: str, n: int, order: list[Column]) -> DataFrame:
-    """The first n rows of each group in the given order."""
-    return rows.withColumn("_rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
+    degraded = policy.where("kind = 'degraded_source'").groupBy("source").agg(F.min("id").alias("_degraded"))
+    known = policy.where("kind = 'limitation'").groupBy("source", "limitation").agg(F.min("id").alias("id"))
+    known = known.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("limitation", "id"))).alias("_known"))
+    entries = F.transform("limitations", lambda x: F.try_element_at("_known", x))
+    every = F.when((F.size("limitations") > 0) & F.forall(entries, lambda x: x.isNotNull()), F.try_element_at(entries, F.lit(1)))
+    rows = found.join(degraded, "source", "left").join(known, "source", "left").withColumn("_every", every)
+    by = F.when(F.col("code") == "unsupported_transcript", F.col("_degraded")).when(F.col("code") == "excessive_limitations", F.col("_every"))
+    return rows.withColumn("code", F.explode("reasons")).withColumn("suppressed_by", by).drop("_degraded", "_known", "_every", "reasons")

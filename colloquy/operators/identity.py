@@ -101,3 +101,28 @@ def incremental_merge(existing: DataFrame, incoming: DataFrame, exact: Column) -
         .when(F.col("_won"), "supersede").otherwise("keep")
     )
     return joined.select("source", "output_path", "row_number", F.col("_new").alias("is_incoming"), decision.alias("decision"))
+
+
+def merged(existing: DataFrame, incoming: DataFrame, exact: Column, moment: str) -> DataFrame:
+    """The archive after an incremental merge: existing rows, those that are superseded marked with the moment, and the new rows that go in."""
+    at = ["source", "output_path", "row_number"]
+    decided = incremental_merge(existing, incoming, exact)
+    old = existing.join(decided.where("not is_incoming").select(*at, "decision"), at)
+    marked = F.when(F.col("decision") == "supersede", F.lit(moment)).otherwise(F.col("superseded_at"))
+    new = incoming.join(decided.where("is_incoming and decision in ('insert', 'upgrade')").select(*at), at, "left_semi")
+    return old.withColumn("superseded_at", marked).drop("decision").unionByName(new)
+
+
+def import_changes(existing: DataFrame, bundle: DataFrame, exact: Column) -> DataFrame:
+    """(source, imported, skipped, upgraded): what an import of the bundle changes, by groups of `group_key`.
+
+    A group that the archive lacks imports one row; of another, one row upgrades it
+    if the best row of both is not the archive's; all other rows are skipped.
+    """
+    both = candidates(existing.withColumn("_new", F.lit(False)).unionByName(bundle.withColumn("_new", F.lit(True)))).withColumn("_key", group_key(exact))
+    best = F.max(F.struct("selection", exact.alias("payload")))
+    groups = both.groupBy("source", "_key").agg(F.count_if("_new").alias("n"), F.count_if(~F.col("_new")).alias("old"), best.alias("best"), F.max(F.when(~F.col("_new"), F.struct("selection", exact.alias("payload")))).alias("before")).where("n > 0")
+    fresh = F.col("old") == 0
+    better = ~fresh & (F.col("best.payload") != F.col("before.payload"))
+    counts = groups.groupBy("source").agg(F.count_if(fresh).alias("imported"), F.count_if(better).alias("upgraded"), F.sum("n").alias("_n"))
+    return counts.select("source", "imported", (F.col("_n") - F.col("imported") - F.col("upgraded")).alias("skipped"), "upgraded")

@@ -32,12 +32,23 @@ def memory_records(conversations: DataFrame, fingerprint: Column | None = None)
     )
 
 
-def message_records(conversations: DataFrame) -> DataFrame:
-    """Messages with their fingerprint and the number of its occurrence in the conversation."""
-    rows = conversations.select("output_path", "row_number", F.posexplode("messages").alias("place", "message"))
-    rows = rows.select("output_path", "row_number", (F.col("place") + 1).alias("message_index"), F.col("message.role").alias("role"), F.col("message.text").alias("text"), F.sha2(F.concat_ws("\0", F.col("message.role"), F.coalesce(F.col("message.text"), F.lit(""))), 256).alias("fingerprint"))
+def message_records(conversations: DataFrame, conversation_id: Column | None = None) -> DataFrame:
+    """Messages with their fingerprint, the number of its occurrence in the conversation, and a stable id.
+
+    The id is of the conversation and the message's own id, else of the
+    conversation, the fingerprint and its occurrence.
+    """
+    key = conversation_id if conversation_id is not None else F.lit(None).cast("string")
+    rows = conversations.select("output_path", "row_number", key.alias("conversation_id"), F.posexplode("messages").alias("place", "message"))
+    rows = rows.select(
+        "output_path", "row_number", "conversation_id", (F.col("place") + 1).alias("message_index"), F.col("message.role").alias("role"), F.col("message.text").alias("text"),
+        S.identity(F.col("message.source_message_id")).alias("source_message_id"), F.sha2(F.concat_ws("\0", F.col("message.role"), F.coalesce("message.text", F.lit(""))), 256).alias("fingerprint"),
+    )
     same = W.partitionBy("output_path", "row_number", "fingerprint").orderBy("message_index")
-    return rows.withColumn("occurrence", F.row_number().over(same))
+    rows = rows.withColumn("occurrence", F.row_number().over(same))
+    own = F.to_json(F.struct("conversation_id", "source_message_id"))
+    by_content = F.to_json(F.struct("conversation_id", F.col("fingerprint").alias("message_fingerprint"), F.col("occurrence").alias("message_occurrence")))
+    return rows.withColumn("message_id", F.concat(F.lit("sha256:"), F.sha2(F.when(F.col("source_message_id").isNotNull(), own).otherwise(by_content), 256)))
 
 
 def report(conversations: DataFrame) -> DataFrame:

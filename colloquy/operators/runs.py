@@ -92,3 +92,11 @@ def prune_plan(runs: DataFrame, keep_last: int | None = None, older_than_days: i
         today = F.to_timestamp(F.lit(now)) if now else F.current_timestamp()
         goes &= F.coalesce(F.col("moment") < today - F.make_dt_interval(F.lit(older_than_days)), F.lit(False))
     return rows.withColumn("pruned", goes)
+
+
+def selection_diff(sources: DataFrame, before: str, after: str) -> DataFrame:
+    """(change, source): sources that the later run selects and the earlier does not, and the other way round."""
+    if before == after:
+        raise ValueError("a run is not compared with itself")
+    a, b = (sources.where(F.col("run_id") == run).select("source").distinct() for run in (before, after))
+    return b.exceptAll(a).select(F.lit("added").alias("change"), "source").unionByName(a.exceptAll(b).select(F.lit("removed").alias("change"), "source"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..model import COMPLETENESS, ROLES, SCHEMA_VERSION
 
+#: Name of a source's compacted file, around the source.
+CANONICAL = ("memory_chat_v1-", ".jsonl")
 LEVELS = {"success": 0, "warning": 1, "error": 2}
 
 
@@ -61,9 +63,10 @@ def malformed(lines: DataFrame) -> DataFrame:
 
 
 def orphans(files: DataFrame, sources: DataFrame) -> DataFrame:
-    """Files of the archive that no run names."""
+    """Files (source_dir, output_path) of the archive that no run names and whose name is not the canonical one of their source."""
     linked = sources.where("output_path is not null").select("output_path").distinct()
-    return files.join(linked, "output_path", "left_anti")
+    canonical = F.concat(F.lit(CANONICAL[0]), F.col("source_dir"), F.lit(CANONICAL[1]))
+    return files.join(linked, "output_path", "left_anti").where(F.element_at(F.split("output_path", "/"), -1) != canonical)
 
 
 def rollup(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -103,6 +106,18 @@ def digest(stats: DataFrame, verified: DataFrame, anomalous: DataFrame, latest:
     return both.withColumns({"attention_required": attention, "status": status})
 
 
+def overview(digests: DataFrame, stats: DataFrame, orphaned: DataFrame) -> DataFrame:
+    """The one row of totals over all sources of a digest; orphaned has a row (source_dir, output_path) for each orphan."""
+    whole = stats.where("source = '*'").select("conversation_count", "message_count", "conversation_with_limitations_count", "complete_count", "partial_count", "unsupported_count")
+    own = digests.agg(
+        F.count("*").alias("source_count"), F.count_if((F.col("suspicious_conversation_count") > 0) | F.coalesce("high_unsupported_ratio", F.lit(False))).alias("suspicious_source_count"),
+        F.coalesce(F.sum("suspicious_conversation_count"), F.lit(0)).alias("suspicious_conversation_count"), F.coalesce(F.sum("warning_count"), F.lit(0)).alias("warning_count"),
+        F.coalesce(F.sum("error_count"), F.lit(0)).alias("error_count"), F.count_if("attention_required").alias("attention_count"),
+    )
+    lost = orphaned.agg(F.count("*").alias("orphan_file_count"), F.count_distinct("source_dir").alias("sources_with_orphans_count")).withColumn("has_orphans", F.col("orphan_file_count") > 0)
+    return own.join(F.broadcast(whole)).join(F.broadcast(lost))  # one row each
+
+
 def migrated(conversations: DataFrame, version: str = SCHEMA_VERSION) -> DataFrame:
     """Rows with the contract of the current version; all else stays."""
     contract = F.when(F.col("contract").isNull(), F.from_json(F.lit("{}"), conversations.schema["contract"].dataType.simpleString())).otherwise(F.col("contract"))

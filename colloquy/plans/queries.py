@@ -113,21 +113,36 @@ def archive_anomalies(spark, sf_dir):
     BASE_SQL + f"""select source, count(distinct output_path) as file_count, count(*) as conversation_count, cast(sum(message_count) as bigint) as message_count,
   count(*) filter ({_LOW}) as low_message_count, count(*) filter ({_MANY}) as excessive_limitations, count(*) filter ({_UNS}) as unsupported_transcript,
   count(*) filter ({_LOW} or {_MANY} or {_UNS}) as suspicious_conversation_count, count(*) filter ({_UNS}) / count(*) as unsupported_ratio,
-  count(*) filter ({_UNS}) >= 2 and count(*) filter ({_UNS}) / count(*) >= 0.1 as high_unsupported_ratio from base group by source"""
+  count(*) filter ({_UNS}) >= 2 and count(*) filter ({_UNS}) / count(*) >= 0.5 as high_unsupported_ratio from base group by source"""
 )
 def source_anomalies(spark, sf_dir):
     return A.source_anomalies(_active(spark, sf_dir), low_messages=3)
 
 
 @query(
-    BASE_SQL + f""", f as (select source, row_number, 'anomalies' as report, unnest(list_filter([case when {_LOW} then 'low_message_count' end, case when {_MANY} then 'excessive_limitations' end,
-  case when {_UNS} then 'unsupported_transcript' end], lambda x: x is not null)) as code from base)
-select source, row_number, report, code, case when source = 'src1' and code = 'unsupported_transcript' then 'p2' when source = 'src1' then 'p3' when code = 'low_message_count' then 'p1' end as suppressed_by
-from f"""
+    BASE_SQL + f"""select source, row_number, 'low_message_count' as code, cast(null as varchar) as suppressed_by from base where {_LOW}
+union all select source, row_number, 'excessive_limitations', case source when 'src2' then 'p4' end from base where {_MANY}
+union all select source, row_number, 'unsupported_transcript', case source when 'src1' then 'p2' end from base where {_UNS}"""
 )
 def suppressed_anomalies(spark, sf_dir):
-    found = A.anomalies(_active(spark, sf_dir), low_messages=3).select("source", "row_number", F.lit("anomalies").alias("report"), F.explode("reasons").alias("code"))
-    return A.with_suppression(found, views.policy(spark)).select("source", "row_number", "report", "code", "suppressed_by")
+    return A.suppressed_reasons(A.anomalies(_active(spark, sf_dir), low_messages=3), views.policy(spark)).select("source", "row_number", "code", "suppressed_by")
+
+
+@query(
+    BASE_SQL + """select source, conv_id as row_number, 'invalid_contract' as code, cast(null as varchar) as suppressed_by from allrows where conv_id % 11 = 0
+union all select source, conv_id, 'incomplete_transcript', case source when 'src1' then 'p1' end from allrows where transcript_completeness <> 'complete'"""
+)
+def suppressed_findings(spark, sf_dir):
+    found = V.findings(views.archive(spark, sf_dir)).select(F.col("source_dir").alias("source"), "row_number", F.lit("verify").alias("report"), "code", "level")
+    return A.with_suppression(found, views.policy(spark)).select("source", "row_number", "code", "suppressed_by")
+
+
+@query(
+    BASE_SQL + """, l as (select source, unnest(case limitation_count when 1 then ['no tools'] when 2 then ['no images', 'no tools'] else [] end) as limitation, count(*) as raw_count from base group by 1, 2)
+select source, limitation, raw_count, case when source = 'src2' or (source = 'src0' and limitation = 'no tools') then raw_count else 0 end as suppressed_count from l"""
+)
+def limitation_counts_raw_vs_suppressed(spark, sf_dir):
+    return A.limitation_counts(_active(spark, sf_dir), views.policy(spark))
 
 
 _COMPONENTS_SQL = """, recursive_edges as (
@@ -344,8 +359,9 @@ def index_file_changes(spark, sf_dir):
 @query()
 def archive_digest(spark, sf_dir):
     rows = _active(spark, sf_dir)
-    latest = views.run_sources(spark, sf_dir).groupBy(F.expr("concat('src', crc32(source) % 3)").alias("source")).agg(F.max_by("status", F.struct("run_id", "source")).alias("status"))
-    return V.digest(A.stats(rows), V.rollup(rows, V.findings(rows)), A.source_anomalies(rows, low_messages=3), latest)
+    latest = views.run_sources(spark, sf_dir).groupBy(F.expr("concat('src', length(source) % 3)").alias("source")).agg(F.max_by("status", F.struct("run_id", "source")).alias("status"))
+    every = views.archive(spark, sf_dir)
+    return V.digest(A.stats(rows), V.rollup(every, V.findings(every)), A.source_anomalies(rows, low_messages=3), latest)
 
 
 @query()
@@ -354,9 +370,3 @@ def conversation_digests(spark, sf_dir):
     own = S.message_fingerprint(F.col("messages"))
     keyed = M.memory_records(rows, own).join(rows.select("row_number", own.alias("fingerprint"), S.dedupe_key(F.col("source"), F.col("source_session_id"), F.col("source_artifact_path"), own).alias("dedupe_key")), "row_number")
     return keyed.select("row_number", "conversation_id", "fingerprint", "dedupe_key")
-
-
-@query("select event_type as source, date_trunc('hour', ts) as hour, count(*) as n from events group by 1, 2")
-def hourly_counts(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy(F.col("event_type").alias("source"), F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"))

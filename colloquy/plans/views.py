@@ -69,6 +69,12 @@ runs as (
 """
 
 
+#: Entries of a baseline policy: id, kind, source, report, code, limitation.
+POLICY = [
+    ("p1", "finding", "src1", "verify", "incomplete_transcript", None), ("p2", "degraded_source", "src1", None, None, None), ("p3", "limitation", "src2", None, None, "no tools"),
+    ("p4", "limitation", "src2", None, None, "no images"), ("p5", "limitation", "src0", None, None, "no tools"), ("p6", "finding", "src2", "verify", "invalid_contract", None),
+]
+
+
 def policy(spark: SparkSession) -> DataFrame:
-    rows = [("p1", "finding", None, None, "low_message_count"), ("p2", "finding", "src1", "anomalies", "unsupported_transcript"), ("p3", "finding", "src1", None, None)]
-    return spark.createDataFrame(rows, "id string, kind string, source string, report string, code string")
+    return spark.createDataFrame(POLICY, "id string, kind string, source string, report string, code string, limitation string")

@@ -5,21 +5,34 @@ from __future__ import annotations
 import gc
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a private one only where none is set and all runs on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="colloquy-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through spark.checkpoint.dir; a private folder only where none is set.
+    """Cut lineage through the shared folder.
 
     What no frame needs any more is then given back: Spark deletes shuffle and
     checkpoint files when the driver collects the objects that stand for them,
-    which in a job of many short steps would come too late for the disks.
+    which in a job of many short steps would come too late for the disks.  The setting
+    spark.colloquy.collectAfterCheckpoint = false leaves that to Spark's own cleaner.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="colloquy-"))
+        context.setCheckpointDir(shared_folder(spark))
     kept = df.checkpoint(eager=True)
-    gc.collect()
-    context._jvm.System.gc()
+    if spark.conf.get("spark.colloquy.collectAfterCheckpoint", "true") != "false":
+        gc.collect()
+        context._jvm.System.gc()
     return kept

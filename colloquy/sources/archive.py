@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import urllib.parse
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,6 +53,20 @@ def parsed(lines: DataFrame, strict: bool = True) -> DataFrame:
     return rows.select(*[F.col(f"_row.{n}").alias(n) for n in names], "source_dir", "output_path", "row_number", "line")
 
 
+def invalid_rows(lines: DataFrame) -> DataFrame:
+    """(source_dir, output_path, row_number, reason) of lines that break the row's form: no JSON object, a required field absent or of another kind, messages that are no list."""
+    v = F.try_parse_json("line")
+    kind = lambda path: F.schema_of_variant(F.try_variant_get("v", path, "variant"))
+    text = lambda path: kind(path) == "STRING"
+    checks = [F.when(~F.coalesce(text(f"$.{name}"), F.lit(False)), F.lit(name)) for name in ("source", "execution_context", "collected_at")]
+    checks.append(F.when(~F.coalesce(kind("$.messages").startswith("ARRAY"), F.lit(False)), F.lit("messages")))
+    checks += [F.when(kind(f"$.{name}").isNotNull() & ~kind(f"$.{name}").isin("STRING", "VOID"), F.lit(name)) for name in ("source_session_id", "source_artifact_path", "superseded_at", "transcript_completeness")]
+    rows = lines.where(F.trim("line") != "").withColumn("v", v)
+    whole = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    reasons = F.when(~whole, F.array(F.lit("no JSON object"))).otherwise(F.array_compact(F.array(*checks)))
+    return rows.select("source_dir", "output_path", "row_number", F.explode(reasons).alias("reason"))
+
+
 def read_archive(spark: SparkSession, root: str, source: str | None = None, strict: bool = True, include_superseded: bool = False) -> DataFrame:
     rows = parsed(read_lines(spark, root, source), strict)
     return rows if include_superseded else rows.where(S.is_active(F.col("superseded_at")))
@@ -62,11 +79,28 @@ def json_line(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 
 def write_archive(conversations: DataFrame, root: str, source_column: str = "source") -> None:
-    """Append JSON lines in a folder for each source; Spark names every file anew, so no run can cut another's file."""
+    """Append JSON lines in a folder for each source, in one pass over the rows.
+
+    Spark writes a staging folder inside the archive; its files, which have unique
+    names, are then moved, so that no run can cut another's file and no reader sees half a
+    write of a file.  Rows without a source are an error.
+    """
+    spark = conversations.sparkSession
     rows = json_line(conversations.withColumn("source", F.col(source_column)))
-    staged = rows.withColumn("source_dir", F.col("source")).select("source_dir", "line")
-    for name in [r.source_dir for r in staged.select("source_dir").distinct().collect()]:
-        staged.where(F.col("source_dir") == name).select("line").write.mode("append").text(f"{root}/{name}")
+    named = F.coalesce(F.col("source"), F.raise_error(F.lit("a conversation without source cannot be written")).cast("string"))
+    jvm = spark._jvm
+    staging = jvm.org.apache.hadoop.fs.Path(f"{root}/.staging-{uuid.uuid4().hex}")
+    rows.select(named.alias("source_dir"), "line").write.partitionBy("source_dir").text(staging.toString())
+    fs = staging.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(staging):
+        name = folder.getPath().getName()
+        if name.startswith("source_dir="):
+            target = jvm.org.apache.hadoop.fs.Path(root, urllib.parse.unquote(name.removeprefix("source_dir=")))
+            fs.mkdirs(target)
+            for file in fs.listStatus(folder.getPath()):
+                if not fs.rename(file.getPath(), jvm.org.apache.hadoop.fs.Path(target, file.getPath().getName())):
+                    raise OSError(f"cannot move {file.getPath()} to {target}")
+    fs.delete(staging, True)
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
