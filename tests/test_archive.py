@@ -144,3 +144,36 @@ def test_lines_of_several_splits_are_numbered_by_split(spark, tmp_path):
     assert len(rows) == 2000 and all(int(r.line) == r.row_number for r in rows)
     windows = [x for x in plan.splitlines() if "windowspecdefinition" in x and "_order#" in x]
     assert windows and not any("_block#" in x.split("_order#")[0] and " ASC" in x.split("windowspecdefinition")[1].split("_order#")[0] for x in windows)
+
+
+def test_rows_that_break_the_form_are_named(spark, tmp_path):
+    from colloquy.sources.archive import invalid_rows, read_lines
+
+    folder = tmp_path / "f" / "alpha"
+    folder.mkdir(parents=True)
+    (folder / "x.jsonl").write_text("\n".join([line(), "{broken", "[1]", line(source=7), line(messages="none"), line(source_session_id=[1]), ""]))
+    found = sorted((r.row_number, r.reason) for r in invalid_rows(read_lines(spark, str(tmp_path / "f"))).collect())
+    assert found == [(2, "no JSON object"), (3, "no JSON object"), (4, "source"), (5, "messages"), (6, "source_session_id")]
+
+
+def test_conversations_without_source_are_not_written(spark, tmp_path):
+    from colloquy.sources.archive import write_archive
+
+    folder = tmp_path / "w" / "alpha"
+    folder.mkdir(parents=True)
+    (folder / "x.jsonl").write_text(line())
+    rows = read_archive(spark, str(tmp_path / "w"))
+    write_archive(rows, str(tmp_path / "out"))
+    assert read_archive(spark, str(tmp_path / "out")).count() == 1 and not list((tmp_path / "out").glob(".staging*"))
+    with pytest.raises(Exception, match="without source"):
+        write_archive(rows.withColumn("source", F.lit(None).cast("string")), str(tmp_path / "out"))
+
+
+def test_spans_of_all_lengths_meet_their_points(spark):
+    from colloquy.operators.attribution import within_span
+
+    spans = [(1, 0, 10), (2, 5_000, 5_700), (3, 1_000, 40_000_000), (4, 100, 50)]
+    points = [(k, t) for k, t in enumerate((0, 130, 131, 5_300, 39_999_999, 40_000_121, -120))]
+    found = within_span(spark.createDataFrame(points, "p long, t long"), spark.createDataFrame(spans, "s long, low long, high long"), [], "t", "low", "high", 120)
+    wanted = {(p, s) for p, t in points for s, low, high in spans if low <= high and low - 120 <= t <= high + 120}
+    assert {(r.p, r.s) for r in found.collect()} == wanted and found.count() == len(wanted)
