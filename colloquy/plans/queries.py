@@ -344,16 +344,17 @@ def fallback_owner(spark, sf_dir):
 
 
 @query(
-    """with s as (select o_custkey as k, count(*) as n from orders where o_orderkey % 3 <> 0 group by 1), f as (select o_custkey as k, count(*) as n from orders where o_orderkey % 5 <> 0 group by 1)
+    """with s as (select o_custkey as k, count(*) as n from orders where o_orderdate < timestamp '2000-01-01' group by 1), f as (select o_custkey as k, count(*) as n from orders where o_orderdate >= timestamp '1996-01-01' group by 1)
 select 'c' || coalesce(s.k, f.k) as output_path, case when s.k is null then 'added' when f.k is null then 'removed' else 'updated' end as change from s full join f on s.k = f.k where s.n is null or f.n is null or s.n <> f.n"""
 )
 def index_file_changes(spark, sf_dir):
+    """Two listings by date, of all orders up to 1999 and of all from 1996 on; together they hold every order."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
 
     def listing(condition: str) -> DataFrame:
         return orders.where(condition).groupBy(F.concat(F.lit("c"), F.col("o_custkey")).alias("output_path")).agg(F.count("*").alias("size_bytes")).withColumn("modified", F.lit(0))
 
-    return file_changes(listing("o_orderkey % 3 <> 0"), listing("o_orderkey % 5 <> 0"))
+    return file_changes(listing("o_orderdate < timestamp '2000-01-01'"), listing("o_orderdate >= timestamp '1996-01-01'"))
 
 
 @query()
