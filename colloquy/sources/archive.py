@@ -30,13 +30,13 @@ def numbered(lines: DataFrame, path: str, name: str) -> DataFrame:
     return lines.withColumn(name, inside).join(starts, [path, "_block"]).withColumn(name, (F.col(name) + F.col("_start")).cast("bigint")).drop("_start")
 
 
-def read_lines(spark: SparkSession, root: str, source: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, root: str, source: str | None = None, paths: list[str] | None = None) -> DataFrame:
     """(source_dir, output_path, row_number, line): all lines, numbered from 1 within their file.
 
     Files are read in splits; a line's number comes from the order of the splits
-    of its file and of the lines in them.
+    of its file and of the lines in them.  With `paths`, only these files are read.
     """
-    lines = spark.read.text(f"{root}/{source or '*'}/{FILES}").select(
+    lines = spark.read.text(paths or f"{root}/{source or '*'}/{FILES}").select(
         F.col("_metadata.file_path").alias("output_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_order"), F.col("value").alias("line")
     )
     folder = F.element_at(F.split("output_path", "/"), -2)
@@ -72,10 +72,10 @@ def read_archive(spark: SparkSession, root: str, source: str | None = None, stri
     return rows if include_superseded else rows.where(S.is_active(F.col("superseded_at")))
 
 
-def json_line(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(source, line): the canonical JSON of each row."""
+def json_line(df: DataFrame, names: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(source, line): the canonical JSON of each row, with the columns to keep."""
     own = [n for n in (names or [f.name for f in T._parse_datatype_string(CONVERSATION).fields]) if n in df.columns]
-    return df.select("source", S.conversation_json(*own).alias("line"))
+    return df.select("source", *(keep or []), S.conversation_json(*own).alias("line"))
 
 
 def write_archive(conversations: DataFrame, root: str, source_column: str = "source") -> None:
@@ -117,8 +117,9 @@ def read_policy(spark: SparkSession, path: str) -> DataFrame:
 
 def files_of(spark: SparkSession, root: str) -> DataFrame:
     """(output_path, size_bytes, modified): the files of an archive, without reading them."""
-    found = spark.read.format("binaryFile").load(f"{root}/*/{FILES}").select("path", "length", "modificationTime")
-    return found.select(F.col("path").alias("output_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+    found = spark.read.format("binaryFile").load(f"{root}/*/{FILES}")
+    named = found.select(F.col("_metadata.file_path").alias("output_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+    return named.where(~F.element_at(F.split("output_path", "/"), -2).isin(*RESERVED))
 
 
 def file_changes(stored: DataFrame, found: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import json
 import sqlite3
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,9 @@ from .archive import numbered
 
 #: Item types whose text is kept, and roles of the stores.
 TEXT_ITEMS = ("input_text", "output_text", "text")
+ROLLOUTS = ("sessions/*/*/*/rollout-*.jsonl", "sessions/rollout-*.jsonl", "sessions/*/rollout-*.jsonl", "archived_sessions/rollout-*.jsonl")
+PROJECTS = ("projects/*/*.jsonl", "projects/*/*/subagents/*.jsonl")
+WINDSURF = ("memories/*.md", "memories/*/*.md", "memories/*.txt", "rules/*.md", "*/rules/*.md")
 IMAGE_FIELDS = ("source", "image_url", "url", "file_path", "path")
 
 
@@ -35,6 +39,8 @@ class Source:
     execution_context: str
     support_level: str
     collect: Callable[[SparkSession, str], DataFrame]
+    #: Where its artifacts lie below the input folder.
+    artifacts: tuple[str, ...] = ()
 
 
 def _get(value: str | Column, path: str, kind: str = "string") -> Column:
@@ -59,6 +65,13 @@ def matching(spark: SparkSession, patterns: list[str]) -> list[str]:
     return found
 
 
+def candidates(spark: SparkSession, source: Source, root: str) -> int:
+    """How many files below the folder are artifacts of the source, by Spark's file system."""
+    jvm = spark.sparkContext._jvm
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{root}/{pattern}") for pattern in source.artifacts]
+    return sum(len(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or ()) for path in paths)
+
+
 def existing(spark: SparkSession, patterns: list[str]) -> list[str]:
     """The patterns that match a file; an error if none does."""
     found = matching(spark, patterns)
@@ -104,7 +117,7 @@ def by_file(rows: DataFrame, msg: Column, *more: Column) -> DataFrame:
 
 def rollouts(spark: SparkSession, root: str, key: str = "codex_cli", context: str = "cli", originator: str | None = None) -> DataFrame:
     """Rollout files: messages of the three roles, metadata of the last session record; optionally of one originator."""
-    rows = json_lines(spark, [f"{root}/sessions/*/*/*/rollout-*.jsonl", f"{root}/sessions/rollout-*.jsonl", f"{root}/sessions/*/rollout-*.jsonl", f"{root}/archived_sessions/rollout-*.jsonl"])
+    rows = json_lines(spark, [f"{root}/{p}" for p in ROLLOUTS])
     kind, payload = _get("v", "$.type"), _get("v", "$.payload", "variant")
     role = _get("v", "$.payload.role")
     text = texts_of(_get("v", "$.payload.content", "variant"), TEXT_ITEMS)
@@ -149,7 +162,7 @@ def claude(spark: SparkSession, root: str, key: str = "claude", context: str = "
     With `sessions` (session_id), only transcripts of these sessions and those that
     hold the marker of the editor command are kept, without wrappers of local commands.
     """
-    patterns = [f"{root}/projects/*/*.jsonl", f"{root}/projects/*/*/subagents/*.jsonl"]
+    patterns = [f"{root}/{p}" for p in PROJECTS]
     rows = json_lines(spark, patterns)
     kind, content = _get("v", "$.type"), _get("v", "$.message.content", "variant")
     text = texts_of(content, ("text",), S.identity if sessions is None else without_wrapper)
@@ -282,9 +295,41 @@ def cursor_editor(spark: SparkSession, root: str) -> DataFrame:
     }).select(*out.columns)
 
 
+#: Where a chat session names its provider, and parts of the names of providers.
+PROVIDER_PATHS = (
+    "$.responderUsername", "$.provider", "$.providerId", "$.responder.provider", "$.responder.extensionId",
+    "$.selectedModel.metadata.extension.value", "$.selectedModel.metadata.extension.id", "$.selectedModel.metadata.extensionId", "$.selectedModel.metadata.provider",
+    "$.metadata.extension.value", "$.metadata.extension.id", "$.metadata.extensionId", "$.metadata.provider",
+)
+GEMINI_MARKERS = ("gemini", "google.geminicodeassist", "cloudcode.gemini")
+FOREIGN_MARKERS = ("copilot", "claude", "cursor", "openai.chatgpt")
+
+
+def provider_candidates(v: Column) -> Column:
+    """The distinct names of providers in a chat session, in the order of the paths; values that are no text are left out."""
+    named = lambda path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+    return F.array_distinct(F.array_compact(F.array(*[named(p) for p in PROVIDER_PATHS])))
+
+
+def provider_class(candidates: Column) -> Column:
+    """Struct (provider, candidate, reason): gemini if any name has one of its marks, else foreign, else unknown; case does not matter."""
+
+    def first_with(marks: tuple[str, ...]) -> Column:
+        return F.get(F.filter(candidates, lambda c: reduce(lambda a, b: a | b, [F.lower(c).contains(m) for m in marks])), F.lit(0))
+
+    def is_(provider: str, candidate: Column, reason: str) -> Column:
+        return F.struct(F.lit(provider).alias("provider"), candidate.alias("candidate"), F.lit(reason).alias("reason"))
+
+    gemini, foreign, any_ = first_with(GEMINI_MARKERS), first_with(FOREIGN_MARKERS), F.get(candidates, F.lit(0))
+    return (
+        F.when(gemini.isNotNull(), is_("gemini", gemini, "explicit_gemini_provider_marker")).when(foreign.isNotNull(), is_("foreign", foreign, "explicit_foreign_provider_marker"))
+        .when(any_.isNotNull(), is_("unknown", any_, "provider_candidate_unrecognized")).otherwise(is_("unknown", any_, "provider_candidate_missing"))
+    )
+
+
 def code_assist(spark: SparkSession, root: str) -> DataFrame:
     """Chat sessions of the editor: each request gives a user message and its response an assistant message."""
-    rows = json_files(spark, [f"{root}/User/workspaceStorage/*/chatSessions/*.json"]).where(F.lower(_get("v", "$.responderUsername")).contains("gemini"))
+    rows = json_files(spark, [f"{root}/User/workspaceStorage/*/chatSessions/*.json"]).where(provider_class(provider_candidates(F.col("v")))["provider"] == "gemini")
     turns = rows.select("path", "v", F.posexplode(F.try_variant_get("v", "$.requests", "array<variant>")).alias("n", "item"))
     sides = turns.select("path", "v", F.explode(F.array(*[
         F.struct((F.col("n") * 2 + k).alias("line_no"), F.lit(role).alias("role"), F.to_json(F.try_variant_get("item", f"{p}.message", "variant")).alias("raw"), _get("item", f"{p}.timestamp").alias("at"), _get("item", f"{p}.{i}").alias("id"))
@@ -358,7 +403,7 @@ def antigravity(spark: SparkSession, root: str) -> DataFrame:
 
 def windsurf(spark: SparkSession, root: str) -> DataFrame:
     """Memories and rule files, each a conversation with one message; the front matter of rules goes to the metadata."""
-    files = spark.read.option("wholetext", "true").text(existing(spark, [f"{root}/memories/*.md", f"{root}/memories/*/*.md", f"{root}/memories/*.txt", f"{root}/rules/*.md", f"{root}/*/rules/*.md"]))
+    files = spark.read.option("wholetext", "true").text(existing(spark, [f"{root}/{p}" for p in WINDSURF]))
     rows = files.select(F.col("_metadata.file_path").alias("path"), "value")
     front = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n", 1)
     body = S.identity(F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n", ""))
@@ -491,17 +536,17 @@ def cursor_cli(spark: SparkSession, root: str) -> DataFrame:
 SOURCES = {
     s.key: s
     for s in (
-        Source("codex_cli", "cli", "complete", rollouts),
-        Source("codex_ide_extension", "ide", "complete", lambda spark, root: rollouts(spark, root, "codex_ide_extension", "ide", "codex_vscode")),
-        Source("codex_app", "app", "complete", lambda spark, root: rollouts(spark, root, "codex_app", "app", "Codex Desktop")),
-        Source("claude", "cli", "complete", claude),
-        Source("claude_code_ide", "ide", "partial", lambda spark, root: claude(spark, root, "claude_code_ide", "ide", ide_sessions(spark, root))),
-        Source("gemini", "cli", "complete", gemini),
-        Source("gemini_code_assist_ide", "ide", "partial", code_assist),
-        Source("cursor", "cli", "partial", cursor_cli),
-        Source("cursor_editor", "ide", "partial", cursor_editor),
-        Source("antigravity_editor_view", "ide", "partial", antigravity),
-        Source("windsurf_editor", "ide", "partial", windsurf),
+        Source("codex_cli", "cli", "complete", rollouts, ROLLOUTS),
+        Source("codex_ide_extension", "ide", "complete", lambda spark, root: rollouts(spark, root, "codex_ide_extension", "ide", "codex_vscode"), ROLLOUTS),
+        Source("codex_app", "app", "complete", lambda spark, root: rollouts(spark, root, "codex_app", "app", "Codex Desktop"), ROLLOUTS),
+        Source("claude", "cli", "complete", claude, PROJECTS),
+        Source("claude_code_ide", "ide", "partial", lambda spark, root: claude(spark, root, "claude_code_ide", "ide", ide_sessions(spark, root)), PROJECTS),
+        Source("gemini", "cli", "complete", gemini, ("tmp/*/chats/session-*.json",)),
+        Source("gemini_code_assist_ide", "ide", "partial", code_assist, ("User/workspaceStorage/*/chatSessions/*.json",)),
+        Source("cursor", "cli", "partial", cursor_cli, ("logs/*/cli.log",)),
+        Source("cursor_editor", "ide", "partial", cursor_editor, ("User/globalStorage/state.vscdb",)),
+        Source("antigravity_editor_view", "ide", "partial", antigravity, ("conversations/*.pb",)),
+        Source("windsurf_editor", "ide", "partial", windsurf, WINDSURF),
     )
 }
 

@@ -6,10 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from colloquy.plans import maintenance as queries
+from colloquy.plans import upkeep as queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = "events documents orders conversations labels".split()
+TABLES = "events documents orders conversations labels pages".split()
 
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
