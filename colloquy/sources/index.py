@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .archive import file_changes, files_of, parsed, read_lines
 
 #: Fixed value: the index folder of an archive.
@@ -94,13 +95,14 @@ def refresh_index(spark: SparkSession, root: str, force: bool = False, strict: b
     if before.ready and not whole:
         return before
     generation = (generations[-1] if generations else 0) + 1
-    files = files_of(spark, root)
-    changed = [r.output_path for r in (files if whole else index_changes(spark, root).where("change <> 'removed'")).select("output_path").collect()]
+    files = checkpointed(files_of(spark, root))  # one listing for all steps: a file that comes later is new to the next refresh
+    old = _listing(spark, root, None if whole else generations)
+    changes = checkpointed(file_changes(old, files))
+    changed = [r.output_path for r in changes.where("change <> 'removed'").select("output_path").collect()]
     if changed:
         rows = parsed(read_lines(spark, root, paths=changed), strict).withColumn("written", F.lit(generation).cast("bigint"))
         rows.write.mode("overwrite").parquet(f"{root}/{FOLDER}/conversations/generation={generation}")
-    kept = _listing(spark, root, None if whole else generations).select("output_path", "generation")
-    named = files.join(kept.where(~F.col("output_path").isin(changed)) if changed else kept, "output_path", "left")
+    named = files.join(old.join(changes, "output_path", "left_anti").select("output_path", "generation"), "output_path", "left")
     listing = named.select("output_path", F.col("size_bytes").cast("bigint").alias("size_bytes"), "modified", F.coalesce("generation", F.lit(generation)).cast("bigint").alias("generation"))
     listing.write.mode("overwrite").parquet(f"{root}/{FOLDER}/files/generation={generation}")
     return before
