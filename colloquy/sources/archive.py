@@ -34,9 +34,10 @@ def read_lines(spark: SparkSession, root: str, source: str | None = None, paths:
     """(source_dir, output_path, row_number, line): all lines, numbered from 1 within their file.
 
     Files are read in splits; a line's number comes from the order of the splits
-    of its file and of the lines in them.  With `paths`, only these files are read.
+    of its file and of the lines in them.  With `paths`, only these files are read, named as in output_path.
     """
-    lines = spark.read.text(paths or f"{root}/{source or '*'}/{FILES}").select(
+    own = [urllib.parse.unquote(p) for p in paths] if paths else f"{root}/{source or '*'}/{FILES}"
+    lines = spark.read.text(own).select(
         F.col("_metadata.file_path").alias("output_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_order"), F.col("value").alias("line")
     )
     folder = F.element_at(F.split("output_path", "/"), -2)

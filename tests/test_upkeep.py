@@ -26,7 +26,7 @@ def session(path, *texts, secret=""):
 
 
 def test_runs_merge_into_the_archive(spark, tmp_path):
-    root, home = str(tmp_path / "archive"), tmp_path / "home"
+    root, home = str(tmp_path / "an archive"), tmp_path / "home"
     session(home / "sessions/rollout-a.jsonl", "one")
     session(home / "sessions/rollout-b.jsonl", "two", secret=" api_key=hunter2hunter2hunter2")
     (tmp_path / "blobs/conversations").mkdir(parents=True)
@@ -73,6 +73,7 @@ def rows(spark, *sessions):
 
 
 def test_index_follows_the_files(spark, tmp_path):
+    tmp_path = tmp_path / "an archive"
     root = str(tmp_path)
     write_archive(rows(spark, ("s", "a"), ("t", "b")), root)
     assert index_status(spark, root).state == "missing"
