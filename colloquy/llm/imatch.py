@@ -65,17 +65,21 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float =
     return checkpointed(held.unionByName(docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit(WHOLE).alias("subset"))))
 
 
-def hashes_of(texts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, hashes) of rows (keys, text), equal for equal keys: one 32-bit hash for each subset, null where it holds no term of the text.
+def hashes_of(texts: DataFrame, terms: DataFrame, keys: list[str], carried: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, carried, hashes) of rows (keys, carried, text): one 32-bit hash for each subset, null where it holds no term of the text.
 
-    Rows that are dealt out by a key are not dealt out again.
+    Rows of equal keys must be equal.  Only the row that stands for the whole text brings the carried
+    columns to the grouping.  Rows that are dealt out by a key are not dealt out again.
     """
-    words = texts.select(*keys, F.explode(F.concat(words_of(F.col("text")), F.array(F.lit("")))).alias("word"))
-    known = words.select(*keys, F.xxhash64("word").alias("term")).join(F.broadcast(terms) if terms.count() <= MOST_BROADCAST else terms, "term")
-    each = known.groupBy(*keys, "subset").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    words = texts.select(*keys, *carried, F.explode(F.concat(words_of(F.col("text")), F.array(F.lit("")))).alias("word"))
+    known = words.select(*keys, *carried, F.xxhash64("word").alias("term")).join(F.broadcast(terms) if terms.count() <= MOST_BROADCAST else terms, "term")
+    brought = F.when(F.col("subset") == WHOLE, F.struct(F.lit(0).alias("none"), *carried)).alias("brought")
+    known = known.select(*keys, "subset", "term", brought)
+    each = known.groupBy(*keys, "subset").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.max("brought").alias("brought"))
     low = F.shiftright(F.shiftleft(F.xxhash64("terms", "subset"), 32), 32).cast("int")
-    hashed = each.select(*keys, F.when(F.col("subset") != WHOLE, F.struct("subset", low.alias("hash"))).alias("own"))
-    return hashed.groupBy(*keys).agg(F.collect_list("own").alias("found")).select(*keys, by_subset(F.col("found")).alias("hashes"))
+    hashed = each.select(*keys, F.when(F.col("subset") != WHOLE, F.struct("subset", low.alias("hash"))).alias("own"), "brought")
+    found = hashed.groupBy(*keys).agg(F.collect_list("own").alias("found"), F.max("brought").alias("brought"))
+    return found.select(*keys, *[F.col("brought")[c].alias(c) for c in carried], by_subset(F.col("found")).alias("hashes"))
 
 
 def by_subset(found: Column) -> Column:
@@ -137,7 +141,8 @@ def with_next(docs: DataFrame, terms: DataFrame) -> DataFrame:
     edited = edited_texts(docs)
     same = [c for c in edited.columns if c not in ("text", "edited")]
     texts = edited.select(*same, F.posexplode(F.array("text", "edited")).alias("which", "text"))
-    found = hashes_of(texts.withColumn("sha", F.unhex(F.sha2("text", 256))), terms, [*same, "which", "sha"]).withColumn("sha", F.lower(F.hex("sha")))
+    carried = (*[c for c in same if c != "key"], "sha")
+    found = hashes_of(texts.withColumn("sha", F.unhex(F.sha2("text", 256))), terms, ["key", "which"], carried).withColumn("sha", F.lower(F.hex("sha")))
     of = lambda column, which: F.max(F.when(F.col("which") == which, F.col(column)))
     both = checkpointed(found.groupBy(*same).agg(of("sha", 0).alias("sha"), of("sha", 1).alias("edited_sha"), of("hashes", 0).alias("hashes"), of("hashes", 1).alias("edited_hashes")))
     following = both.select(F.col("key").alias("next_key"), F.col("hashes").alias("next_hashes"), F.col("sha").alias("next_sha"))
