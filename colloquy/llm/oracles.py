@@ -32,6 +32,21 @@ c as (select a as doc_id, min(b) as component_id from r group by a)
 select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from c left join n using (doc_id)
 """
 
+OP13_FILTERS = r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+m as (select doc_id, part, cast(len(w) < 200 as int) + 2 * cast(100 * len(list_distinct(w)) < 50 * len(w) as int) + 4 * cast(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) as int)
+    + 8 * cast(regexp_matches(t, '[#$%&*|]') as int) + 16 * cast(min(doc_id) over (partition by t) < doc_id as int) as mask from d),
+h as (select part, mask, count(*) as n, count(*) filter (quality = 1) as good, count(*) filter (toxic = 1) as toxic from m left join labels using (doc_id) group by 1, 2),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as c),
+o as (select a.c || b.c || x.c || y.c || z.c as filter_order from l a, l b, l x, l y, l z where len(list_distinct([a.c, b.c, x.c, y.c, z.c])) = 5),
+s as (select filter_order, cast(i as int) as step, 1 << (ascii(filter_order[i]) - 65) as own, coalesce(list_sum(list_transform(range(1, i), lambda j: 1 << (ascii(filter_order[j]) - 65))), 0)::int as earlier from o, range(1, 6) r(i)),
+r as (select part, filter_order, step, own, cast(sum(case when mask & (own | earlier) = 0 then n else 0 end) as bigint) as kept, cast(sum(case when mask & own <> 0 and mask & earlier = 0 then n else 0 end) as bigint) as removed,
+    cast(sum(case when mask & own <> 0 and mask & earlier <> 0 then n else 0 end) as bigint) as redundant, cast(sum(case when mask = own then n else 0 end) as bigint) as unique_fails,
+    cast(sum(case when mask & own <> 0 and mask & earlier = 0 then good else 0 end) as bigint) as good_lost, cast(sum(case when mask & own <> 0 and mask & earlier = 0 then toxic else 0 end) as bigint) as toxic_lost
+  from h, s group by 1, 2, 3, 4)
+select * exclude (own), cast(sum(removed) over (partition by part, own) as bigint) as shapley from r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_MIXING, "op7_neardup": OP7_NEARDUP}
+    return {"op4_mixing": OP4_MIXING, "op7_neardup": OP7_NEARDUP, "op13_filters": OP13_FILTERS}

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .audit import op13_filters
 from .imatch import op9_imatch
 from .langid import op6_langid
 from .media import op3_media
@@ -22,4 +23,4 @@ __all__ = ["oracle_sql", "queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_pieces, op3_media, op4_mixing, op5_repeats, op6_langid, op7_neardup, op8_urls, op9_imatch, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pieces, op3_media, op4_mixing, op5_repeats, op6_langid, op7_neardup, op8_urls, op9_imatch, op10_quality, op13_filters)}
