@@ -47,6 +47,31 @@ r as (select part, filter_order, step, own, cast(sum(case when mask & (own | ear
 select * exclude (own), cast(sum(removed) over (partition by part, own) as bigint) as shapley from r
 """
 
+_FIELD = "coalesce(strlen(cast({0} as varchar)) || ':' || cast({0} as varchar), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_CHANGED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC = """xor(list_reduce(flatten(list_prepend([4294967295], list_transform(string_split(cast(doc_id as varchar), ''), lambda c: [cast(ascii(c) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, (c & 1) * 3988292384) end), 4294967295)"""
+
+OP11_MANIFEST = f"""
+with recursive d as (select doc_id, coalesce('=' || source, '') as g, {_LEAF.format(text="text")} as leaf, case when {_CRC} % 5 = 0 then {_LEAF.format(text=_CHANGED)} end as tampered from documents),
+t(g, level, nodes) as (select g, 0, list(leaf order by doc_id) from d group by g
+  union all select g, level + 1, list_transform(range(0, len(nodes), 16), lambda i: sha256(array_to_string(nodes[i + 1:i + 16], ''))) from t where len(nodes) > 1),
+s as (select g, nodes[1] as subroot, row_number() over (order by g) - 1 as place from t where len(nodes) = 1),
+u(level, nodes) as (select 0, list(subroot order by g) from s
+  union all select level + 1, list_transform(range(0, len(nodes), 16), lambda i: sha256(array_to_string(nodes[i + 1:i + 16], ''))) from u where len(nodes) > 1),
+p as (select doc_id, g, row_number() over (partition by g order by doc_id) - 1 as place from d),
+i as (select doc_id, level, cast(floor(place / pow(16, level)) as bigint) as k, nodes from p join t using (g) where len(nodes) > 1
+  union all select doc_id, 1000 + level, cast(floor(s.place / pow(16, level)) as bigint), nodes from p join s using (g), u where len(nodes) > 1),
+b as (select doc_id, row_number() over (partition by doc_id order by level) as step, array_to_string(list_filter(nodes, lambda x, j: j > k // 16 * 16 and j <= k), '') as before,
+    array_to_string(list_filter(nodes, lambda x, j: j > k + 1 and j <= k // 16 * 16 + 16), '') as after from i),
+f(doc_id, step, node) as (select doc_id, 0, coalesce(tampered, leaf) from d union all select doc_id, f.step + 1, sha256(before || node || after) from f join b using (doc_id) where b.step = f.step + 1),
+r as (select nodes[1] as root from u where len(nodes) = 1),
+h as (select doc_id, sha256(coalesce(string_agg(before || after, '' order by step), '')) as proof_sha256 from d left join b using (doc_id) group by 1),
+e as (select doc_id, arg_max(node, step) as folded_root from f group by 1)
+select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from d join s using (g) join h using (doc_id) join e using (doc_id), r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_MIXING, "op7_neardup": OP7_NEARDUP, "op13_filters": OP13_FILTERS}
+    return {"op4_mixing": OP4_MIXING, "op7_neardup": OP7_NEARDUP, "op11_manifest": OP11_MANIFEST, "op13_filters": OP13_FILTERS}

@@ -10,6 +10,7 @@ from .audit import op13_filters
 from .imatch import op9_imatch
 from .langid import op6_langid
 from .media import op3_media
+from .merkle import op11_manifest
 from .mixing import op4_mixing
 from .neardup import op7_neardup
 from .oracles import oracle_sql
@@ -23,4 +24,4 @@ __all__ = ["oracle_sql", "queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_pieces, op3_media, op4_mixing, op5_repeats, op6_langid, op7_neardup, op8_urls, op9_imatch, op10_quality, op13_filters)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pieces, op3_media, op4_mixing, op5_repeats, op6_langid, op7_neardup, op8_urls, op9_imatch, op10_quality, op11_manifest, op13_filters)}
