@@ -15,6 +15,7 @@ from .mixing import op4_mixing
 from .neardup import op7_neardup
 from .oracles import oracle_sql
 from .pieces import op2_pieces
+from .pii import op12_pii
 from .quality import op10_quality
 from .repeats import op5_repeats
 from .toxicity import op1_toxicity
@@ -24,4 +25,4 @@ __all__ = ["oracle_sql", "queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_pieces, op3_media, op4_mixing, op5_repeats, op6_langid, op7_neardup, op8_urls, op9_imatch, op10_quality, op11_manifest, op13_filters)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pieces, op3_media, op4_mixing, op5_repeats, op6_langid, op7_neardup, op8_urls, op9_imatch, op10_quality, op11_manifest, op12_pii, op13_filters)}
