@@ -23,6 +23,8 @@ REDACTIONS = (
     (r"(?U)\bsk-ant-[A-Za-z0-9_-]{16,}\b", "[REDACTED_API_KEY]"),
     (r"(?U)\bAIza[0-9A-Za-z\-_]{20,}\b", "[REDACTED_API_KEY]"),
 )
+#: The end of an ISO time that names its zone.
+ZONED = r"(Z|[+-]\d{2}:?\d{2})$"
 STATUS_ORDER = {"failed": 0, "unsupported": 1, "partial": 2, "complete": 3}
 PREVIEW = 120
 
@@ -133,26 +135,29 @@ def is_active(superseded_at: Column) -> Column:
 
 def instant(text: Column) -> Column:
     """Timestamp of an ISO text with a time zone; null for any other."""
-    return F.when(text.rlike(r"(Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(text))
+    return F.when(text.rlike(ZONED), F.try_to_timestamp(text))
 
 
 def lenient_instant(text: Column) -> Column:
-    """ISO, or the compact form of run ids; without a zone it counts as UTC."""
-    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmmss'Z'")))
+    """ISO, or the compact form of run ids and log folders; without a zone it counts as UTC, whatever the session's zone."""
+    iso = F.regexp_replace(F.trim(text), r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})Z?$", "$1-$2-$3T$4:$5:$6Z")
+    iso = F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(iso, F.lit("T00:00:00Z"))).when(iso.rlike(ZONED), iso).otherwise(F.concat(iso, F.lit("Z")))
+    return F.try_to_timestamp(iso)
 
 
 def utc_text(moment: Column) -> Column:
-    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """ISO text of a timestamp in UTC to the second.
 
-
-def time_slug(text: Column) -> Column:
-    return F.regexp_replace(text, "[-:]", "")
+    The text is made from the seconds since 1970 and not from the time of day in the session's zone, which skips and repeats hours.
+    """
+    plain = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_seconds(moment))
+    return F.concat(F.replace(plain.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def epoch_text(value: Column) -> Column:
     """Milliseconds since 1970, as digits, or an ISO text, in UTC to the second; anything else stays."""
     digits = F.when(value.rlike(r"^\d+$"), F.timestamp_millis(value.cast("bigint")))
-    return F.coalesce(utc_text(F.coalesce(digits, F.try_to_timestamp(value))), value)
+    return F.coalesce(utc_text(F.coalesce(digits, lenient_instant(value))), value)
 
 
 def message_text(message: Column) -> Column:
@@ -217,10 +222,6 @@ def expected_status(failed: Column, unsupported: Column, partial: Column) -> Col
     return F.when(failed, "failed").when(unsupported, "unsupported").when(partial, "partial").otherwise("complete")
 
 
-def delta(before: Column, after: Column) -> Column:
-    return F.struct(before.alias("from"), after.alias("to"), (after - before).alias("delta"))
-
-
 def uri_path(uri: Column) -> Column:
     """Path of a file: URI, percent-decoded; a plus sign is kept."""
     return F.url_decode(F.replace(F.parse_url(uri, F.lit("PATH")), F.lit("+"), F.lit("%2B")))

@@ -14,7 +14,7 @@ MARKER = r"\[REDACTED(?:_API_KEY)?\]"
 
 def after(conversations: DataFrame, moment: str) -> DataFrame:
     """Rows collected strictly after the moment, by instant and not by text."""
-    return conversations.where(S.instant(F.col("collected_at")) > F.to_timestamp(F.lit(moment)))
+    return conversations.where(S.instant(F.col("collected_at")) > S.lenient_instant(F.lit(moment)))
 
 
 def export_subset(conversations: DataFrame, **filters: str | None) -> DataFrame:

@@ -89,7 +89,7 @@ def prune_plan(runs: DataFrame, keep_last: int | None = None, older_than_days: i
     if keep_last is not None:
         goes &= F.col("recency") > keep_last
     if older_than_days is not None:
-        today = F.to_timestamp(F.lit(now)) if now else F.current_timestamp()
+        today = S.lenient_instant(F.lit(now)) if now else F.current_timestamp()
         goes &= F.coalesce(F.col("moment") < today - F.make_dt_interval(F.lit(older_than_days)), F.lit(False))
     return rows.withColumn("pruned", goes)
 

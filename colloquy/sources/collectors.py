@@ -425,7 +425,7 @@ def cursor_invocations(spark: SparkSession, root: str) -> DataFrame:
     found = rows.where(known).groupBy("path").agg(F.min_by(F.to_json("v"), "line_no").alias("payload"))
     folder = F.element_at(F.split("path", "/"), -2)
     named = F.nullif(F.regexp_extract(F.get_json_object("payload", "$.logsPath"), r"([^/]*)/*$", 1), F.lit(""))
-    time = lambda slug: F.unix_timestamp(F.try_to_timestamp(slug, F.lit("yyyyMMdd'T'HHmmss")))
+    time = lambda slug: F.unix_seconds(F.when(slug.rlike(r"^\d{8}T\d{6}$"), S.lenient_instant(slug)))
     return found.withColumns({"session": F.coalesce(named, folder), "invoked": F.coalesce(time(named), time(folder))})
 
 
@@ -459,7 +459,7 @@ def workspace_sessions(spark: SparkSession, root: str) -> DataFrame:
     rows = rows.withColumn("composer", F.coalesce(F.get(asked, F.lit(0)), F.when(F.size("ids") == 1, F.get("ids", F.lit(0))))).where(F.col("composer").isNotNull() & (F.size("prompts") > 0))
     own = F.try_element_at(F.filter("composers", lambda x: x["id"] == F.col("composer")), F.lit(-1))
     rows = rows.withColumn("own", own).withColumn("active", F.coalesce(F.try_element_at(F.filter("times", lambda t: t.isNotNull()), F.lit(-1)), "own.updated", "own.created"))
-    created, updated, active = (F.unix_timestamp(F.try_to_timestamp(c)) for c in ("own.created", "own.updated", "active"))
+    created, updated, active = (F.unix_seconds(S.lenient_instant(F.col(c))) for c in ("own.created", "own.updated", "active"))
     rows = rows.withColumns({"active_s": active, "start_s": F.coalesce(created, active, updated), "end_s": F.greatest(F.coalesce(created, active, updated), F.coalesce(active, updated, created))})
     return rows.select("workspace", "composer", "prompts", "times", "active", "active_s", "start_s", "end_s")
 
