@@ -35,6 +35,12 @@ def casefold(text: pd.Series) -> pd.Series:
     return text.map(str.casefold, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def casefold_all(texts: pd.Series) -> pd.Series:
+    """Full Unicode case folding of each text of a list; null stays null."""
+    return texts.map(lambda own: [t.casefold() for t in own], na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def canonical_json(value: pd.Series) -> pd.Series:
     """JSON text with sorted keys and without blanks; text that is no JSON stays as it is."""

@@ -6,11 +6,14 @@ out by `active` before, unless an operator says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..model import COMPLETENESS, ROLES
+from .policy import NEVER, degraded_rules, with_place
 
 SUMMARY = ("source", "source_session_id", "transcript_completeness", "collected_at", "message_count", "limitation_count", "limitations", "has_provenance", "source_artifact_path", "execution_context", "output_path", "row_number")
 
@@ -34,23 +37,29 @@ def matching(conversations: DataFrame, source: str | None = None, session: str |
     if text is not None:
         if not text.strip():
             raise ValueError("the text to search for must not be empty")
-        hits = messages(conversations).where(contains(text)).select("output_path", "row_number").distinct()
-        conversations = conversations.join(hits, ["output_path", "row_number"], "left_semi")
+        conversations = conversations.where(F.exists(folded_texts(), holds(text)))
     return conversations
 
 
-def contains(text: str) -> Column:
-    """Message text holds the query, both case-folded."""
-    return F.instr(S.casefold(F.coalesce("text", F.lit(""))), text.strip().casefold()) > 0
+def folded_texts() -> Column:
+    """The case-folded texts of a conversation's messages, in order; ASCII texts, and rows of them, never leave the JVM."""
+    texts = F.transform("messages", lambda m: F.coalesce(m["text"], F.lit("")))
+    plain = F.forall(texts, lambda t: F.octet_length(t) == F.length(t))
+    return F.when(plain, F.transform(texts, lambda t: F.lower(t))).otherwise(S.casefold_all(F.when(~plain, texts)))
+
+
+def holds(text: str) -> Callable[[Column], Column]:
+    """A case-folded text holds the query, case-folded too."""
+    return lambda folded: F.contains(folded, F.lit(text.strip().casefold()))
 
 
-def summaries(conversations: DataFrame) -> DataFrame:
-    """The summary columns of each conversation, its limitations sorted."""
+def summaries(conversations: DataFrame, *more: Column) -> DataFrame:
+    """The summary columns of each conversation, its limitations sorted, and more columns of it."""
     return conversations.select(
         "source", "source_session_id", S.completeness(F.col("transcript_completeness")).alias("transcript_completeness"), "collected_at",
         F.size("messages").alias("message_count"), F.size(F.coalesce("limitations", F.array().cast("array<string>"))).alias("limitation_count"),
         F.array_sort(F.coalesce("limitations", F.array().cast("array<string>"))).alias("limitations"), F.col("provenance").isNotNull().alias("has_provenance"),
-        "source_artifact_path", "execution_context", "output_path", "row_number",
+        "source_artifact_path", "execution_context", "output_path", "row_number", *more,
     )
 
 
@@ -78,10 +87,10 @@ def find(conversations: DataFrame, text: str, **filters: str | None) -> DataFram
     """Conversations with the number of messages that hold the text, and a preview of the first of these."""
     if not text.strip():
         raise ValueError("the text to search for must not be empty")
-    hits = messages(matching(conversations, **filters)).where(contains(text))
-    found = hits.groupBy("output_path", "row_number").agg(F.count("*").alias("matched_message_count"), F.min_by("text", "message_index").alias("_first"))
-    joined = summaries(conversations).join(found, ["output_path", "row_number"])
-    return joined.select(*SUMMARY, "matched_message_count", S.preview(F.col("_first")).alias("preview")).orderBy(*newest_first())
+    hits = F.filter(F.transform(folded_texts(), lambda t, i: F.when(holds(text)(t), i)), lambda i: i.isNotNull())
+    found = matching(conversations, **filters).withColumn("_hits", hits).where(F.size("_hits") > 0)
+    first = S.preview(F.get("messages", F.get("_hits", F.lit(0)))["text"])
+    return summaries(found, F.size("_hits").alias("matched_message_count"), first.alias("preview")).orderBy(*newest_first())
 
 
 def sample(conversations: DataFrame, count: int, seed: str, payload: Column, **filters: str | None) -> DataFrame:
@@ -185,15 +194,21 @@ def source_anomalies(conversations: DataFrame, low_messages: int = 1, many_limit
 
 
 def with_suppression(found: DataFrame, policy: DataFrame) -> DataFrame:
-    """Adds the policy entry that suppresses each finding (source, report, code, level): a warning whose source, report and code an entry names.
+    """Adds the policy entry that suppresses each finding (source, report, code, level): a warning whose source, report and code an entry names, of several the first.
 
     `drift_suspected` is never suppressed, nor is a finding without source.
     """
-    rules = policy.where("kind = 'finding'").groupBy("source", "report", "code").agg(F.min("id").alias("_entry"))
-    open_ = (F.col("level") == "warning") & (F.col("code") != "drift_suspected")
+    rules = with_place(policy).where("kind = 'finding'").groupBy("source", "report", "code").agg(F.min_by("id", "place").alias("_entry"))
+    open_ = (F.col("level") == "warning") & ~F.col("code").isin(*NEVER)
     return found.join(rules, ["source", "report", "code"], "left").withColumn("suppressed_by", F.when(open_, F.col("_entry"))).drop("_entry")
 
 
+def _degraded(policy: DataFrame) -> DataFrame:
+    """(source, _degraded): the entry for each degraded source, whatever its state; the most specific one, of several the first."""
+    sources = policy.where("kind = 'degraded_source'").select("source").distinct().select("source", F.lit(None).cast("string").alias("support_level"), F.lit(None).cast("string").alias("status"))
+    return degraded_rules(policy, sources, ["source"], ignore_state=True).select("source", F.col("_of_state.id").alias("_degraded"))
+
+
 def suppressed_reasons(found: DataFrame, policy: DataFrame) -> DataFrame:
     """One row for each reason of each suspicious conversation (as of `anomalies`), with the policy entry that suppresses it.
 
@@ -201,11 +216,23 @@ def suppressed_reasons(found: DataFrame, policy: DataFrame) -> DataFrame:
     many limitations only if there is an entry for each of them (the first
     limitation's is named), and few messages never.
     """
-    degraded = policy.where("kind = 'degraded_source'").groupBy("source").agg(F.min("id").alias("_degraded"))
-    known = policy.where("kind = 'limitation'").groupBy("source", "limitation").agg(F.min("id").alias("id"))
+    known = with_place(policy).where("kind = 'limitation'").groupBy("source", "limitation").agg(F.min_by("id", "place").alias("id"))
     known = known.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("limitation", "id"))).alias("_known"))
     entries = F.transform("limitations", lambda x: F.try_element_at("_known", x))
     every = F.when((F.size("limitations") > 0) & F.forall(entries, lambda x: x.isNotNull()), F.try_element_at(entries, F.lit(1)))
-    rows = found.join(degraded, "source", "left").join(known, "source", "left").withColumn("_every", every)
+    rows = found.join(_degraded(policy), "source", "left").join(known, "source", "left").withColumn("_every", every)
     by = F.when(F.col("code") == "unsupported_transcript", F.col("_degraded")).when(F.col("code") == "excessive_limitations", F.col("_every"))
     return rows.withColumn("code", F.explode("reasons")).withColumn("suppressed_by", by).drop("_degraded", "_known", "_every", "reasons")
+
+
+def active_anomalies(sources: DataFrame, reasons: DataFrame, policy: DataFrame) -> DataFrame:
+    """Sources (as of `source_anomalies`) with what a policy leaves: suspicious conversations that have an active reason, and the source's own reason.
+
+    `reasons` are those of `suppressed_reasons`.  A frequent lack of support is the one reason of a source; an entry for the degraded source accepts it.
+    """
+    by_row = reasons.groupBy("source", "output_path", "row_number").agg(F.count_if(F.col("suppressed_by").isNull()).alias("_open"))
+    counts = by_row.groupBy("source").agg(F.count_if(F.col("_open") > 0).alias("active_suspicious_conversation_count"), F.count_if(F.col("_open") == 0).alias("suppressed_suspicious_conversation_count"))
+    rows = sources.join(counts, "source", "left").join(_degraded(policy), "source", "left")
+    filled = {c: F.coalesce(c, F.lit(0)) for c in ("active_suspicious_conversation_count", "suppressed_suspicious_conversation_count")}
+    named = F.when(F.col("high_unsupported_ratio"), F.col("_degraded"))
+    return rows.withColumns(filled | {"suppressed_by": named, "active_high_unsupported_ratio": F.col("high_unsupported_ratio") & named.isNull()}).drop("_degraded")

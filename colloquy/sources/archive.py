@@ -5,19 +5,26 @@ from __future__ import annotations
 import urllib.parse
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..model import CONVERSATION, RUN
+from ..operators.checks import file_path
 
 FILES = "*.{jsonl,txt}"
 #: Folders beside those of the sources.
 RESERVED = ("runs", "archive-index")
 
 
+def folder_of(uri: Column) -> Column:
+    """Name of the folder of a file that Spark names by its URI, without escapes."""
+    folder = F.try_element_at(F.split(uri, "/"), F.lit(-2))
+    return F.coalesce(F.try_url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))), folder)
+
+
 def numbered(lines: DataFrame, path: str, name: str) -> DataFrame:
     """Adds the number of each line in its file, from 1, to rows (path, _block, _order, ...).
 
@@ -40,8 +47,7 @@ def read_lines(spark: SparkSession, root: str, source: str | None = None, paths:
     lines = spark.read.text(own).select(
         F.col("_metadata.file_path").alias("output_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_order"), F.col("value").alias("line")
     )
-    folder = F.element_at(F.split("output_path", "/"), -2)
-    return numbered(lines, "output_path", "row_number").select(folder.alias("source_dir"), "output_path", "row_number", "line").where(~F.col("source_dir").isin(*RESERVED))
+    return numbered(lines, "output_path", "row_number").select(folder_of(F.col("output_path")).alias("source_dir"), "output_path", "row_number", "line").where(~F.col("source_dir").isin(*RESERVED))
 
 
 def parsed(lines: DataFrame, strict: bool = True) -> DataFrame:
@@ -109,18 +115,27 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(RUN).json(f"{root}/runs/*/manifest.json", multiLine=True)
 
 
-def read_policy(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a baseline policy."""
-    entry = "struct<id:string,kind:string,source:string,reason:string,report:string,code:string,limitation:string,support_level:string,status:string,added_at:string>"
-    found = spark.read.schema(f"version bigint, entries array<{entry}>").json(path, multiLine=True)
-    return found.select(F.explode("entries").alias("e")).select("e.*")
+def found_any(spark: SparkSession, pattern: str) -> bool:
+    """Whether any file has a path of the pattern."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
+
+
+def read_manifests(spark: SparkSession, root: str) -> DataFrame:
+    """(run_id, manifest_path, text) of each run, named by its folder; texts are not judged.  An archive without runs gives no rows."""
+    pattern = f"{root}/runs/*/manifest.json"
+    if not found_any(spark, pattern):
+        return spark.createDataFrame([], "run_id string, manifest_path string, text string")
+    path = F.col("_metadata.file_path")
+    return spark.read.text(pattern, wholetext=True).select(folder_of(path).alias("run_id"), file_path(path).alias("manifest_path"), F.col("value").alias("text"))
 
 
 def files_of(spark: SparkSession, root: str) -> DataFrame:
-    """(output_path, size_bytes, modified): the files of an archive, without reading them."""
+    """(source_dir, output_path, size_bytes, modified): the files of an archive, without reading them."""
     found = spark.read.format("binaryFile").load(f"{root}/*/{FILES}")
-    named = found.select(F.col("_metadata.file_path").alias("output_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
-    return named.where(~F.element_at(F.split("output_path", "/"), -2).isin(*RESERVED))
+    path = F.col("_metadata.file_path")
+    named = found.select(folder_of(path).alias("source_dir"), path.alias("output_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+    return named.where(~F.col("source_dir").isin(*RESERVED))
 
 
 def file_changes(stored: DataFrame, found: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from colloquy.plans import upkeep as queries
+from colloquy.plans import registered as queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events documents orders conversations labels pages".split()
