@@ -54,6 +54,37 @@ def canonical_json(value: pd.Series) -> pd.Series:
     return value.map(canonical, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def canonical_row(line: pd.Series) -> pd.Series:
+    """Canonical JSON of a row: what is absent, empty or the default of an optional field is left out, all other fields are kept."""
+
+    def canonical(text: str) -> str:
+        row = json.loads(text)
+        if row.get("transcript_completeness") == "complete":
+            del row["transcript_completeness"]
+        for name in ("limitations", "provenance"):
+            if not row.get(name):
+                row.pop(name, None)
+        for name in ("session_metadata", "source_artifact_path", "source_session_id", "superseded_at"):
+            if row.get(name) is None:
+                row.pop(name, None)
+        return json.dumps(row, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+    return line.map(canonical, na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def with_version(line: pd.Series, version: pd.Series) -> pd.Series:
+    """A row's JSON with another version in its contract; all else, its order too, stays."""
+
+    def changed(text: str, to: str) -> str:
+        row = json.loads(text)
+        row["contract"]["schema_version"] = to
+        return json.dumps(row, ensure_ascii=False)
+
+    return pd.Series([None if pd.isna(t) else changed(t, v) for t, v in zip(line, version, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.StructType([T.StructField("value", T.StringType()), T.StructField("events", T.LongType())]))
 def redact_json(value: pd.Series) -> pd.DataFrame:
     """Redact a JSON object by the names of its fields and the texts of its values, at any depth."""
