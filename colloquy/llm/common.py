@@ -20,7 +20,7 @@ from ..session import checkpointed
 
 __all__ = ["checkpointed"]
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
