@@ -10,6 +10,7 @@ JSON that repeats a key is malformed.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from typing import NamedTuple
 
@@ -119,6 +120,11 @@ def plain_path(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/"))
 
 
+def plain_root(root: str) -> str:
+    """The plain path of a folder that is given by path or URI."""
+    return "/" + "/".join(p for p in re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).split("/") if p not in ("", "."))
+
+
 def file_path(uri: Column) -> Column:
     """The plain path of a file that Spark names by its URI."""
     return plain_path(F.coalesce(F.try_url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), uri))

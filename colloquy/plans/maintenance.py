@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +14,12 @@ from ..operators import identity as I
 from ..operators import memory as M
 from ..operators import runs as R
 from ..operators import verify as V
-from ..session import shared_folder
+from ..session import checkpointed
 from ..sources import archive as files
 from . import views
 from .queries import QUERIES, SQL, query
 from .views import BASE_SQL, RUNS_SQL
+from .writing import scratch
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -41,27 +42,29 @@ def invalid_role_guard(spark, sf_dir):
 _ON_DISK = BASE_SQL + "select source, conv_id as row_id, message_count, transcript_completeness, limitation_count, sha256(transcript) as transcript_sha256 from {}"
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> str:
+@contextmanager
+def stored(spark: SparkSession, sf_dir: str):
     """Root of an archive in the shared folder, with all conversations; the session id of each begins with its number."""
-    root = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
-    rows = views.archive(spark, sf_dir).withColumn("source_session_id", F.concat(F.col("row_number"), F.lit("/"), F.coalesce("source_session_id", F.lit(""))))
-    files.write_archive(rows, root)
-    return root
+    with scratch(spark) as root:
+        files.write_archive(views.archive(spark, sf_dir).withColumn("source_session_id", F.concat(F.col("row_number"), F.lit("/"), F.coalesce("source_session_id", F.lit("")))), root)
+        yield root
 
 
 @query(_ON_DISK.format("base"))
 def archive_scan(spark, sf_dir):
-    rows = files.read_archive(spark, _stored(spark, sf_dir))
-    limited = F.size(F.coalesce("limitations", F.array().cast("array<string>"))).alias("limitation_count")
-    row_id = F.split("source_session_id", "/")[0].cast("bigint").alias("row_id")
-    return rows.select("source", row_id, F.size("messages").alias("message_count"), S.completeness(F.col("transcript_completeness")).alias("transcript_completeness"), limited, F.sha2(S.transcript(F.col("messages")), 256).alias("transcript_sha256"))
+    with stored(spark, sf_dir) as root:
+        rows = files.read_archive(spark, root)
+        limited = F.size(F.coalesce("limitations", F.array().cast("array<string>"))).alias("limitation_count")
+        row_id = F.split("source_session_id", "/")[0].cast("bigint").alias("row_id")
+        return checkpointed(rows.select("source", row_id, F.size("messages").alias("message_count"), S.completeness(F.col("transcript_completeness")).alias("transcript_completeness"), limited, F.sha2(S.transcript(F.col("messages")), 256).alias("transcript_sha256")))
 
 
 @query(BASE_SQL + "select source as source_dir, count(*) as row_count, 0 as invalid_count from allrows group by 1")
 def archive_scan_validated(spark, sf_dir):
-    lines = files.read_lines(spark, _stored(spark, sf_dir))
-    bad = files.invalid_rows(lines).groupBy("source_dir").agg(F.count("*").alias("invalid_count"))
-    return lines.groupBy("source_dir").agg(F.count("*").alias("row_count")).join(bad, "source_dir", "left").withColumn("invalid_count", F.coalesce("invalid_count", F.lit(0)))
+    with stored(spark, sf_dir) as root:
+        lines = files.read_lines(spark, root)
+        bad = files.invalid_rows(lines).groupBy("source_dir").agg(F.count("*").alias("invalid_count"))
+        return checkpointed(lines.groupBy("source_dir").agg(F.count("*").alias("row_count")).join(bad, "source_dir", "left").withColumn("invalid_count", F.coalesce("invalid_count", F.lit(0))))
 
 
 @query(BASE_SQL + "select distinct source as source_dir, output_path from allrows where output_path not like '%/f1' and output_path not like '%/f3'")

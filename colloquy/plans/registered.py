@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import reports, upkeep
+from . import reports, upkeep, writing
 
-QUERIES = upkeep.QUERIES
-SQL = reports.SQL
+QUERIES = reports.QUERIES | upkeep.QUERIES | writing.QUERIES  # one table, filled by all
+SQL = reports.SQL | upkeep.SQL | writing.SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -11,39 +9,40 @@ from ..operators import archive as A
 from ..operators import readiness as D
 from ..operators import verify as V
 from ..operators.runs import latest_runs
-from ..session import shared_folder
+from ..session import checkpointed
 from ..sources import archive as files
 from ..sources.batch import write_incremental
 from ..sources.collectors import provider_candidates, provider_class
 from ..sources.index import ensure_index, read_index
 from . import views
-from .maintenance import _MERGED, _ON_DISK, _halves, _stored
+from .maintenance import _MERGED, _ON_DISK, _halves, stored
 from .queries import QUERIES, SQL, query
 from .views import BASE_SQL, POLICY, RUNS_SQL
+from .writing import scratch
 
 __all__ = ["QUERIES", "SQL"]
 
 
 @query(_ON_DISK.format("allrows"))
 def archive_index_rows(spark, sf_dir):
-    root = _stored(spark, sf_dir)
-    if not ensure_index(spark, root).ready:
-        raise ValueError(f"the index of {root} is not ready")
-    limited = F.size(F.coalesce("limitations", F.array().cast("array<string>"))).alias("limitation_count")
-    row_id = F.split("source_session_id", "/")[0].cast("bigint").alias("row_id")
-    return read_index(spark, root).select("source", row_id, F.size("messages").alias("message_count"), S.completeness(F.col("transcript_completeness")).alias("transcript_completeness"), limited, F.sha2(S.transcript(F.col("messages")), 256).alias("transcript_sha256"))
+    with stored(spark, sf_dir) as root:
+        if not ensure_index(spark, root).ready:
+            raise ValueError(f"the index of {root} is not ready")
+        limited = F.size(F.coalesce("limitations", F.array().cast("array<string>"))).alias("limitation_count")
+        row_id = F.split("source_session_id", "/")[0].cast("bigint").alias("row_id")
+        return checkpointed(read_index(spark, root).select("source", row_id, F.size("messages").alias("message_count"), S.completeness(F.col("transcript_completeness")).alias("transcript_completeness"), limited, F.sha2(S.transcript(F.col("messages")), 256).alias("transcript_sha256")))
 
 
 @query(_MERGED + "select d.source, sha256(b.transcript) as transcript_sha256, not new and won as superseded from d join base b using (row_number) where not new or (won and sel = winner)")
 def incremental_collect(spark, sf_dir):
     """Conversations of odd number merged into an archive on disk that holds those of even number; superseded rows are marked in their files."""
-    root = f"{shared_folder(spark)}/collect-{uuid.uuid4().hex}"
     old, new = _halves(spark, sf_dir)
-    files.write_archive(old, root)
-    for source in sorted(r.source for r in new.select("source").distinct().collect()):  # a handful of stores
-        write_incremental(spark, root, source, new.where(F.col("source") == source), "2024-03-01T00:00:00Z")
-    rows = files.read_archive(spark, root, include_superseded=True)
-    return rows.select("source", F.sha2(S.transcript(F.col("messages")), 256).alias("transcript_sha256"), (~S.is_active(F.col("superseded_at"))).alias("superseded"))
+    with scratch(spark) as root:
+        files.write_archive(old, root)
+        for source in sorted(r.source for r in new.select("source").distinct().collect()):  # a handful of stores
+            write_incremental(spark, root, source, new.where(F.col("source") == source), "2024-03-01T00:00:00Z")
+        rows = files.read_archive(spark, root, include_superseded=True)
+        return checkpointed(rows.select("source", F.sha2(S.transcript(F.col("messages")), 256).alias("transcript_sha256"), (~S.is_active(F.col("superseded_at"))).alias("superseded")))
 
 
 _SNAPSHOT = BASE_SQL + f""", {RUNS_SQL.strip()},
