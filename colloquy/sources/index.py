@@ -8,16 +8,21 @@ and what a file held before simply is not named any more.
 
 from __future__ import annotations
 
+import urllib.parse
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .archive import file_changes, files_of, parsed, read_lines
+from .archive import FILES, RESERVED, file_changes, files_of, folder_of, parsed, read_lines
+from .lookup import line_offsets
 
 #: Fixed value: the index folder of an archive.
 FOLDER = "archive-index"
+#: Changed files that one job reads.
+PATHS = 10_000
 LISTING = "output_path string, size_bytes bigint, modified timestamp, generation bigint"
 
 
@@ -65,7 +70,21 @@ def read_index(spark: SparkSession, root: str) -> DataFrame:
     if not generations:
         raise FileNotFoundError(f"{root} has no finished index")
     named = _listing(spark, root, generations).select("output_path", F.col("generation").alias("written"))
-    return spark.read.parquet(f"{root}/{FOLDER}/conversations").join(named, ["output_path", "written"], "left_semi").drop("written")
+    return spark.read.parquet(f"{root}/{FOLDER}/conversations").join(named, ["output_path", "written"], "left_semi").drop("written", "generation", "batch")
+
+
+def read_listing(spark: SparkSession, root: str) -> DataFrame:
+    """(output_path, size_bytes, modified, generation) of the indexed files."""
+    generations = _generations(spark, root)
+    if not generations:
+        raise FileNotFoundError(f"{root} has no finished index")
+    return _listing(spark, root, generations)
+
+
+def read_offsets(spark: SparkSession, root: str) -> DataFrame:
+    """(output_path, row_number, byte_offset) of every Nth line of the indexed files (see `lookup`)."""
+    named = read_listing(spark, root).select("output_path", F.col("generation").alias("written"))
+    return spark.read.parquet(f"{root}/{FOLDER}/offsets").join(named, ["output_path", "written"], "left_semi").select("output_path", "row_number", "byte_offset")
 
 
 def index_changes(spark: SparkSession, root: str) -> DataFrame:
@@ -83,11 +102,23 @@ def index_status(spark: SparkSession, root: str) -> IndexStatus:
     return IndexStatus(state, files_of(spark, root).count(), known.count(), rows, n.get("added", 0), n.get("updated", 0), n.get("removed", 0))
 
 
+def _path_batches(changes: DataFrame) -> Iterator[list[str]]:
+    """Paths of the files that are new or changed, PATHS at a time; they come to the driver by partition."""
+    batch: list[str] = []
+    for r in changes.where("change <> 'removed'").select("output_path").toLocalIterator():
+        batch.append(r.output_path)
+        if len(batch) == PATHS:
+            yield batch
+            batch = []
+    if batch:
+        yield batch
+
+
 def refresh_index(spark: SparkSession, root: str, force: bool = False, strict: bool = True) -> IndexStatus:
     """Index what has changed, or all files with `force`; returns the status before.
 
-    Only changed files are read.  Their paths pass the driver, as all paths do when
-    Spark lists files.  A malformed row is an error in strict mode.
+    Where all files are read, they are named by their pattern; else changed files are read
+    in batches of PATHS, named one by one.  A malformed row is an error in strict mode.
     """
     before = index_status(spark, root)
     generations = _generations(spark, root)
@@ -98,10 +129,17 @@ def refresh_index(spark: SparkSession, root: str, force: bool = False, strict: b
     files = checkpointed(files_of(spark, root))  # one listing for all steps: a file that comes later is new to the next refresh
     old = _listing(spark, root, None if whole else generations)
     changes = checkpointed(file_changes(old, files))
-    changed = [r.output_path for r in changes.where("change <> 'removed'").select("output_path").collect()]
-    if changed:
-        rows = parsed(read_lines(spark, root, paths=changed), strict).withColumn("written", F.lit(generation).cast("bigint"))
-        rows.write.mode("overwrite").parquet(f"{root}/{FOLDER}/conversations/generation={generation}")
+    if not changes.where("change <> 'removed'").isEmpty():
+        written = F.lit(generation).cast("bigint")
+        for kind in ("conversations", "offsets"):  # what a refresh that broke off has left
+            path, fs = _path(spark, f"{root}/{FOLDER}/{kind}/generation={generation}")
+            fs.delete(path, True)
+        for i, some in enumerate([None] if whole else _path_batches(changes)):
+            rows = parsed(read_lines(spark, root, paths=some), strict).withColumn("written", written)
+            rows.write.mode("overwrite").parquet(f"{root}/{FOLDER}/conversations/generation={generation}/batch={i}")
+            own = [urllib.parse.unquote(p) for p in some] if some else f"{root}/*/{FILES}"
+            offsets = line_offsets(spark, own).where(~folder_of(F.col("output_path")).isin(*RESERVED))
+            offsets.withColumn("written", written).write.mode("overwrite").parquet(f"{root}/{FOLDER}/offsets/generation={generation}/batch={i}")
     named = files.join(old.join(changes, "output_path", "left_anti").select("output_path", "generation"), "output_path", "left")
     listing = named.select("output_path", F.col("size_bytes").cast("bigint").alias("size_bytes"), "modified", F.coalesce("generation", F.lit(generation)).cast("bigint").alias("generation"))
     listing.write.mode("overwrite").parquet(f"{root}/{FOLDER}/files/generation={generation}")
