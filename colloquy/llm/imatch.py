@@ -17,8 +17,8 @@ rows stay in its own task, and carry its id and a few numbers only.
 Defined results: a null text is an empty one; a text without any chosen term, an
 empty one too, has a fingerprint of its whole text, like another only if equal; an
 only document is its own next one.  Documents are in the order of their ids, a
-null id last; rows that repeat an id with its text are one document and give one
-row, different texts of one id are documents of their own in the order of a hash.
+null id last; rows that repeat an id with its text are one document, which gives
+equal rows, as many as they are; different texts of one id are documents of their own in the order of a hash.
 Texts of any length are read whole; an empty table gives an empty one; only
 doc_id and text of the input are read, whatever other columns there are.
 """
@@ -119,14 +119,16 @@ def next_ids(ids: DataFrame) -> DataFrame:
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """(key, text, n_chars, edited, next_key) of (doc_id, text), dealt out by key, and doc_id where keys and ids differ.
+    """(key, text, n_chars, edited, next_key) of (doc_id, text), dealt out by key; where keys and ids differ, also doc_id, and copies: how many rows share id and text.
 
     The edited text has its last quarter replaced by the beginning of the next document.
     """
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("id"))
     rows = document_keys(given)
     # Without a column that only one side needs, both sides of the join share one shuffle.
-    own = [] if rows is given else [F.col("id").alias("doc_id")]
+    own = [] if rows is given else [F.col("id").alias("doc_id"), "copies"]
+    if own:
+        rows = rows.groupBy("doc_id").agg(F.first("text").alias("text"), F.first("id").alias("id"), F.count("*").alias("copies"))
     follow = checkpointed(next_ids(rows.select("doc_id", F.length("text").alias("n"))))
     dealt = rows.repartition("doc_id")
     asked = follow.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_key"), F.floor(F.col("n") / 4).cast("int").alias("quarter"))
@@ -147,6 +149,8 @@ def with_next(docs: DataFrame, terms: DataFrame) -> DataFrame:
     both = checkpointed(found.groupBy(*same).agg(of("sha", 0).alias("sha"), of("sha", 1).alias("edited_sha"), of("hashes", 0).alias("hashes"), of("hashes", 1).alias("edited_hashes")))
     following = both.select(F.col("key").alias("next_key"), F.col("hashes").alias("next_hashes"), F.col("sha").alias("next_sha"))
     out = both.join(following, "next_key")
+    if "copies" in same:
+        out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     out = out.withColumns({f"{x}print": fingerprint_of(F.col(f"{x}hashes"), F.col(f"{x}sha")) for x in ("", "edited_", "next_")})
     return out.select(
         F.col("doc_id" if "doc_id" in same else "key").alias("doc_id"), "n_chars", F.col("edited_sha").alias("edited_sha256"), F.col("print").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"),

@@ -333,9 +333,10 @@ def decode(df: DataFrame, vocabulary: Vocabulary, token_ids: str = "token_ids")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for batch in batches:
+            count = next(n for n in map("_n{}".format, range(len(batch.schema) + 1)) if n not in batch.schema.names)
             sizes = pc.fill_null(pc.list_value_length(batch.column(token_ids)), 0).cast(pa.int64())
-            marked = pa.RecordBatch.from_arrays([*batch.columns, sizes], [*batch.schema.names, "_n"])
-            for part in text_slices([marked], "_n", SLICE // 4):
+            marked = pa.RecordBatch.from_arrays([*batch.columns, sizes], [*batch.schema.names, count])
+            for part in text_slices([marked], count, SLICE // 4):
                 ids = [y.values.to_numpy(zero_copy_only=False) if y.is_valid else None for y in part.column(token_ids)]
                 texts = [None if x is None else v.decode(x)[1:].tobytes().decode(errors="replace") for x in ids]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names, "text"])
