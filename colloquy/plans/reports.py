@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..operators import archive as A
 from ..operators import checks as C
+from ..operators import runs as R
 from . import views
 from .queries import QUERIES, SQL, query
-from .views import BASE_SQL
+from .views import BASE_SQL, RUNS_SQL
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -171,3 +172,70 @@ def active_anomalies(spark, sf_dir):
     rows, policy = A.active(views.archive(spark, sf_dir)), views.policy(spark)
     found = A.active_anomalies(A.source_anomalies(rows, low_messages=3, unsupported_count=1, unsupported_ratio=0.01), A.suppressed_reasons(A.anomalies(rows, low_messages=3), policy), policy)
     return found.select("source", "suspicious_conversation_count", "active_suspicious_conversation_count", "suppressed_suspicious_conversation_count", "high_unsupported_ratio", "suppressed_by", "active_high_unsupported_ratio")
+
+
+#: Runs with the file that each source writes: f4 is in no archive, a failed source has none.
+_HISTORY = BASE_SQL + f""", {RUNS_SQL.strip()},
+h as (select *, case when status <> 'failed' then 'src' || (length(source) % 3) || '/f' || (conversation_count % 5) end as output_path, case when status = 'partial' then 'partial' else 'complete' end as support_level,
+  case when status = 'failed' then 'broken' end as failure_reason, conversation_count // 3 as skipped from runs)
+"""
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, status = F.col("conversation_count"), F.col("status")
+    file = F.concat(F.lit("src"), (F.length("source") % 3).cast("string"), F.lit("/f"), (n % 5).cast("string"))
+    return views.run_sources(spark, sf_dir).withColumns({
+        "output_path": F.when(status != "failed", file), "support_level": F.when(status == "partial", "partial").otherwise("complete"), "failure_reason": F.when(status == "failed", "broken"),
+        "scanned_artifact_count": n, "skipped_conversation_count": F.floor(n / 3), "written_conversation_count": n - F.floor(n / 3), "redaction_event_count": F.lit(0).cast("bigint"),
+    })
+
+
+@query(
+    _HISTORY + """, s as (select output_path, count(*) as n, cast(sum(message_count) as bigint) as m, count(*) filter (transcript_completeness = 'complete') as c, count(*) filter (limitation_count > 0) as l, min(collected_at) as e from base group by 1)
+select run_id, source, status, coalesce(n, 0) as archived_conversations, coalesce(m, 0) as archived_messages, coalesce(c, 0) as archived_complete, coalesce(l, 0) as archived_with_limitations, e as earliest_collected_at, case when s.output_path is null then 0 else 1 end as archived_files,
+  case when h.output_path is not null and s.output_path is null then 'the file of the run is not there: ' || h.output_path end as snapshot_error, count(*) filter (status = 'complete') over (partition by source order by run_id) / count(*) over (partition by source order by run_id) as complete_ratio
+from h left join s using (output_path)"""
+)
+def run_trend_snapshots(spark, sf_dir):
+    rows = A.active(views.archive(spark, sf_dir))
+    found = R.with_snapshots(R.trend(_history(spark, sf_dir)), rows, rows)
+    return found.select("run_id", "source", "status", "archived_conversations", "archived_messages", "archived_complete", "archived_with_limitations", "earliest_collected_at", "archived_files", "snapshot_error", "complete_ratio")
+
+
+_TWO = ", w as (select distinct run_id from runs order by 1 desc limit 2), a as (select * from h where run_id = (select min(run_id) from w) and source <> 'view'), b as (select * from h where run_id = (select max(run_id) from w) and source <> 'click')"
+
+
+@query(
+    _HISTORY + _TWO + """, j as (select coalesce(a.source, b.source) as source, a.source as x, b.source as y, a.status as from_status, b.status as to_status, a.output_path as from_output_path, b.output_path as to_output_path,
+  coalesce(b.conversation_count, 0) - coalesce(a.conversation_count, 0) as delta_conversation_count, coalesce(b.skipped, 0) - coalesce(a.skipped, 0) as delta_skipped_conversation_count, coalesce(b.message_count, 0) - coalesce(a.message_count, 0) as delta_message_count,
+  coalesce(a.conversation_count, 0) <> coalesce(b.conversation_count, 0) or coalesce(a.message_count, 0) <> coalesce(b.message_count, 0) or a.status is distinct from b.status or a.output_path is distinct from b.output_path as changed from a full join b on a.source = b.source)
+select source, from_status, to_status, from_output_path, to_output_path, delta_conversation_count, delta_skipped_conversation_count, delta_message_count, changed, case when x is null then 'added' when y is null then 'removed' when changed then 'changed' else 'unchanged' end as change_type,
+  case when from_status <> to_status then from_status || '_to_' || to_status end as transition from j"""
+)
+def run_source_diff(spark, sf_dir):
+    """The two newest runs; the earlier did not have views, the later does not have clicks."""
+    rows = _history(spark, sf_dir)
+    after, before = R.latest_runs(rows, 2)
+    own = rows.where(((F.col("run_id") == before) & (F.col("source") != "view")) | ((F.col("run_id") == after) & (F.col("source") != "click")))
+    names = ("source", "from_status", "to_status", "from_output_path", "to_output_path", "delta_conversation_count", "delta_skipped_conversation_count", "delta_message_count", "changed", "change_type", "transition")
+    return R.source_diff(own, before, after).select(*names)
+
+
+@query(
+    _HISTORY + """, w as (select distinct run_id from runs order by 1 desc limit 2), lo as (select min(run_id) as r from w), hi as (select max(run_id) as r from w),
+a as (select * from h, lo where run_id = r), b as (select * from h, hi where run_id = r),
+sel as (select 'selected' as kind, case when x is null then 'added' else 'removed' end as change, source, cast(null as varchar) as was, cast(null as varchar) as now from (
+  select coalesce(p.source, q.source) as source, p.source as x, q.source as y from (select source from a where status = 'complete') p full join (select source from b where status = 'complete') q on p.source = q.source) where x is null or y is null),
+exc as (select 'excluded' as kind, case when x is null then 'added' when y is null then 'removed' else 'changed' end as change, source, x as was, y as now from (
+  select coalesce(p.source, q.source) as source, p.status as x, q.status as y from (select source, status from a where status <> 'complete') p full join (select source, status from b where status <> 'complete') q on p.source = q.source) where x is distinct from y)
+select * from sel union all select * from exc"""
+)
+def run_policy_diff(spark, sf_dir):
+    """Runs that select their complete sources and leave out the others, by the reason of their status."""
+    rows = _history(spark, sf_dir)
+    entry = F.struct("source", "support_level", F.col("status").alias("reason"))
+    done = F.col("status") == "complete"
+    runs = rows.groupBy("run_id").agg(F.collect_list(F.when(done, F.col("source"))).alias("selected_sources"), F.collect_list(F.when(~done, entry)).alias("excluded_sources"))
+    after, before = R.latest_runs(rows, 2)
+    reason = lambda c: F.get_json_object(c, "$.reason")
+    return R.policy_diff(runs, before, after).select("kind", "change", "source", reason("from_entry").alias("was"), reason("to_entry").alias("now"))

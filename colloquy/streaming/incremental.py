@@ -1,8 +1,8 @@
-"""Streaming forms of the incremental operators: new files of an archive as a stream, exports and upserts by batch."""
+"""Streaming forms of the incremental operators: new files of an archive as a stream, exports and merges by batch."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from ..functions import scalars as S
 from ..model import CONVERSATION
 from ..operators.memory import memory_records
+from ..session import checkpointed
+from ..sources.batch import TIME, write_incremental
+from ..sources.swap import Store
 
 
 def archive_stream(spark: SparkSession, root: str, source: str = "*") -> DataFrame:
@@ -27,12 +30,23 @@ def export_memory_stream(conversations: DataFrame, target: str, checkpoint: str)
     return records.writeStream.format("json").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_by_identity(conversations: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Counts of conversations by source and hour of collection, closed `late` after the newest row."""
-    timed = conversations.withColumn("collected", S.instant(F.col("collected_at"))).withWatermark("collected", late)
-    return timed.groupBy(F.window("collected", "1 hour"), "source").agg(F.count("*").alias("conversation_count"))
+def merge_batch(batch: DataFrame, number: int, root: str, name: str, moment: str | None = None) -> bool:
+    """Merge one batch of a stream into an archive, by source; a batch that the ledger has is left alone.  Returns whether it was merged.
 
+    The ledger has a file for each batch, written after its rows.  A break between the two makes the batch come once
+    more; its rows then are no richer than those the archive has, so nothing changes.
+    """
+    spark = batch.sparkSession
+    store, entry = Store(spark, root), f"{root}/runs/stream-{name}/batch-{number}.json"
+    if store.exists(entry):
+        return False
+    now = moment or datetime.now(UTC).strftime(TIME)
+    rows = checkpointed(batch.select(*[c for c in batch.columns if c not in ("output_path", "row_number", "source_dir")]))
+    counts = {r.source: write_incremental(spark, root, r.source, rows.where(F.col("source") == r.source), now) for r in rows.select("source").distinct().orderBy("source").collect()}  # a handful of stores
+    store.write(entry, {"batch": number, "merged_at": now, "sources": counts})
+    return True
 
-def upsert_stream(conversations: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str):
-    """Hand each batch of new rows to a merge function."""
-    return conversations.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def merge_stream(conversations: DataFrame, root: str, checkpoint: str, name: str = "merge"):
+    """Merge a stream of conversations into an archive, once for each batch whatever breaks off; `name` is that of its ledger and must go with the checkpoint."""
+    return conversations.writeStream.foreachBatch(lambda batch, number: merge_batch(batch, number, root, name)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
