@@ -9,7 +9,6 @@ tolerant: lines and items that do not fit are left out.
 from __future__ import annotations
 
 import json
-import sqlite3
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -24,6 +23,7 @@ from ..functions import scalars as S
 from ..model import CONTRACT, MESSAGE, SCHEMA_VERSION
 from ..operators.attribution import near_in_time, unique_best, within_span
 from .archive import numbered
+from .sqlite_source import tables
 
 #: Item types whose text is kept, and roles of the stores.
 TEXT_ITEMS = ("input_text", "output_text", "text")
@@ -115,8 +115,8 @@ def by_file(rows: DataFrame, msg: Column, *more: Column) -> DataFrame:
     return rows.groupBy("path").agg(F.transform(ordered, lambda x: x["m"]).alias("messages"), *more).where(F.size("messages") > 0)
 
 
-def rollouts(spark: SparkSession, root: str, key: str = "codex_cli", context: str = "cli", originator: str | None = None) -> DataFrame:
-    """Rollout files: messages of the three roles, metadata of the last session record; optionally of one originator."""
+def rollout_files(spark: SparkSession, root: str, originator: str | None = None) -> DataFrame:
+    """(path, messages, meta): rollout files with messages of the three roles, and the last session record; optionally of one originator."""
     rows = json_lines(spark, [f"{root}/{p}" for p in ROLLOUTS])
     kind, payload = _get("v", "$.type"), _get("v", "$.payload", "variant")
     role = _get("v", "$.payload.role")
@@ -125,8 +125,12 @@ def rollouts(spark: SparkSession, root: str, key: str = "codex_cli", context: st
     msg = F.when(said & text.isNotNull(), message(role, text, None, _get("v", "$.payload.timestamp"), _get("v", "$.payload.id")))
     meta = F.max_by(F.when(kind == "session_meta", F.struct(*[F.try_variant_get(payload, f"$.{c}", "string").alias(c) for c in ("id", "timestamp", "source", "originator", "cwd", "cli_version")])), F.when(kind == "session_meta", F.col("line_no")))
     found = by_file(rows, msg, meta.alias("meta"))
-    if originator is not None:
-        found = found.where(F.col("meta.originator") == originator)
+    return found if originator is None else found.where(F.col("meta.originator") == originator)
+
+
+def rollouts(spark: SparkSession, root: str, key: str = "codex_cli", context: str = "cli", originator: str | None = None) -> DataFrame:
+    """Conversations of rollout files."""
+    found = rollout_files(spark, root, originator)
     archived = F.col("path").contains("/archived_sessions/")
     provenance = F.to_json(F.struct(F.col("meta.timestamp").alias("session_started_at"), "meta.source", "meta.originator", "meta.cwd", "meta.cli_version", F.when(archived, archived).alias("archived")))
     return conversations(found, key, context, F.coalesce(F.col("meta.id"), stem(F.col("path"))), provenance)
@@ -248,28 +252,21 @@ def gemini(spark: SparkSession, root: str, repository: str | None = None) -> Dat
     return conversations(found, "gemini", "cli", F.coalesce("session", stem(F.col("path"))), provenance)
 
 
-def key_values(spark: SparkSession, patterns: list[str], table: str, keys: tuple[str, ...] | None = None) -> DataFrame:
-    """(path, key, value): rows of a key/value table in SQLite files; a missing table gives none."""
-    wanted = None if keys is None else set(keys)
+def key_values(spark: SparkSession, patterns: list[str], table: str, keys: tuple[str, ...] | None = None, beginning: str | None = None) -> DataFrame:
+    """(path, key, value): rows of a key/value table in SQLite files; a missing table gives none.
+
+    Keys, or their beginning, that are asked for are looked up in the files.
+    """
+    rows = tables(spark, found_paths(spark, existing(spark, patterns)), table, "key string, value string")
+    rows = rows if keys is None else rows.where(F.col("key").isin(*keys))
+    return rows if beginning is None else rows.where(F.col("key").startswith(beginning))
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                raw = bytearray(content)
-                if len(raw) > 20 and raw[18] == 2:
-                    raw[18] = raw[19] = 1  # a file in WAL mode cannot be opened from memory otherwise
-                base = sqlite3.connect(":memory:")
-                try:
-                    base.deserialize(bytes(raw))
-                    rows = [(path, k, v.decode(errors="replace") if isinstance(v, bytes) else v) for k, v in base.execute(f"select key, value from {table}") if wanted is None or k in wanted]
-                except sqlite3.Error:
-                    rows = []
-                finally:
-                    base.close()
-                yield pd.DataFrame(rows, columns=["path", "key", "value"])
 
-    files = spark.read.format("binaryFile").load(existing(spark, patterns)).select("path", "content")
-    return files.mapInPandas(read, "path string, key string, value string")
+def found_paths(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """The files of the patterns, by Spark's file system, without repeats, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = [(p := path(pattern)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or () for pattern in patterns]
+    return sorted({s.getPath().toUri().toString() for some in found for s in some if s.isFile()})
 
 
 BODY_PATHS = ("$.text", "$.richText", "$.content", "$.message", "$.body", "$.rawText")
@@ -278,10 +275,10 @@ BODY_PATHS = ("$.text", "$.richText", "$.content", "$.message", "$.body", "$.raw
 def cursor_editor(spark: SparkSession, root: str) -> DataFrame:
     """Editor chats: the headers of a composer in order, each joined with its bubble; bubbles without text are left out."""
     base = f"{root}/User/globalStorage/state.vscdb"
-    kv = key_values(spark, [base], "cursorDiskKV").withColumn("v", F.try_parse_json("value")).where("v is not null")
-    headers = kv.where(F.col("key").startswith("composerData:")).select("path", F.substring_index("key", ":", -1).alias("composer"), F.posexplode(F.try_variant_get("v", "$.fullConversationHeadersOnly", "array<variant>")).alias("line_no", "header"))
+    of = lambda beginning: key_values(spark, [base], "cursorDiskKV", beginning=beginning).withColumn("v", F.try_parse_json("value")).where("v is not null")
+    headers = of("composerData:").select("path", F.substring_index("key", ":", -1).alias("composer"), F.posexplode(F.try_variant_get("v", "$.fullConversationHeadersOnly", "array<variant>")).alias("line_no", "header"))
     headers = headers.select("path", "composer", "line_no", _get("header", "$.bubbleId").alias("bubble"), _get("header", "$.type", "int").alias("kind"))
-    bubbles = kv.where(F.col("key").startswith("bubbleId:")).select("path", F.split("key", ":")[1].alias("composer"), F.split("key", ":")[2].alias("bubble"), F.col("v").alias("body"))
+    bubbles = of("bubbleId:").select("path", F.split("key", ":")[1].alias("composer"), F.split("key", ":")[2].alias("bubble"), F.col("v").alias("body"))
     joined = headers.join(bubbles, ["path", "composer", "bubble"], "left")
     text = S.identity(F.coalesce(*[S.identity(_get("body", p)) for p in BODY_PATHS]))
     role = F.when(F.col("kind") == 1, "user").when(F.col("kind") == 2, "assistant")
@@ -469,11 +466,11 @@ def composer_transcripts(spark: SparkSession, root: str, sessions: DataFrame) ->
     base = matching(spark, [f"{root}/User/globalStorage/state.vscdb"])
     if not base:
         return spark.createDataFrame([], "composer string, said array<struct<line_no:int,role:string,text:string,ordinal:int>>, users_missing bigint, assistants_missing bigint")
-    kv = key_values(spark, base, "cursorDiskKV").withColumn("v", F.try_parse_json("value"))
-    own = kv.where(F.col("key").startswith("composerData:")).withColumn("composer", F.substring_index("key", ":", -1)).join(sessions.select("composer").distinct(), "composer", "left_semi")
+    of = lambda beginning: key_values(spark, base, "cursorDiskKV", beginning=beginning).withColumn("v", F.try_parse_json("value"))
+    own = of("composerData:").withColumn("composer", F.substring_index("key", ":", -1)).join(sessions.select("composer").distinct(), "composer", "left_semi")
     headers = own.select("composer", F.posexplode(_items(F.col("v"), "$.fullConversationHeadersOnly")).alias("line_no", "header"))
     headers = headers.select("composer", "line_no", _get("header", "$.bubbleId").alias("bubble"), _get("header", "$.type", "int").alias("kind")).where("bubble is not null and kind in (1, 2)")
-    bubbles = kv.where(F.col("key").startswith("bubbleId:")).select(F.split("key", ":")[1].alias("composer"), F.split("key", ":")[2].alias("bubble"), F.col("v").alias("body"))
+    bubbles = of("bubbleId:").select(F.split("key", ":")[1].alias("composer"), F.split("key", ":")[2].alias("bubble"), F.col("v").alias("body"))
     tool = F.to_json(_get("body", "$.toolFormerData", "variant"))
     joined = headers.join(bubbles, ["composer", "bubble"], "left").select("composer", "line_no", "kind", S.identity(_get("body", "$.text")).alias("text"), F.coalesce(tool.rlike(r"^[{\[]") & ~tool.isin("{}", "[]"), F.lit(False)).alias("tool"))
     told = F.col("text").isNotNull()
