@@ -178,6 +178,11 @@ def anomalies(conversations: DataFrame, low_messages: int = 1, many_limitations:
     return s.withColumn("reasons", codes).where(F.size("reasons") > 0)
 
 
+def anomalies_first() -> list[Column]:
+    """The order of suspicious conversations: the newest first, then by session, file and row, descending."""
+    return [F.desc("collected_at"), F.desc(F.coalesce("source_session_id", F.lit(""))), F.desc("output_path"), F.desc("row_number")]
+
+
 def source_anomalies(conversations: DataFrame, low_messages: int = 1, many_limitations: int = 2, unsupported_count: int = 2, unsupported_ratio: float = 0.5) -> DataFrame:
     """Counts of each trait by source, and whether unsupported transcripts are too frequent."""
     s = summaries(conversations)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import checkpointed
 from .graph import components
 
 
@@ -81,6 +83,24 @@ def identity_audit(conversations: DataFrame, fingerprint: Column) -> DataFrame:
     return groups.select("source", "conversation_count", "source_session_ids", "source_artifact_paths", "identity_shapes", "message_variants", F.col("_best.output_path").alias("preferred_output_path"), F.col("_best.row_number").alias("preferred_row_number"), reasons.alias("reasons"))
 
 
+def audit_members(conversations: DataFrame) -> DataFrame:
+    """Rows of groups that share an identity, with group_place and member_place from 1: the newest groups by their preferred row first, its richest rows first.
+
+    Groups are placed by the order of their preferred rows' times, sources, ids, and places, all descending.
+    """
+    found = linked(candidates(conversations))
+    sizes = found.groupBy("source", "component").agg(F.count("*").alias("_n"), F.max_by(F.struct("collected_at", F.coalesce("source_session_id", F.lit("")).alias("s"), F.coalesce("source_artifact_path", F.lit("")).alias("a"), "output_path", "row_number"), "selection").alias("_best")).where("_n > 1")
+    rank = F.struct(F.col("_best.collected_at").alias("at"), F.col("source"), F.col("_best.s"), F.col("_best.a"), F.col("_best.output_path"), F.col("_best.row_number"))
+    # Places of groups come from ranges and their counts, so that no task sees them all.
+    ordered = checkpointed(sizes.select("source", "component", rank.alias("_rank")).repartitionByRange(F.desc("_rank")).sortWithinPartitions(F.desc("_rank")).withColumn("_part", F.spark_partition_id()))
+    counts = ordered.groupBy("_part").agg(F.count("*").alias("_c"))
+    before = counts.withColumn("_before", F.sum("_c").over(W.orderBy("_part")) - F.col("_c")).drop("_c")  # a row a range
+    placed = ordered.withColumn("_nth", F.row_number().over(W.partitionBy("_part").orderBy(F.desc("_rank")))).join(before, "_part")
+    placed = placed.select("source", "component", (F.col("_nth") + F.col("_before")).alias("group_place"))
+    member = F.row_number().over(W.partitionBy("source", "component").orderBy(F.desc("selection")))
+    return found.join(placed, ["source", "component"]).withColumn("member_place", member).select(*conversations.columns, "group_place", "member_place")
+
+
 def incremental_merge(existing: DataFrame, incoming: DataFrame, exact: Column) -> DataFrame:
     """Decision on each row: incoming rows are `insert`, `upgrade` or `skip`, existing ones `keep` or `supersede`.
 

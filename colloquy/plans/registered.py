@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import reports, upkeep, writing
+from . import reports, stores, upkeep, writing
 
-QUERIES = reports.QUERIES | upkeep.QUERIES | writing.QUERIES  # one table, filled by all
-SQL = reports.SQL | upkeep.SQL | writing.SQL
+QUERIES = reports.QUERIES | stores.QUERIES | upkeep.QUERIES | writing.QUERIES  # one table, filled by all
+SQL = reports.SQL | stores.SQL | upkeep.SQL | writing.SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -269,7 +269,17 @@ def found_paths(spark: SparkSession, patterns: list[str]) -> list[str]:
     return sorted({s.getPath().toUri().toString() for some in found for s in some if s.isFile()})
 
 
-BODY_PATHS = ("$.text", "$.richText", "$.content", "$.message", "$.body", "$.rawText")
+#: Where the body of a bubble is looked for, in order.
+BODY_PATHS = (
+    "text", "markdown", "markdownText", "body.text", "body.markdown", "body.content", "body.value", "content.text", "content.markdown", "content.content", "content.value",
+    "message.text", "message.markdown", "message.content", "message.value", "richText.text", "richText.markdown", "richText.content", "body", "content", "message",
+)
+
+
+def bubble_body(body: Column) -> Column:
+    """(text, body_source) of the first place of a bubble that holds a text which is not blank; null without any."""
+    held = lambda path: S.identity(F.when(F.schema_of_variant(_get(body, f"$.{path}", "variant")) == "STRING", _get(body, f"$.{path}")))
+    return F.coalesce(*[F.when(held(path).isNotNull(), F.struct(held(path).alias("text"), F.lit(f"cursor_disk_kv.{path}").alias("body_source"))) for path in BODY_PATHS])
 
 
 def cursor_editor(spark: SparkSession, root: str) -> DataFrame:
@@ -280,9 +290,10 @@ def cursor_editor(spark: SparkSession, root: str) -> DataFrame:
     headers = headers.select("path", "composer", "line_no", _get("header", "$.bubbleId").alias("bubble"), _get("header", "$.type", "int").alias("kind"))
     bubbles = of("bubbleId:").select("path", F.split("key", ":")[1].alias("composer"), F.split("key", ":")[2].alias("bubble"), F.col("v").alias("body"))
     joined = headers.join(bubbles, ["path", "composer", "bubble"], "left")
-    text = S.identity(F.coalesce(*[S.identity(_get("body", p)) for p in BODY_PATHS]))
+    joined = joined.withColumn("said", bubble_body(F.col("body")))
+    text = F.col("said.text")
     role = F.when(F.col("kind") == 1, "user").when(F.col("kind") == 2, "assistant")
-    msg = F.when(role.isNotNull() & text.isNotNull(), message(role, text, None, S.epoch_text(_get("body", "$.createdAt")), F.col("bubble")))
+    msg = F.when(role.isNotNull() & text.isNotNull(), message(role, text, None, S.epoch_text(_get("body", "$.createdAt")), F.col("bubble")).withField("provenance", F.struct(F.col("said.body_source").alias("body_source"), F.lit(False).alias("fallback"))))
     found = by_file(joined.withColumn("path", F.concat("path", F.lit("#"), "composer")), msg, F.count_if(F.col("body").isNull()).alias("missing"))
     out = conversations(found, "cursor_editor", "ide", F.substring_index("path", "#", -1))
     lacking = found.select(F.col("path").alias("source_artifact_path"), (F.col("missing") > 0).alias("_lacks"))
