@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 
@@ -172,3 +174,65 @@ def test_quality_equals_a_plain_fit(spark, texts):
     place = np.clip((model.raw(x[held]) + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1).astype(int)
     bins = np.unique(place)
     assert np.allclose(model.values, quality.isotonic(np.array([y[held][place == b].mean() for b in bins]), np.array([(place == b).sum() for b in bins])))
+
+
+def plain_vector(text):
+    """The bundle of a text's trigrams, one by one."""
+    letters, out = langid.letter_vectors().astype(float), np.zeros(langid.DIMENSIONS)
+    codes = []
+    for c in f" {text} ":
+        code = 1 + ord(c.lower()[0]) % (langid.LETTERS - 1) if c.isalpha() else 0
+        if code or not codes or codes[-1]:
+            codes.append(code)
+    for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+        if a or b or c:
+            out += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+    return out / max(np.linalg.norm(out), 1e-9)
+
+
+def test_languages_equal_plain_prototypes_and_cosines(spark):
+    known = [("the cat and the dog", "en"), ("this is the end of that", "en"), ("le chat et le chien", "fr"), ("une fin, c'est \u00e7a!", "fr"), ("der Hund und die Katze", "de"), ("123 --", "de"), (None, "fr")]
+    texts = ["the dog", "le chien", "die Katze", "\u6f22\u5b57 x", "A", "a" * 3000 + " the end", " ...", "", None]
+    names, prototypes = langid.learn(spark.createDataFrame(known, "text string, lang string").repartition(3))
+    wanted = {}
+    for lang in ("de", "en", "fr"):
+        total = sum(plain_vector(t) for t, x in known if x == lang and t and any(c.isalpha() for c in t))
+        wanted[lang] = total / np.linalg.norm(total)
+    assert names == ["de", "en", "fr"] and np.allclose(prototypes, np.array([wanted[x] for x in names]), atol=1e-5)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in langid.identify(rows, (names, prototypes)).collect():
+        text = texts[r.doc_id]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosines = np.array([plain_vector(text) @ wanted[x] for x in names])
+        assert r.lang_pred == names[int(cosines.argmax())]
+        assert r.score == pytest.approx(1 / np.exp(langid.SHARPNESS * (cosines - cosines.max())).sum(), abs=1e-4)
+
+
+def plain_statistics(text):
+    raw = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    share = lambda chars: sum(raw.count(bytes([c])) for c in chars) / max(len(raw), 1)
+    symbols = b"!\"#$%&()*+/<=>@[\\]^_`{|}~"
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / max(len(sizes), 1)
+    spread = np.sqrt(max(0.0, sum(x * x for x in sizes) / max(len(sizes), 1) - mean**2))
+    found = [np.log1p(len(raw)), share(range(65, 91)), share(b"0123456789"), share(b" \t"), share(b".,;:?'-"), share(symbols), share(range(128, 256)), np.log1p(len(words)), np.log1p(mean), np.log1p(spread)]
+    grams = {tuple(low[i : i + 3]) for i in range(max(1, len(low) - 2))} if low else set()
+    lines = [tuple(re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in line))) for line in raw.split(b"\n")]
+    lines = [line for line in lines if line]
+    most = max((low.count(w) for w in set(low)), default=0)
+    same = np.mean([a == b for a, b in zip(low, low[1:], strict=False)]) if len(low) > 1 else 0
+    found += [len(set(low)) / max(len(low), 1), len(grams) / max(len(words) - 2, 1), np.log1p(len(low) / len(lines)) if lines else 0, len(set(lines)) / len(lines) if lines else 0]
+    return [*found, sum(w[-1] in symbols for w in words) / max(len(words), 1), most / max(len(low), 1), same]
+
+
+def test_statistics_equal_plain_counts(texts):
+    import pyarrow as pa
+
+    own = [t or "" for t in texts.values()] + ["A a A\nb\n\nA a a\n", "x#y z# #", "\n\n", "one two\nONE two\none  two\tthree"]
+    found = quality.measure(*utf8(pa.array(own)))
+    for text, row in zip(own, found, strict=True):
+        assert row.tolist() == pytest.approx(plain_statistics(text), abs=1e-9), text[:60]
