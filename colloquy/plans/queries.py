@@ -365,7 +365,17 @@ def archive_digest(spark, sf_dir):
     return V.digest(A.stats(rows), V.rollup(every, V.findings(every)), A.source_anomalies(rows, low_messages=3), latest)
 
 
-@query()
+_QUOTED = "coalesce(cast(to_json({0}) as varchar), 'null')"
+
+
+@query(
+    BASE_SQL + f""", f as (select conv_id, sha256('[' || string_agg('{{"role":' || {_QUOTED.format("role")} || ',"text":' || {_QUOTED.format("text")} || '}}', ',' order by message_index) || ']') as fingerprint from msg group by 1)
+select row_number, fingerprint, 'sha256:' || sha256(case when source_session_id is not null then '{{"identity_basis":"source_session_id","source":"' || source || '","source_session_id":"' || source_session_id || '"}}'
+    when source_artifact_path is not null then '{{"identity_basis":"source_artifact_path","source":"' || source || '","source_artifact_path":"' || source_artifact_path || '"}}'
+    else '{{"collected_at":"' || collected_at || '","identity_basis":"content_fingerprint","message_fingerprint":"' || fingerprint || '","source":"' || source || '"}}' end) as conversation_id,
+  'sha256:' || sha256('{{"message_fingerprint":"' || fingerprint || '","source":"' || source || '","source_artifact_path":' || {_QUOTED.format("source_artifact_path")} || ',"source_session_id":' || {_QUOTED.format("source_session_id")} || '}}') as dedupe_key
+from base join f using (conv_id)"""
+)
 def conversation_digests(spark, sf_dir):
     rows = _active(spark, sf_dir)
     own = S.message_fingerprint(F.col("messages"))
