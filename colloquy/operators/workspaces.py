@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-#: Limitations of a row for what a workspace has beside its transcripts, in their order, and those of rejected sessions.
-NO_TRANSCRIPT, METADATA_ONLY, NEEDS_PROVIDER = "no_confirmed_gemini_transcript_body", "metadata_only_ide_state", "chat_session_provider_attribution_required"
-REJECTED = {"foreign": "foreign_provider_chat_session_rejected", "unknown": "unknown_provider_chat_session_rejected", "gemini": "gemini_chat_session_body_missing"}
-FALLBACK = ("assistant_body_missing_from_workspace_prompt_cache",)
+#: Limitations of a row for what a workspace has beside its transcripts, in their order, those of rejected sessions, and those of a transcript from prompts.
+NO_TRANSCRIPT, METADATA_ONLY, NEEDS_PROVIDER = "no_confirmed_gemini_code_assist_ide_transcript_store", "metadata_only_ide_state", "chat_session_provider_attribution_required"
+REJECTED = {"foreign": "foreign_chat_session_rejected", "unknown": "unknown_chat_session_rejected", "gemini": "gemini_owned_chat_session_body_missing"}
+FALLBACK = ("cursor_disk_kv_transcript_not_found", "assistant_body_unverified", "workspace_prompt_cache_not_explicitly_composer_scoped")
 
 
 def _flag(name: str) -> Column:

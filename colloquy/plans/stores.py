@@ -59,9 +59,9 @@ def index_summaries(spark, sf_dir):
 @query(
     _INDEX_SQL + """, k as (select w.workspace, count(*) filter (ownership = 'gemini' and has_body) as transcript_count, count(*) filter (not (ownership = 'gemini' and has_body)) as residue_count,
   min(nth) filter (ownership = 'foreign') as f, min(nth) filter (ownership = 'unknown') as u, min(nth) filter (ownership = 'gemini' and not has_body) as g from w left join s using (workspace) group by 1),
-l as (select workspace, string_agg(code, '|' order by spot) as codes from (select workspace, f as spot, 'foreign_provider_chat_session_rejected' as code from k where f is not null union all select workspace, u, 'unknown_provider_chat_session_rejected' from k where u is not null
-  union all select workspace, g, 'gemini_chat_session_body_missing' from k where g is not null) group by 1)
-select workspace, 'vscode:' || workspace || ':residue' as conversation_id, transcript_count, residue_count, concat_ws('|', case when transcript_count = 0 then 'no_confirmed_gemini_transcript_body' end, 'metadata_only_ide_state',
+l as (select workspace, string_agg(code, '|' order by spot) as codes from (select workspace, f as spot, 'foreign_chat_session_rejected' as code from k where f is not null union all select workspace, u, 'unknown_chat_session_rejected' from k where u is not null
+  union all select workspace, g, 'gemini_owned_chat_session_body_missing' from k where g is not null) group by 1)
+select workspace, 'vscode:' || workspace || ':residue' as conversation_id, transcript_count, residue_count, concat_ws('|', case when transcript_count = 0 then 'no_confirmed_gemini_code_assist_ide_transcript_store' end, 'metadata_only_ide_state',
   case when transcript_count = 0 and residue_count = 0 then 'chat_session_provider_attribution_required' end, codes) as limitations from k left join l using (workspace) where residue_count > 0 or transcript_count = 0"""
 )
 def workspace_residue(spark, sf_dir):
@@ -90,7 +90,7 @@ def prompt_alignment(spark, sf_dir):
 @query(
     _SIDES + """, t as (select c.conv_id, count(a.text) filter (c.conv_id % 3 = 0) as stored, (select count(*) from u where u.conv_id = c.conv_id and trim(u.text) <> '') as prompts from c left join a using (conv_id) group by 1)
 select conv_id, case when stored > 0 then stored else prompts end as message_count, case when stored > 0 then 'cursor_disk_kv' else 'workspace_prompt_cache' end as source_name, case when stored > 0 and conv_id % 2 = 0 then 'complete' else 'partial' end as transcript_completeness,
-  case when stored > 0 then case when conv_id % 2 = 0 then '' else 'bubbles without a body' end else concat_ws('|', 'assistant_body_missing_from_workspace_prompt_cache', case when conv_id % 2 = 1 then 'bubbles without a body' end) end as limitations
+  case when stored > 0 then case when conv_id % 2 = 0 then '' else 'bubbles without a body' end else concat_ws('|', 'cursor_disk_kv_transcript_not_found', 'assistant_body_unverified', 'workspace_prompt_cache_not_explicitly_composer_scoped', case when conv_id % 2 = 1 then 'bubbles without a body' end) end as limitations
 from t where stored > 0 or prompts > 0"""
 )
 def transcript_choice(spark, sf_dir):

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from ..functions import scalars as S
 from ..model import CONTRACT, MESSAGE, SCHEMA_VERSION
 from ..operators.attribution import near_in_time, unique_best, within_span
+from ..operators.workspaces import chosen_transcript, index_summary, indexed_sessions, prompt_messages, residue
 from .archive import numbered
 from .sqlite_source import tables
 
@@ -294,13 +295,20 @@ def cursor_editor(spark: SparkSession, root: str) -> DataFrame:
     text = F.col("said.text")
     role = F.when(F.col("kind") == 1, "user").when(F.col("kind") == 2, "assistant")
     msg = F.when(role.isNotNull() & text.isNotNull(), message(role, text, None, S.epoch_text(_get("body", "$.createdAt")), F.col("bubble")).withField("provenance", F.struct(F.col("said.body_source").alias("body_source"), F.lit(False).alias("fallback"))))
-    found = by_file(joined.withColumn("path", F.concat("path", F.lit("#"), "composer")), msg, F.count_if(F.col("body").isNull()).alias("missing"))
-    out = conversations(found, "cursor_editor", "ide", F.substring_index("path", "#", -1))
-    lacking = found.select(F.col("path").alias("source_artifact_path"), (F.col("missing") > 0).alias("_lacks"))
-    marked = out.join(lacking, "source_artifact_path")
-    return marked.withColumns({
-        "transcript_completeness": F.when(F.col("_lacks"), "partial"), "limitations": F.when(F.col("_lacks"), F.array(F.lit("bubbles without a body"))),
-    }).select(*out.columns)
+    ordered = F.array_sort(F.collect_list(F.when(msg["text"].isNotNull(), F.struct("line_no", msg.alias("m")))), lambda a, b: a["line_no"] - b["line_no"])
+    stored = joined.groupBy("composer").agg(F.min("path").alias("path"), F.transform(ordered, lambda x: x["m"]).alias("stored"), F.count_if(F.col("body").isNull()).alias("missing"))
+    stored = stored.withColumn("stored_limitations", F.when(F.col("missing") > 0, F.array(F.lit("bubbles without a body"))))
+    if matching(spark, [f"{root}/{WORKSPACE_STATE}"]):
+        asked = workspace_sessions(spark, root).groupBy("composer").agg(F.min_by(F.struct("workspace", "prompts", "times"), "workspace").alias("w")).select("composer", "w.*")
+        said = prompt_messages(asked, "composer").select("composer", F.transform("messages", lambda m: message(F.lit("user"), m["text"], None, m["timestamp"])).alias("prompts"))
+        both = stored.join(said.join(asked.select("composer", "workspace"), "composer"), "composer", "full_outer")
+    else:
+        both = stored.withColumns({"prompts": F.lit(None).cast(f"array<{MESSAGE}>"), "workspace": F.lit(None).cast("string")})
+    chosen = chosen_transcript(both.withColumn("stored", F.col("stored").cast(f"array<{MESSAGE}>")))
+    placed = chosen.withColumn("path", F.concat(F.when(F.col("source_name") == "cursor_disk_kv", F.col("path")).otherwise(F.col("workspace")), F.lit("#"), "composer"))
+    whole = F.col("transcript_completeness") == "complete"
+    provenance = F.to_json(F.struct(F.lit("ide").alias("source"), F.lit("cursor_editor").alias("originator"), "source_name"))
+    return conversations(placed, "cursor_editor", "ide", F.col("composer"), provenance, F.when(~whole, F.col("transcript_completeness")), F.when(F.size("limitations") > 0, F.col("limitations")))
 
 
 #: Where a chat session names its provider, and parts of the names of providers.
@@ -335,19 +343,75 @@ def provider_class(candidates: Column) -> Column:
     )
 
 
-def code_assist(spark: SparkSession, root: str) -> DataFrame:
-    """Chat sessions of the editor: each request gives a user message and its response an assistant message."""
-    rows = json_files(spark, [f"{root}/User/workspaceStorage/*/chatSessions/*.json"]).where(provider_class(provider_candidates(F.col("v")))["provider"] == "gemini")
-    turns = rows.select("path", "v", F.posexplode(F.try_variant_get("v", "$.requests", "array<variant>")).alias("n", "item"))
-    sides = turns.select("path", "v", F.explode(F.array(*[
+def chat_sessions(spark: SparkSession, root: str) -> DataFrame:
+    """(path, ownership, messages, session) of every chat session file; messages are empty where none has a text.
+
+    Each request gives a user message and its response an assistant message.
+    """
+    rows = json_files(spark, [f"{root}/User/workspaceStorage/*/chatSessions/*.json"]).withColumn("ownership", provider_class(provider_candidates(F.col("v")))["provider"])
+    turns = rows.select("path", F.posexplode(F.try_variant_get("v", "$.requests", "array<variant>")).alias("n", "item"))
+    sides = turns.select("path", F.explode(F.array(*[
         F.struct((F.col("n") * 2 + k).alias("line_no"), F.lit(role).alias("role"), F.to_json(F.try_variant_get("item", f"{p}.message", "variant")).alias("raw"), _get("item", f"{p}.timestamp").alias("at"), _get("item", f"{p}.{i}").alias("id"))
         for k, (role, p, i) in enumerate((("user", "$", "requestId"), ("assistant", "$.response", "responseId")))
-    ])).alias("s")).select("path", "v", "s.*")
+    ])).alias("s")).select("path", "s.*")
     text = nested_text(F.col("raw"))
-    found = by_file(sides.withColumn("m", F.when(text.isNotNull(), message(F.col("role"), text, None, S.epoch_text(F.col("at")), F.col("id")))), F.col("m"), F.any_value(_get("v", "$.sessionId")).alias("session"))
+    said = by_file(sides.withColumn("m", F.when(text.isNotNull(), message(F.col("role"), text, None, S.epoch_text(F.col("at")), F.col("id")))), F.col("m"))
+    found = rows.select("path", "ownership", _get("v", "$.sessionId").alias("session")).join(said, "path", "left")
+    return found.withColumn("messages", F.coalesce("messages", F.array().cast(f"array<{MESSAGE}>")))
+
+
+def code_assist(spark: SparkSession, root: str) -> DataFrame:
+    """Chat sessions of the editor that name the provider; where workspaces have a state, those that its index names, and a row for what each has left over.
+
+    A workspace whose state says nothing of the provider's views gives no rows, whatever its index names.
+    """
+    if matching(spark, [f"{root}/{WORKSPACE_STATE}"]):
+        return workspace_rows(spark, root)
+    found = chat_sessions(spark, root).where("ownership = 'gemini' and size(messages) > 0")
     return conversations(found, "gemini_code_assist_ide", "ide", F.coalesce("session", stem(F.col("path"))))
 
 
+#: Where the state of a workspace lies, the key of its chat index, and the keys that tell of the provider's views.
+WORKSPACE_STATE = "User/workspaceStorage/*/state.vscdb"
+INDEX_KEY = "chat.ChatSessionStore.index"
+VIEW_KEYS = (
+    "workbench.view.extension.geminiChat.state", "workbench.view.extension.geminiOutline.state", "memento/webviewView.cloudcode.gemini.chatView", "workbench.view.extension.geminiChat.numberOfVisibleViews",
+)
+
+
+def workspace_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Transcripts that the index of a workspace names, and one row without messages for what it has left over or if it has no transcript."""
+    name = lambda path, n: F.element_at(F.split(path, "/"), n)
+    stored = key_values(spark, [f"{root}/{WORKSPACE_STATE}"], "ItemTable", (INDEX_KEY, *VIEW_KEYS)).withColumn("workspace", name("path", -2))
+    states = stored.groupBy("workspace").agg(F.min("path").alias("state_path"), F.max(F.when(F.col("key") == INDEX_KEY, F.col("value"))).alias("index"), F.count_if(F.col("key") != INDEX_KEY).alias("_views")).where("_views > 0")
+    folders = matching(spark, [f"{root}/User/workspaceStorage/*/workspace.json"])
+    if folders:
+        folder = json_files(spark, folders).select(name("path", -2).alias("workspace"), F.coalesce(S.uri_path(F.when(_get("v", "$.folder").startswith("file:"), _get("v", "$.folder"))), _get("v", "$.folder")).alias("folder"))
+        states = states.join(folder.groupBy("workspace").agg(F.min("folder").alias("folder")), "workspace", "left")
+    else:
+        states = states.withColumn("folder", F.lit(None).cast("string"))
+    if not matching(spark, [f"{root}/User/workspaceStorage/*/chatSessions/*.json"]):
+        files = spark.createDataFrame([], f"workspace string, path string, ownership string, messages array<{MESSAGE}>")
+    else:
+        files = chat_sessions(spark, root).withColumn("workspace", name("path", -3)).drop("session")
+    sessions = indexed_sessions(states, files).withColumn("has_body", F.size("messages") > 0)
+    # What the index says of a workspace goes with each of its rows.
+    summary = index_summary(states).select("workspace", F.struct(F.col("version").alias("chat_session_index_version"), *[F.col(c).alias(f"chat_session_{c}") for c in ("session_count", "empty_count", "external_count", "pending_edits_count")], "latest_message_at").alias("_index"))
+    owned = sessions.groupBy("workspace").agg(*[F.count_if(F.col("ownership") == o).alias(f"{o}_chat_session_count") for o in ("gemini", "foreign", "unknown")])
+    facts = states.select("workspace", "state_path", "folder").join(summary, "workspace").join(owned, "workspace", "left")
+    of_index = ("chat_session_index_version", *[f"chat_session_{c}" for c in ("session_count", "empty_count", "external_count", "pending_edits_count")], "latest_message_at")
+    of_workspace = [F.col("workspace").alias("workspace_id"), F.col("folder").alias("workspace_folder"), *[F.col("_index")[c].alias(c) for c in of_index], *[f"{o}_chat_session_count" for o in ("gemini", "foreign", "unknown")]]
+    provenance = lambda origin: F.to_json(F.struct(F.lit("vscode").alias("source"), F.lit("google.geminicodeassist").alias("originator"), F.col("folder").alias("cwd"), F.lit(origin).alias("conversation_origin")))
+
+    def shaped(rows: DataFrame, origin: str, scope: str, *more: Column) -> DataFrame:
+        described = rows.withColumn("_meta", F.to_json(F.struct(F.lit(scope).alias("scope"), *of_workspace, *more)))
+        return conversations(described, "gemini_code_assist_ide", "ide", F.col("conversation_id"), provenance(origin), F.col("completeness"), F.col("limitations"), F.col("_meta"))
+
+    told = sessions.where("ownership = 'gemini' and has_body").join(facts, "workspace").withColumns({"completeness": F.lit(None).cast("string"), "limitations": F.lit(None).cast("array<string>")})
+    left = residue(states, sessions).join(facts, "workspace").withColumns({"path": F.col("state_path"), "messages": F.array().cast(f"array<{MESSAGE}>"), "completeness": F.lit("unsupported")})
+    return shaped(told, "workspace_chat_session", "chat_session", F.col("session_id").alias("chat_session_id")).unionByName(shaped(left, "workspace_chat_session_residue", "workspace_state_residue", F.col("transcript_count").alias("transcript_chat_session_count"), F.col("residue_count").alias("metadata_only_chat_session_residue_count")))
+
+
 def wire_fields(data: bytes) -> list[tuple[int, int | bytes]]:
     """(number, value) of the fields of a protobuf message; raises ValueError where the bytes are none."""
 

@@ -134,3 +134,60 @@ def test_selection():
     assert [s.key for s in selected(least_level="complete", excluded=("gemini",))] == ["codex_cli", "codex_ide_extension", "codex_app", "claude"]
     with pytest.raises(KeyError):
         selected(["nobody"])
+
+
+def state(path, **items):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    base = sqlite3.connect(path)
+    base.execute("create table ItemTable (key text, value blob)")
+    base.executemany("insert into ItemTable values (?, ?)", list(items.items()))
+    base.commit()
+    base.close()
+
+
+VIEW = {"workbench.view.extension.geminiChat.state": "{}"}
+
+
+def test_indexed_chat_sessions_and_what_is_left_over(spark, tmp_path):
+    storage = tmp_path / "User/workspaceStorage"
+    index = lambda *ids: json.dumps({"version": 1, "entries": [{"sessionId": i, "isEmpty": i == "q2", "lastMessageDate": 1700000000000} for i in ids]})
+    state(storage / "w1/state.vscdb", **VIEW, **{"chat.ChatSessionStore.index": index("q1", "q2", "q3", "gone")})
+    state(storage / "w2/state.vscdb", **VIEW)
+    state(storage / "w3/state.vscdb", **{"chat.ChatSessionStore.index": index("q1")})
+    state(storage / "w4/state.vscdb", **VIEW, **{"chat.ChatSessionStore.index": index("q4")})
+    put(storage / "w1/workspace.json", json.dumps({"folder": "file:///home/u/a%20b"}))
+    turn = [{"requestId": "1", "message": {"text": "ask"}, "response": {"message": "tell"}}]
+    for name, provider, requests in (("w1/chatSessions/q1", "Gemini", turn), ("w1/chatSessions/q2", "Gemini", []), ("w1/chatSessions/q3", "GitHub Copilot", turn), ("w1/chatSessions/unnamed", "Gemini", turn), ("w3/chatSessions/q1", "Gemini", turn), ("w4/chatSessions/q4", "Gemini", turn)):
+        put(storage / f"{name}.json", json.dumps({"sessionId": "own", "responderUsername": provider, "requests": requests}))
+    found = {r.source_session_id: r for r in SOURCES["gemini_code_assist_ide"].collect(spark, str(tmp_path)).collect()}
+    assert sorted(found) == ["vscode:w1:q1", "vscode:w1:residue", "vscode:w2:residue", "vscode:w4:q4"]
+    one, left, bare = found["vscode:w1:q1"], found["vscode:w1:residue"], found["vscode:w2:residue"]
+    assert [(m.role, m.text) for m in one.messages] == [("user", "ask"), ("assistant", "tell")] and json.loads(one.provenance)["cwd"] == "/home/u/a b"
+    meta = json.loads(one.session_metadata)
+    assert (meta["scope"], meta["chat_session_id"], meta["chat_session_session_count"], meta["chat_session_empty_count"], meta["gemini_chat_session_count"], meta["foreign_chat_session_count"]) == ("chat_session", "q1", 4, 1, 2, 1)
+    assert (list(left.messages), left.transcript_completeness, left.limitations) == ([], "unsupported", ["metadata_only_ide_state", "gemini_owned_chat_session_body_missing", "foreign_chat_session_rejected"])
+    assert bare.limitations == ["no_confirmed_gemini_code_assist_ide_transcript_store", "metadata_only_ide_state", "chat_session_provider_attribution_required"]
+    assert json.loads(left.session_metadata)["metadata_only_chat_session_residue_count"] == 2
+
+
+def test_editor_prompts_stand_in_for_a_transcript(spark, tmp_path):
+    path = tmp_path / "User/globalStorage/state.vscdb"
+    path.parent.mkdir(parents=True)
+    base = sqlite3.connect(path)
+    base.execute("create table cursorDiskKV (key text, value blob)")
+    base.executemany("insert into cursorDiskKV values (?, ?)", [
+        ("composerData:full", json.dumps({"fullConversationHeadersOnly": [{"bubbleId": "1", "type": 1}]})), ("bubbleId:full:1", json.dumps({"body": {"markdown": "stored"}})),
+        ("composerData:lost", json.dumps({"fullConversationHeadersOnly": [{"bubbleId": "9", "type": 2}]})),
+    ])
+    base.commit()
+    base.close()
+    prompts = lambda composer, *texts: {"composer.composerData": json.dumps({"allComposers": [{"composerId": composer}]}), "aiService.prompts": json.dumps([{"text": t} for t in texts]), "aiService.generations": json.dumps([{"unixMs": 1700000000000, "type": "composer"}])}
+    for i, composer in enumerate(("full", "lost", "only")):
+        state(tmp_path / f"User/workspaceStorage/w{i}/state.vscdb", **prompts(composer, "one", "two"))
+    found = {r.source_session_id: r for r in SOURCES["cursor_editor"].collect(spark, str(tmp_path)).collect()}
+    assert [(m.text, m.provenance.body_source) for m in found["full"].messages] == [("stored", "cursor_disk_kv.body.markdown")] and found["full"].limitations is None
+    assert [(m.text, m.timestamp) for m in found["only"].messages] == [("one", "2023-11-14T22:13:20Z"), ("two", None)]
+    fallback = ["cursor_disk_kv_transcript_not_found", "assistant_body_unverified", "workspace_prompt_cache_not_explicitly_composer_scoped"]
+    assert found["only"].limitations == fallback and found["lost"].limitations == [*fallback, "bubbles without a body"]
+    assert {r.transcript_completeness for r in found.values()} == {None, "partial"}
+    assert found["only"].source_artifact_path.endswith("w2/state.vscdb#only")
