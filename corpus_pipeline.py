@@ -68,10 +68,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document without words, so one of a null or empty text too, is taken never; a null source is a source; equal rows are taken equally often.
     """
-    taken = mix(docs)
+    taken = mix(docs.select("doc_id", "text", "source", F.struct("*").alias("row")))
     copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
     chosen = taken.where("size > 0").withColumn("_copies", copies).where("_copies > 0")
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
