@@ -201,7 +201,7 @@ def test_every_lexicon_term_is_in_a_subset_of_every_draw(spark):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries()) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries()) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, tmp_path):
