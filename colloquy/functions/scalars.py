@@ -29,15 +29,9 @@ STATUS_ORDER = {"failed": 0, "unsupported": 1, "partial": 2, "complete": 3}
 PREVIEW = 120
 
 
-@F.pandas_udf(T.StringType())
-def casefold(text: pd.Series) -> pd.Series:
-    """Full Unicode case folding, which `lower` is not (for instance of the sharp s)."""
-    return text.map(str.casefold, na_action="ignore")
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def casefold_all(texts: pd.Series) -> pd.Series:
-    """Full Unicode case folding of each text of a list; null stays null."""
+    """Full Unicode case folding, which `lower` is not (for instance of the sharp s), of each text of a list; null stays null."""
     return texts.map(lambda own: [t.casefold() for t in own], na_action="ignore")
 
 

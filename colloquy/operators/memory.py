@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .archive import matching, newest_first
 
 MARKER = r"\[REDACTED(?:_API_KEY)?\]"
 
@@ -17,10 +16,6 @@ def after(conversations: DataFrame, moment: str) -> DataFrame:
     return conversations.where(S.instant(F.col("collected_at")) > S.lenient_instant(F.lit(moment)))
 
 
-def export_subset(conversations: DataFrame, **filters: str | None) -> DataFrame:
-    return matching(conversations, **filters).orderBy(*newest_first())
-
-
 def memory_records(conversations: DataFrame, fingerprint: Column | None = None) -> DataFrame:
     """One record for each conversation: a stable id, its transcript as text, counts and redaction marks."""
     own = fingerprint if fingerprint is not None else S.message_fingerprint(F.col("messages"))

@@ -55,12 +55,12 @@ def readiness(sources: DataFrame) -> DataFrame:
     """Adds status (ready, partial-ready, missing) and status_reason to rows (source, support_level, readable_root_count, observed, reconstructed)."""
     rows = parser_drift(sources)
     rules = (
-        (F.coalesce("readable_root_count", F.lit(0)) == 0, "missing", F.lit("no readable input roots")),
+        (F.coalesce("readable_root_count", F.lit(0)) == 0, "missing", F.lit("no input folder can be read")),
         (F.col("drift_suspected"), "partial-ready", F.lit("artifacts were seen, but no conversation could be read from them")),
-        (F.coalesce("observed", F.lit(0)) == 0, "partial-ready", F.lit("readable roots found but no candidate artifacts")),
-        (F.col("support_level") != "complete", "partial-ready", F.concat(F.lit("candidate artifacts found but support level is "), "support_level")),
+        (F.coalesce("observed", F.lit(0)) == 0, "partial-ready", F.lit("the input folders hold no artifact of the source")),
+        (F.col("support_level") != "complete", "partial-ready", F.concat(F.lit("there are artifacts, but the support of the source is only "), "support_level")),
     )
-    status, reason = F.lit("ready"), F.lit("candidate artifacts found in readable roots")
+    status, reason = F.lit("ready"), F.lit("there are artifacts in folders that can be read")
     for holds, name, why in reversed(rules):
         status, reason = F.when(holds, name).otherwise(status), F.when(holds, why).otherwise(reason)
     return rows.withColumns({"status": status, "status_reason": reason})

@@ -12,7 +12,6 @@ from ..operators import workspaces as K
 from . import views
 from .maintenance import _MERGED
 from .queries import QUERIES, SQL, query
-from .views import BASE_SQL
 
 __all__ = ["QUERIES", "SQL"]
 

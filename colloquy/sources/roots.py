@@ -53,7 +53,7 @@ def resolve(declared: str, platform: str, env: Mapping[str, str]) -> Root:
     try:
         path = re.sub(r"\$\{(\w+)\}|\$(\w+)|%(\w+)%", fill, text)
     except KeyError as error:
-        return Root(declared, None, tuple(sorted({*names, error.args[0]})), f"environment variable {error.args[0]} is not set")
+        return Root(declared, None, tuple(sorted({*names, error.args[0]})), f"variable {error.args[0]} is unset")
     return Root(declared, path, tuple(sorted(set(names))))
 
 
@@ -71,7 +71,7 @@ def inspect(spark: SparkSession, root: Root) -> dict:
         return {"declared": root.declared, "path": None, "kind": "unresolved", "readable": False, "miss_reason": root.miss_reason}
     store = Store(spark, root.path)
     if not store.exists(root.path):
-        return {"declared": root.declared, "path": root.path, "kind": "missing", "readable": False, "miss_reason": "path does not exist"}
+        return {"declared": root.declared, "path": root.path, "kind": "missing", "readable": False, "miss_reason": "nothing is there"}
     status = store.fs.getFileStatus(store.path(root.path))
     kind = "directory" if status.isDirectory() else "file" if status.isFile() else "other"
     access = spark._jvm.org.apache.hadoop.fs.permission.FsAction
@@ -80,7 +80,7 @@ def inspect(spark: SparkSession, root: Root) -> dict:
         readable = True
     except Exception:  # noqa: BLE001 - whatever the store says, it does not let us read
         readable = False
-    return {"declared": root.declared, "path": root.path, "kind": kind, "readable": readable, "miss_reason": None if readable else "path is not readable"}
+    return {"declared": root.declared, "path": root.path, "kind": kind, "readable": readable, "miss_reason": None if readable else "it cannot be read"}
 
 
 def support_matrix(spark: SparkSession) -> DataFrame:

@@ -79,10 +79,10 @@ def test_folders_are_resolved_by_platform(spark, tmp_path):
     assert X.resolve("$XDG_CONFIG_HOME/a", "linux", env) == X.Root("$XDG_CONFIG_HOME/a", "/home/u/.config/a", ("XDG_CONFIG_HOME",))
     assert X.resolve("${XDG_STATE_HOME}/b", "linux", {"XDG_STATE_HOME": "/s"}).path == "/s/b"
     assert X.resolve("%LOCALAPPDATA%/c", "windows", env).path == "/home/u/AppData/Local/c"
-    assert X.resolve("$APPDATA/c", "linux", env) == X.Root("$APPDATA/c", None, ("APPDATA",), "environment variable APPDATA is not set")
-    assert X.resolve("~", "linux", {}) == X.Root("~", None, ("HOME",), "environment variable HOME is not set")
+    assert X.resolve("$APPDATA/c", "linux", env) == X.Root("$APPDATA/c", None, ("APPDATA",), "variable APPDATA is unset")
+    assert X.resolve("~", "linux", {}) == X.Root("~", None, ("HOME",), "variable HOME is unset")
     roots, missed = X.resolve_all({"$A/x": "all", "$A/y": "linux", "$B/z": "windows"}, "linux", {})
-    assert [r.declared for r in roots] == ["$A/x", "$A/y"] and missed == ["environment variable A is not set"]
+    assert [r.declared for r in roots] == ["$A/x", "$A/y"] and missed == ["variable A is unset"]
     assert X.resolve_all({"/x": "windows"}, "linux", {}) == ([], ["no folder is declared for linux"])
     (tmp_path / "file").write_text("x")
     kinds = [X.inspect(spark, X.Root("d", p)) for p in (str(tmp_path), str(tmp_path / "file"), str(tmp_path / "none"), None)]
