@@ -17,7 +17,6 @@ from ..operators import identity as I
 from ..operators.memory import redacted_conversations
 from ..session import checkpointed
 from .archive import json_line, parsed, read_archive, read_lines, write_archive
-from . import desktop  # noqa: F401  (registers its source)
 from .collectors import SOURCES, candidates, matching, selected
 
 #: Fixed value: the form of times in an archive.

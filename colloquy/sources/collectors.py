@@ -12,6 +12,7 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from importlib import import_module
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -412,67 +413,6 @@ def workspace_rows(spark: SparkSession, root: str) -> DataFrame:
     return shaped(told, "workspace_chat_session", "chat_session", F.col("session_id").alias("chat_session_id")).unionByName(shaped(left, "workspace_chat_session_residue", "workspace_state_residue", F.col("transcript_count").alias("transcript_chat_session_count"), F.col("residue_count").alias("metadata_only_chat_session_residue_count")))
 
 
-def wire_fields(data: bytes) -> list[tuple[int, int | bytes]]:
-    """(number, value) of the fields of a protobuf message; raises ValueError where the bytes are none."""
-
-    def varint(at: int) -> tuple[int, int]:
-        value = 0
-        for n in range(10):
-            if at + n >= len(data):
-                raise ValueError(f"cut varint at {at}")
-            value |= (data[at + n] & 127) << 7 * n
-            if data[at + n] < 128:
-                return value, at + n + 1
-        raise ValueError(f"long varint at {at}")
-
-    fields, at = [], 0
-    while at < len(data):
-        tag, at = varint(at)
-        kind = tag & 7
-        if kind == 0:
-            value, at = varint(at)
-        elif kind in (1, 2, 5):
-            size, at = varint(at) if kind == 2 else ((8, 4)[kind == 5], at)
-            if not tag >> 3 or at + size > len(data):
-                raise ValueError(f"cut field at {at}")
-            value, at = data[at : at + size], at + size
-        else:
-            raise ValueError(f"wire type {kind} at {at}")
-        fields.append((tag >> 3, value))
-    return fields
-
-
-def antigravity(spark: SparkSession, root: str) -> DataFrame:
-    """Conversation blobs: field 1 the session, field 2 the messages (id, role, text, time); a broken blob is an unsupported conversation."""
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        roles = {1: "user", 2: "assistant", b"user": "user", b"assistant": "assistant"}
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                session, rows, failure = None, [], None
-                try:
-                    for number, value in wire_fields(bytes(content)):
-                        if number == 1 and isinstance(value, bytes):
-                            session = value.decode(errors="replace")
-                        elif number == 2 and isinstance(value, bytes):
-                            own = dict(reversed(wire_fields(value)))
-                            said = own.get(2).strip().lower() if isinstance(own.get(2), bytes) else own.get(2)
-                            words = {k: v.decode(errors="replace") for k, v in own.items() if isinstance(v, bytes)}
-                            if said in roles and words.get(3, "").strip():
-                                rows.append((roles[said], words[3].strip(), words.get(4), words.get(1)))
-                except ValueError as error:
-                    rows, failure = [], str(error)
-                yield pd.DataFrame({"path": [path], "session": [session], "failure": [failure], "said": [[dict(zip(("role", "text", "at", "id"), r, strict=True)) for r in rows]]})
-
-    files = spark.read.format("binaryFile").load(existing(spark, [f"{root}/conversations/*.pb"])).select("path", "content")
-    rows = files.mapInPandas(read, "path string, session string, failure string, said array<struct<role:string,text:string,at:string,id:string>>")
-    rows = rows.withColumn("messages", F.transform("said", lambda m: message(m["role"], m["text"], None, m["at"], m["id"])))
-    metadata = F.to_json(F.struct("failure"))
-    out = conversations(rows, "antigravity_editor_view", "ide", F.coalesce("session", stem(F.col("path"))), metadata=metadata)
-    nothing = F.size("messages") == 0
-    return out.withColumns({"transcript_completeness": F.when(nothing, "unsupported"), "limitations": F.when(nothing, F.array(F.lit("no message could be decoded")))})
-
-
 def windsurf(spark: SparkSession, root: str) -> DataFrame:
     """Memories and rule files, each a conversation with one message; the front matter of rules goes to the metadata."""
     files = spark.read.option("wholetext", "true").text(existing(spark, [f"{root}/{p}" for p in WINDSURF]))
@@ -605,19 +545,28 @@ def cursor_cli(spark: SparkSession, root: str) -> DataFrame:
     return conversations(rows, "cursor", "cli", F.col("session"), provenance, metadata=F.col("payload"), completeness=F.col("completeness"), limitations=F.col("lacks"))
 
 
+def _of(module: str, name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A collector of a module beside this one, which is loaded with its first use since it needs this one."""
+
+    def collect(spark: SparkSession, root: str) -> DataFrame:
+        return getattr(import_module(f".{module}", __package__), name)(spark, root)
+
+    return collect
+
+
 SOURCES = {
     s.key: s
     for s in (
         Source("codex_cli", "cli", "complete", rollouts, ROLLOUTS),
         Source("codex_ide_extension", "ide", "complete", lambda spark, root: rollouts(spark, root, "codex_ide_extension", "ide", "codex_vscode"), ROLLOUTS),
-        Source("codex_app", "app", "complete", lambda spark, root: rollouts(spark, root, "codex_app", "app", "Codex Desktop"), ROLLOUTS),
+        Source("codex_app", "app", "complete", _of("desktop", "codex_app"), ROLLOUTS),
         Source("claude", "cli", "complete", claude, PROJECTS),
         Source("claude_code_ide", "ide", "partial", lambda spark, root: claude(spark, root, "claude_code_ide", "ide", ide_sessions(spark, root)), PROJECTS),
         Source("gemini", "cli", "complete", gemini, ("tmp/*/chats/session-*.json",)),
         Source("gemini_code_assist_ide", "ide", "partial", code_assist, ("User/workspaceStorage/*/chatSessions/*.json",)),
         Source("cursor", "cli", "partial", cursor_cli, ("logs/*/cli.log",)),
         Source("cursor_editor", "ide", "partial", cursor_editor, ("User/globalStorage/state.vscdb",)),
-        Source("antigravity_editor_view", "ide", "partial", antigravity, ("conversations/*.pb",)),
+        Source("antigravity_editor_view", "ide", "partial", _of("blobs", "antigravity"), ("conversations/*.pb",)),
         Source("windsurf_editor", "ide", "partial", windsurf, WINDSURF),
     )
 }

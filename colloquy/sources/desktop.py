@@ -14,7 +14,7 @@ from ..functions import scalars as S
 from ..model import MESSAGE
 from ..operators.attribution import by_fallback_keys
 from ..operators.checks import file_path
-from .collectors import Source, SOURCES, conversations, found_paths, matching, message, rollout_files
+from .collectors import conversations, found_paths, matching, message, rollout_files
 from .sqlite_source import tables
 
 #: Where the databases and definitions lie below an input folder, their columns, and the limitations of repaired rows.
@@ -131,6 +131,3 @@ def codex_app(spark: SparkSession, root: str) -> DataFrame:
     ))
     session = F.coalesce("session", t["id"], F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", ""))
     return conversations(found, "codex_app", "app", session, provenance, F.col("completeness"), F.col("limitations"))
-
-
-SOURCES["codex_app"] = Source("codex_app", "app", "complete", codex_app, SOURCES["codex_app"].artifacts)

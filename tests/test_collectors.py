@@ -5,7 +5,8 @@ import sqlite3
 
 import pytest
 
-from colloquy.sources.collectors import SOURCES, selected, wire_fields
+from colloquy.sources.blobs import WireError, decoded, wire_fields
+from colloquy.sources.collectors import SOURCES, selected
 
 
 def put(path, text):
@@ -191,3 +192,38 @@ def test_editor_prompts_stand_in_for_a_transcript(spark, tmp_path):
     assert found["only"].limitations == fallback and found["lost"].limitations == [*fallback, "bubbles without a body"]
     assert {r.transcript_completeness for r in found.values()} == {None, "partial"}
     assert found["only"].source_artifact_path.endswith("w2/state.vscdb#only")
+
+
+UUIDS = [f"0000000{i}-1111-4222-8333-444444444444" for i in range(8)]
+
+
+def test_blobs_say_what_could_not_be_read(spark, tmp_path):
+    said = lambda role, text, **more: field(2, b"".join([field(1, b"m")] + ([bytes([2 << 3, role])] if isinstance(role, int) else [field(2, role)]) + [field(3, text)] + [field(4, v) for v in more.values()]))
+    blobs = {
+        0: field(1, UUIDS[0].upper().encode()) + said(1, b" ask ", at=b"2024-01-01T00:00:00Z") + said(b"Assistant", b"tell"),
+        1: field(1, UUIDS[2].encode()) + said(2, b"only") + field(2, b"\xff"),
+        2: field(1, UUIDS[2].encode()) + said(7, b"who"),
+        3: b"\x0b\x00", 4: field(1, b"x") + b"\x12\x7fab", 5: b"", 6: field(1, b"a") + bytes([5 << 3 | 1]) + b"12345678" + bytes([6 << 3 | 5]) + b"1234" + said(1, b"q"),
+    }
+    for i, raw in blobs.items():
+        put(tmp_path / f"conversations/{UUIDS[i]}.pb", "")
+        (tmp_path / f"conversations/{UUIDS[i]}.pb").write_bytes(raw)
+    for name, text in ((f"brain/{UUIDS[0]}/plan.md", "p"), (f"brain/{UUIDS[0]}/plan.md.metadata.json", "{}"), (f"brain/{UUIDS[0]}/shot.PNG", "i"), (f"brain/{UUIDS[0]}/x.resolved", ""), ("brain/other/no.md", "n"), (f"annotations/{UUIDS[0]}.pbtxt", 'title: "T"\nseen: true\n'), (f"browser_recordings/{UUIDS[1].upper()}/1.jpg", "f")):
+        put(tmp_path / name, text)
+    found = {UUIDS.index(r.source_session_id): r for r in SOURCES["antigravity_editor_view"].collect(spark, str(tmp_path)).collect()}
+    state = {i: (r.transcript_completeness, r.limitations) for i, r in found.items()}
+    lost = ["decode_failed", "metadata_only_session_family"]
+    assert state == {
+        0: (None, None), 1: ("partial", ["variant_unknown", "conversation_protobuf_session_id_mismatch", "user_message_missing_from_conversation_protobuf"]), 2: ("unsupported", ["variant_unknown", "metadata_only_session_family"]),
+        3: ("unsupported", ["variant_unknown", *lost]), 4: ("unsupported", lost), 6: ("partial", ["assistant_message_missing_from_conversation_protobuf"]),
+    }
+    assert [(m.role, m.text, m.timestamp, m.source_message_id) for m in found[0].messages] == [("user", "ask", "2024-01-01T00:00:00Z", "m"), ("assistant", "tell", None, "m")]
+    meta = {i: json.loads(r.session_metadata) for i, r in found.items()}
+    brain = meta[0]["brain"]
+    assert (brain["artifact_names"], brain["artifact_summary_count"], brain["image_artifact_count"], brain["resolved_artifact_count"]) == (["plan.md"], 1, 1, 1)
+    assert json.loads(meta[0]["annotation"]["fields"]) == {"title": "T", "seen": True} and meta[1]["browser_recording"]["frame_count"] == 1 and "brain" not in meta[1]
+    assert [meta[i]["conversation_blob"]["decode_status"] for i in sorted(meta)] == ["decoded", "partially_decoded", "variant_unknown", "decode_failed", "decode_failed", "partially_decoded"]
+    assert meta[4]["conversation_blob"]["failure"] == {"error": "cut field at 5", "offset": 5, "stage": "field", "number": 2, "kind": 2}
+    assert decoded(b"\x80")["failure"]["stage"] == "varint" and decoded(b"\x00")["failure"]["stage"] == "tag"
+    with pytest.raises(WireError, match="long number"):
+        wire_fields(b"\xff" * 11)
