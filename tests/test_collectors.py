@@ -208,7 +208,7 @@ def test_blobs_say_what_could_not_be_read(spark, tmp_path):
     for i, raw in blobs.items():
         put(tmp_path / f"conversations/{UUIDS[i]}.pb", "")
         (tmp_path / f"conversations/{UUIDS[i]}.pb").write_bytes(raw)
-    for name, text in ((f"brain/{UUIDS[0]}/plan.md", "p"), (f"brain/{UUIDS[0]}/plan.md.metadata.json", "{}"), (f"brain/{UUIDS[0]}/shot.PNG", "i"), (f"brain/{UUIDS[0]}/x.resolved", ""), ("brain/other/no.md", "n"), (f"annotations/{UUIDS[0]}.pbtxt", 'title: "T"\nseen: true\n'), (f"browser_recordings/{UUIDS[1].upper()}/1.jpg", "f")):
+    for name, text in ((f"brain/{UUIDS[0]}/plan.md", "p"), (f"brain/{UUIDS[0]}/plan.md.metadata.json", "{}"), (f"brain/{UUIDS[0]}/shot.PNG", "i"), (f"brain/{UUIDS[0]}/x.resolved", "r"), ("brain/other/no.md", "n"), (f"annotations/{UUIDS[0]}.pbtxt", 'title: "T"\nseen: true\n'), (f"browser_recordings/{UUIDS[1].upper()}/1.jpg", "f")):
         put(tmp_path / name, text)
     found = {UUIDS.index(r.source_session_id): r for r in SOURCES["antigravity_editor_view"].collect(spark, str(tmp_path)).collect()}
     state = {i: (r.transcript_completeness, r.limitations) for i, r in found.items()}
