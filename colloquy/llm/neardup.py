@@ -10,8 +10,9 @@ confirmed on the full sets.
 
 Within a bucket no pairs are listed.  First each member is compared with one
 pivot, the member that shares most buckets with others, which is the centre of a
-group of copies; confirmed links form components.  Only buckets
-with members of several components are looked at again: members outside the
+group of copies; confirmed links form components.  All pairs with a pivot are judged
+then.  Only buckets whose other members are of
+several components are looked at again: members outside the
 bucket's most frequent component are compared with the members of other
 components.  Links within a component can add nothing and are not looked for,
 and a shingle that occurs in one component only cannot be part of a link between
@@ -149,12 +150,6 @@ def cross_counts(labelled: DataFrame, sets: DataFrame) -> DataFrame:
     return held.join(shared, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("cross"))
 
 
-def by_sketch(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those that their sketches leave possible."""
-    both = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("_a")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("_b")), "b")
-    return both.where(sketch_similarity(F.col("_a"), F.col("_b")) >= SKETCH_FLOOR).select("a", "b")
-
-
 def blocks_of(many: Column) -> Column:
     """Blocks that so many rows are dealt out in."""
     return F.greatest(F.ceil(many / F.lit(float(BLOCK))).cast("int"), F.lit(1))
@@ -168,13 +163,17 @@ def all_blocks(many: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), blocks_of(many) - 1))
 
 
-def by_pivot(members: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of each bucket's most popular member with its other members."""
-    pivots = members.groupBy("key").agg(F.max(F.struct("popularity", "rep", "n")).alias("pivot"), F.first("many").alias("many"))
+def by_pivot(buckets: DataFrame, threshold: int) -> DataFrame:
+    """The members of each bucket but its pivot, the most popular one, with the pivot where size and sketch leave a link to it possible.
+
+    So all pairs with a pivot are judged, and only those of the members that are left are still open.
+    """
+    pivots = buckets.groupBy("key").agg(F.max_by(F.struct("rep", "n", "sketch"), F.struct("popularity", "rep")).alias("pivot"), F.first("many").alias("many"))
     pivots = pivots.select("key", "pivot", all_blocks(F.col("many")).alias("block"))
-    own = members.withColumn("block", own_block(F.col("rep"), F.col("many")))
-    pairs = own.join(pivots, ["key", "block"]).where((F.col("rep") != F.col("pivot.rep")) & may_link((F.col("n"), F.col("pivot.n")), threshold))
-    return pairs.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
+    own = buckets.withColumn("block", own_block(F.col("rep"), F.col("many")))
+    rest = own.join(pivots, ["key", "block"]).where(F.col("rep") != F.col("pivot.rep"))
+    alike = may_link((F.col("n"), F.col("pivot.n")), threshold) & (sketch_similarity(F.col("sketch"), F.col("pivot.sketch")) >= SKETCH_FLOOR)
+    return rest.select("key", "rep", "n", "many", "sketch", F.when(alike, F.col("pivot.rep")).alias("pivot"))
 
 
 def main_counts(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -186,15 +185,22 @@ def main_counts(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return own.join(theirs, ["main", "shingle"], "left_semi").groupBy("rep", "main").agg(F.count("*").alias("held"))
 
 
-def across(labelled: DataFrame, sets: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+def in_several(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows (key, rep, n, sketch) of buckets with members of several components: with their component, the bucket's most frequent one, its number of rows and those outside it."""
+    stars = parts.where("node <> component").select(F.col("node").alias("rep"), "component")
+    labelled = rows.join(stars, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    counts = labelled.groupBy("key", "component").agg(F.count("*").alias("own"))
+    main = counts.groupBy("key").agg(F.max_by("component", F.struct("own", "component")).alias("main"), F.sum("own").alias("many"), F.max("own").alias("of_main"))
+    main = main.where("of_main < many").select("key", "main", "many", (F.col("many") - F.col("of_main")).alias("asking"))
+    return labelled.join(main, "key")
+
+
+def across(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs of one bucket and different components that can be similar, by what they can have in common and by their sketches.
 
-    A pair of several common buckets comes from the one of least key.
+    A pair of several common buckets comes from the one of least key; where one of the two is the pivot there, it is judged already.
     A bucket's rows and those that are compared with them are both cut into blocks, and each pair of blocks is a key of its own.
     """
-    counts = labelled.groupBy("key", "component").agg(F.count("*").alias("many"))
-    main = counts.groupBy("key").agg(F.max_by("component", F.struct("many", "component")).alias("main"), F.sum("many").alias("many"), F.max("many").alias("of_main"))
-    rows = labelled.drop("many").join(main, "key").join(classes.select("rep", "bands", "sketch"), "rep").withColumn("asking", F.col("many") - F.col("of_main"))
     asking = rows.where("component <> main").join(main_counts(rows, sets), ["rep", "main"], "left")
     asking = asking.withColumns({"q_block": own_block(F.col("rep"), F.col("asking")), "block": all_blocks(F.col("many"))})
     asking = asking.select("key", "block", "q_block", *[F.col(c).alias(f"q_{c}") for c in ("rep", "n", "cross", "component", "held", "bands", "sketch")])
@@ -218,25 +224,22 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     signed = checkpointed(signatures(rows))
     classes = signed.where("n > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = checkpointed(classes)
-    members = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    members = checkpointed(members.join(shared, "key"))
-    popular = members.groupBy("rep").agg(F.sum("many").alias("popularity"))
-    members = checkpointed(members.join(popular, "rep").select("key", "rep", "n", "many", "popularity"))
-    sketches = classes.select("rep", "sketch")
+    keyed = classes.select("rep", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    members = keyed.join(shared, "key").groupBy("rep").agg(F.collect_list(F.struct("key", "many")).alias("buckets"), F.sum("many").alias("popularity"))  # at most BANDS a row
+    members = checkpointed(members.join(classes.select("rep", "n", "sketch"), "rep"))
     texts = packed(rows.withColumn("rest", F.struct(F.lit(0).alias("none"))))
-    sets = checkpointed(shingle_sets(texts.join(popular.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")))
-
-    tried = checkpointed(by_sketch(by_pivot(members, threshold), sketches))
-    edges = checkpointed(confirmed(tried, sets, threshold))
-    parts = components(edges)
-    labelled = members.drop("popularity").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    labelled = checkpointed(labelled.join(mixed, "key", "left_semi"))
-
-    labelled = checkpointed(labelled.join(cross_counts(labelled, sets), "rep").where(F.col("cross") * 100 >= F.col("n") * threshold))
-    second = across(labelled, sets, classes, threshold).join(tried, ["a", "b"], "left_anti")
-    parts = components(edges.unionByName(confirmed(second, sets, threshold)))
+    sets = checkpointed(shingle_sets(texts.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")))
+
+    buckets = members.select("rep", "n", "sketch", "popularity", F.inline("buckets"))
+    rest = checkpointed(by_pivot(buckets, threshold))
+    tried = rest.where("pivot is not null").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+    parts = components(confirmed(tried.distinct(), sets, threshold))
+    open_ = checkpointed(in_several(rest.where("many > 2").select("key", "rep", "n", "sketch"), parts))
+    more = cross_counts(open_, sets).join(members.select("rep", F.col("buckets.key").alias("bands")), "rep")
+    open_ = checkpointed(open_.join(more, "rep").where(F.col("cross") * 100 >= F.col("n") * threshold))
+    second = confirmed(across(open_, sets, threshold).join(tried, ["a", "b"], "left_anti"), sets, threshold)
+    parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
 
     owners = classes.select("set_a", "set_b", "rep").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n", "set_a", "set_b").join(owners, ["set_a", "set_b"], "left")

@@ -9,6 +9,9 @@ import numpy as np
 
 from colloquy.llm import neardup, repeats
 
+#: More stages than near duplicates take; each deals its rows out to as many tasks as the session has partitions.
+STAGES = 175
+
 
 def shingle_set(text):
     words = (text or "").encode().lower().split()
@@ -51,6 +54,24 @@ def test_near_duplicates_equal_brute_force(docs, texts):
     assert found == classes(texts)
 
 
+def test_pairs_with_a_pivot_are_judged_once(spark):
+    rows = [(k, r, 10, [r] * 8, p) for k, members in ((1, (1, 2, 3)), (2, (4, 5))) for r, p in zip(members, (9, 5, 5), strict=False)]
+    buckets = spark.createDataFrame([(k, r, n, s, p, 3 if k == 1 else 2) for k, r, n, s, p in rows], "key long, rep long, n long, sketch array<long>, popularity long, many long")
+    found = neardup.by_pivot(buckets, 75).select("key", "rep", "many").collect()
+    assert sorted(map(tuple, found)) == [(1, 2, 3), (1, 3, 3), (2, 5, 2)]
+
+
+def test_near_duplicates_take_few_stages(spark, docs):
+    spark.sparkContext.setJobGroup("near duplicates", "")
+    try:
+        assert neardup.near_duplicates(docs).count()
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("near duplicates") for s in tracker.getJobInfo(j).stageIds}
+        assert len(stages) < STAGES, len(stages)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_near_duplicates_of_nothing(empty):
     assert neardup.near_duplicates(empty).count() == 0
 
