@@ -292,8 +292,8 @@ class Solved:
         return self.pool[np.repeat(self.ends[numbers] - total + own, own) + np.arange(total[-1] if len(total) else 0)], own
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """(id, token_ids, n_tokens, n_byte_tokens) of each row."""
+def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", id_column: str = "doc_id", decoded: bool = False) -> DataFrame:
+    """(id, token_ids, n_tokens, n_byte_tokens) of each row; if decoded, with text from its token ids by the same worker, since a step of its own holds a second one."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,31 +320,33 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", id_column:
                 column = list_column(ids, n, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("id"), column, pa.array(n), pa.array(fallback, pa.int64())], ["id", "token_ids", "n_tokens", "n_byte_tokens"])
 
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return with_texts(run(batches), shared.value)
+
     kind = df.schema[id_column].dataType.simpleString()
-    out = df.select(F.col(id_column).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, token_ids array<int>, n_tokens bigint, n_byte_tokens bigint")
+    out = df.select(F.col(id_column).alias("id"), F.col(text).alias("text")).mapInArrow(both if decoded else run, f"id {kind}, token_ids array<int>, n_tokens bigint, n_byte_tokens bigint" + ", text string" * decoded)
     return out.withColumnRenamed("id", id_column)
 
 
+def with_texts(batches: Iterator[pa.RecordBatch], v: Vocabulary, token_ids: str = "token_ids") -> Iterator[pa.RecordBatch]:
+    """The batches, cut into slices, with the text of their token ids."""
+    for batch in batches:
+        count = next(n for n in map("_n{}".format, range(len(batch.schema) + 1)) if n not in batch.schema.names)
+        sizes = pc.fill_null(pc.list_value_length(batch.column(token_ids)), 0).cast(pa.int64())
+        marked = pa.RecordBatch.from_arrays([*batch.columns, sizes], [*batch.schema.names, count])
+        for part in text_slices([marked], count, SLICE // 4):
+            ids = [y.values.to_numpy(zero_copy_only=False) if y.is_valid else None for y in part.column(token_ids)]
+            texts = [None if x is None else v.decode(x)[1:].tobytes().decode(errors="replace") for x in ids]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+
+
 def decode(df: DataFrame, vocabulary: Vocabulary, token_ids: str = "token_ids") -> DataFrame:
     """All columns of df, and text from its token ids."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     df = df.drop("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        for batch in batches:
-            count = next(n for n in map("_n{}".format, range(len(batch.schema) + 1)) if n not in batch.schema.names)
-            sizes = pc.fill_null(pc.list_value_length(batch.column(token_ids)), 0).cast(pa.int64())
-            marked = pa.RecordBatch.from_arrays([*batch.columns, sizes], [*batch.schema.names, count])
-            for part in text_slices([marked], count, SLICE // 4):
-                ids = [y.values.to_numpy(zero_copy_only=False) if y.is_valid else None for y in part.column(token_ids)]
-                texts = [None if x is None else v.decode(x)[1:].tobytes().decode(errors="replace") for x in ids]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names, "text"])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("text", T.StringType())]))
+    return df.mapInArrow(lambda batches: with_texts(batches, shared.value, token_ids), T.StructType([*df.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = Vocabulary.load()
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
-    return decode(encoded, vocabulary).select("doc_id", "n_tokens", "n_byte_tokens", "token_ids", F.sha2("text", 256).alias("decoded_sha256"))
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, decoded=True).select("doc_id", "n_tokens", "n_byte_tokens", "token_ids", F.sha2("text", 256).alias("decoded_sha256"))

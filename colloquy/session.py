@@ -19,6 +19,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Bytes of a batch of rows on the way to Python or back, where the session sets none.
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the batches that Python workers get by their bytes.
+
+    Spark's own bounds, 10,000 rows and 64 MB, let the memory of a worker, and the buffers beside its executor's heap,
+    grow with the length of the texts.  No row is left out, and a longer row comes alone.  What the session sets holds.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, spark.conf.get(name, BATCH_BYTES))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder.
 
@@ -28,6 +42,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark.colloquy.collectAfterCheckpoint = false leaves that to Spark's own cleaner.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import checkpointed, document_keys, table
 from colloquy.llm.mixing import mix
 from colloquy.llm.neardup import near_duplicates
-from colloquy.llm.pieces import Vocabulary, decode, encode
+from colloquy.llm.pieces import Vocabulary, encode
 from colloquy.llm.quality import quality
 from colloquy.llm.repeats import remove_repeats
 
@@ -77,7 +77,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, and the text that they decode to; null ids for a null text."""
     vocabulary = Vocabulary.load()
-    return decode(encode(docs, vocabulary), vocabulary)
+    return encode(docs, vocabulary, decoded=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -81,3 +81,19 @@ def test_pieces_decode_to_the_text(spark, odd_docs):
     found = STAGES["pieces"](spark, odd_docs, SF).collect()
     assert {(r.doc_id, r.text) for r in found} == given and len(found) == 13
     assert all((r.token_ids is None) == (r.text is None) for r in found)
+
+
+def test_each_task_of_pieces_holds_one_worker(spark, odd_docs, capsys):
+    STAGES["pieces"](spark, odd_docs, SF).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
+def test_batches_are_bounded_by_bytes(spark, odd_docs):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    table(spark, SF, "documents")
+    assert spark.conf.get(name) == "4m"
+    spark.conf.set(name, "1m")
+    table(spark, SF, "documents")
+    assert spark.conf.get(name) == "1m"
+    spark.conf.unset(name)
