@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import scalars as S
 from ..model import CONVERSATION, RUN
 from ..operators.checks import file_path
+from ..session import bounded_batches
 
 FILES = "*.{jsonl,txt}"
 #: Folders beside those of the sources.
@@ -43,6 +44,7 @@ def read_lines(spark: SparkSession, root: str, source: str | None = None, paths:
     Files are read in splits; a line's number comes from the order of the splits
     of its file and of the lines in them.  With `paths`, only these files are read, named as in output_path.
     """
+    bounded_batches(spark)  # lines are as long as their conversations
     own = [urllib.parse.unquote(p) for p in paths] if paths else f"{root}/{source or '*'}/{FILES}"
     lines = spark.read.text(own).select(
         F.col("_metadata.file_path").alias("output_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_order"), F.col("value").alias("line")
@@ -93,6 +95,7 @@ def write_archive(conversations: DataFrame, root: str, source_column: str = "sou
     write of a file.  Rows without a source are an error.
     """
     spark = conversations.sparkSession
+    bounded_batches(spark)
     rows = json_line(conversations.withColumn("source", F.col(source_column)))
     named = F.coalesce(F.col("source"), F.raise_error(F.lit("a conversation without source cannot be written")).cast("string"))
     jvm = spark._jvm

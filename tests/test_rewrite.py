@@ -221,3 +221,14 @@ def test_memory_of_one_run(spark, root, tmp_path):
     (line,) = spark.read.text(str(tmp_path / "memory" / "memory-records")).collect()
     assert json.loads(line.value)["transcript_text"] == "user: Hello\n\nassistant: Straße"
     assert json.loads((tmp_path / "memory" / "memory-export-manifest.json").read_text())["filters"]["run_id"] == "r1"
+
+
+def test_lines_reach_python_in_batches_of_bounded_bytes(spark, tmp_path):
+    from colloquy.sources.archive import read_lines
+
+    (tmp_path / "src0").mkdir()
+    (tmp_path / "src0" / "a.jsonl").write_text('{"a": 1}\n')
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    assert read_lines(spark, str(tmp_path)).count() == 1
+    assert spark.conf.get(name) == "4m"
