@@ -107,9 +107,15 @@ def incremental_merge(existing: DataFrame, incoming: DataFrame, exact: Column) -
     Rows are grouped as by `linked`, and equal rows without identity too.  The
     richest incoming row of a group goes in if it is strictly richer than all
     existing ones, which it then supersedes.
+
+    Rows are read once, for their ids and measures; what follows sees no messages.  `exact` is
+    taken of rows without identity only: others hand it null messages.
     """
     both = existing.withColumn("_new", F.lit(False)).unionByName(incoming.withColumn("_new", F.lit(True)))
-    rows = linked(candidates(both).withColumn("source_artifact_path", F.when(F.coalesce(S.identity(F.col("source_session_id")), S.identity(F.col("source_artifact_path"))).isNull(), F.concat(F.lit("exact:"), exact)).otherwise(F.col("source_artifact_path"))))
+    lacking = F.coalesce(S.identity(F.col("source_session_id")), S.identity(F.col("source_artifact_path"))).isNull()
+    found = candidates(both).withColumn("_lacking", lacking).withColumn("messages", F.when(F.col("_lacking"), F.col("messages")))
+    named = found.withColumn("source_artifact_path", F.when(F.col("_lacking"), F.concat(F.lit("exact:"), exact)).otherwise(F.col("source_artifact_path")))
+    rows = linked(checkpointed(named.select("source", "output_path", "row_number", "_new", "source_session_id", "source_artifact_path", "richness", "selection")))
     groups = rows.groupBy("source", "component").agg(
         F.max(F.when(F.col("_new"), F.col("selection"))).alias("_winner"), F.max(F.when(~F.col("_new"), F.col("richness"))).alias("_richest"),
     )

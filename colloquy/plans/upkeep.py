@@ -11,7 +11,7 @@ from ..operators import verify as V
 from ..operators.runs import latest_runs
 from ..session import checkpointed
 from ..sources import archive as files
-from ..sources.batch import write_incremental
+from ..sources.batch import write_incremental_sources
 from ..sources.collectors import provider_candidates, provider_class
 from ..sources.index import ensure_index, read_index
 from . import views
@@ -39,8 +39,7 @@ def incremental_collect(spark, sf_dir):
     old, new = _halves(spark, sf_dir)
     with scratch(spark) as root:
         files.write_archive(old, root)
-        for source in sorted(r.source for r in new.select("source").distinct().collect()):  # a handful of stores
-            write_incremental(spark, root, source, new.where(F.col("source") == source), "2024-03-01T00:00:00Z")
+        write_incremental_sources(spark, root, new, "2024-03-01T00:00:00Z")
         rows = files.read_archive(spark, root, include_superseded=True)
         return checkpointed(rows.select("source", F.sha2(S.transcript(F.col("messages")), 256).alias("transcript_sha256"), (~S.is_active(F.col("superseded_at"))).alias("superseded")))
 

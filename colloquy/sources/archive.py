@@ -38,14 +38,14 @@ def numbered(lines: DataFrame, path: str, name: str) -> DataFrame:
     return lines.withColumn(name, inside).join(starts, [path, "_block"]).withColumn(name, (F.col(name) + F.col("_start")).cast("bigint")).drop("_start")
 
 
-def read_lines(spark: SparkSession, root: str, source: str | None = None, paths: list[str] | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, root: str, source: str | list[str] | None = None, paths: list[str] | None = None) -> DataFrame:
     """(source_dir, output_path, row_number, line): all lines, numbered from 1 within their file.
 
     Files are read in splits; a line's number comes from the order of the splits
-    of its file and of the lines in them.  With `paths`, only these files are read, named as in output_path.
+    of its file and of the lines in them.  Of `source`, one or several may be named.  With `paths`, only these files are read, named as in output_path.
     """
     bounded_batches(spark)  # lines are as long as their conversations
-    own = [urllib.parse.unquote(p) for p in paths] if paths else f"{root}/{source or '*'}/{FILES}"
+    own = [urllib.parse.unquote(p) for p in paths] if paths else [f"{root}/{s}/{FILES}" for s in (source if isinstance(source, list) else [source or "*"])]
     lines = spark.read.text(own).select(
         F.col("_metadata.file_path").alias("output_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_order"), F.col("value").alias("line")
     )
@@ -76,15 +76,20 @@ def invalid_rows(lines: DataFrame) -> DataFrame:
     return rows.select("source_dir", "output_path", "row_number", F.explode(reasons).alias("reason"))
 
 
-def read_archive(spark: SparkSession, root: str, source: str | None = None, strict: bool = True, include_superseded: bool = False) -> DataFrame:
+def read_archive(spark: SparkSession, root: str, source: str | list[str] | None = None, strict: bool = True, include_superseded: bool = False) -> DataFrame:
     rows = parsed(read_lines(spark, root, source), strict)
     return rows if include_superseded else rows.where(S.is_active(F.col("superseded_at")))
 
 
-def json_line(df: DataFrame, names: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
-    """(source, line): the canonical JSON of each row, with the columns to keep."""
-    own = [n for n in (names or [f.name for f in T._parse_datatype_string(CONVERSATION).fields]) if n in df.columns]
-    return df.select("source", *(keep or []), S.conversation_json(*own).alias("line"))
+def conversation_names() -> list[str]:
+    """Names of a row's fields."""
+    return [f.name for f in T._parse_datatype_string(CONVERSATION).fields]
+
+
+def json_line(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(source, line): the canonical JSON of each row."""
+    own = [n for n in (names or conversation_names()) if n in df.columns]
+    return df.select("source", S.conversation_json(*own).alias("line"))
 
 
 def write_archive(conversations: DataFrame, root: str, source_column: str = "source") -> None:
@@ -101,6 +106,12 @@ def write_archive(conversations: DataFrame, root: str, source_column: str = "sou
     jvm = spark._jvm
     staging = jvm.org.apache.hadoop.fs.Path(f"{root}/.staging-{uuid.uuid4().hex}")
     rows.select(named.alias("source_dir"), "line").write.partitionBy("source_dir").text(staging.toString())
+    place_staged(spark, root, staging)
+
+
+def place_staged(spark: SparkSession, root: str, staging) -> None:
+    """Move files that were written by source_dir from a staging folder into the archive's folders."""
+    jvm = spark._jvm
     fs = staging.getFileSystem(spark._jsc.hadoopConfiguration())
     for folder in fs.listStatus(staging):
         name = folder.getPath().getName()

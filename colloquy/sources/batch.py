@@ -12,21 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..model import RUN
+from ..model import CONVERSATION, RUN
 from ..operators import identity as I
 from ..operators.memory import redacted_conversations
 from ..session import checkpointed
-from .archive import json_line, parsed, read_archive, read_lines, write_archive
+from .archive import FILES, conversation_names, place_staged, read_archive, read_lines, write_archive
 from .collectors import SOURCES, candidates, matching, selected
 
 #: Fixed value: the form of times in an archive.
 TIME = "%Y-%m-%dT%H:%M:%SZ"
 
 
-def mark_superseded(spark: SparkSession, root: str, source: str, rows: DataFrame, moment: str) -> None:
+def mark_superseded(spark: SparkSession, root: str, rows: DataFrame, moment: str) -> None:
     """Rewrite the files that hold the rows (output_path, row_number), with superseded_at set on these; other lines stay as they are.
 
-    All files go through one job, a large file as several ordered parts.  New files are
+    All files of all sources go through one job, a large file as several ordered parts.  Lines are
+    read once, and put in order before they are changed, so that no line is changed twice.  New files are
     in place before old ones are deleted: after a break between the two, rows stand
     twice, never nowhere, and `identity_audit` shows them.
     """
@@ -34,37 +35,44 @@ def mark_superseded(spark: SparkSession, root: str, source: str, rows: DataFrame
     old = [r.output_path for r in marks.select("output_path").distinct().collect()]
     if not old:
         return
-    lines = read_lines(spark, root, paths=old)
-    marked = json_line(parsed(lines.join(marks, ["output_path", "row_number"], "left_semi")).withColumn("superseded_at", F.lit(moment)), keep=["output_path", "row_number"])
-    both = lines.join(marked.select("output_path", "row_number", F.col("line").alias("_new")), ["output_path", "row_number"], "left")
-    ordered = both.repartitionByRange("output_path", "row_number").sortWithinPartitions("output_path", "row_number").select(F.coalesce("_new", "line").alias("value"))
-    jvm = spark._jvm
-    folder, staging = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{root}/{source}", f"{root}/.staging-{uuid.uuid4().hex}"))
-    ordered.write.text(staging.toString())
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for file in fs.listStatus(staging):
-        if file.getPath().getName().startswith("part-") and not fs.rename(file.getPath(), jvm.org.apache.hadoop.fs.Path(folder, file.getPath().getName())):
-            raise OSError(f"cannot move {file.getPath()} to {folder}")
+    keys, place = ["source_dir", "output_path", "row_number"], ["output_path", "row_number"]
+    lines = read_lines(spark, root, paths=old).join(marks.withColumn("_hit", F.lit(True)), place, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    rows = lines.repartitionByRange(*keys).select(*keys, "line", "_hit", F.from_json(F.when(F.col("_hit"), F.col("line")), CONVERSATION).alias("_row")).select(*keys, "line", "_hit", "_row.*")
+    made = rows.withColumn("superseded_at", F.when(F.col("_hit"), F.lit(moment))).select(*keys, "line", "_hit", S.conversation_json(*conversation_names()).alias("_new"))
+    ordered = made.sortWithinPartitions(*keys).select("source_dir", F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("line")).alias("value"))
+    staging = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/.staging-{uuid.uuid4().hex}")
+    ordered.write.partitionBy("source_dir").text(staging.toString())
+    place_staged(spark, root, staging)
+    fs = staging.getFileSystem(spark._jsc.hadoopConfiguration())
     for path in old:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(urllib.parse.unquote(path)), False)
-    fs.delete(staging, True)
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(urllib.parse.unquote(path)), False)
 
 
 def write_incremental(spark: SparkSession, root: str, source: str, incoming: DataFrame, moment: str) -> dict[str, int]:
-    """Merge conversations of one source into the archive: new rows are appended before those they supersede are marked. Returns the counts."""
-    placed = incoming.withColumns({"source_dir": F.lit(source), "output_path": F.lit("incoming"), "row_number": F.monotonically_increasing_id()})
+    """Merge conversations of one source into the archive, as `write_incremental_sources` does. Returns the counts."""
+    return write_incremental_sources(spark, root, incoming, moment).get(source, dict.fromkeys(("conversation_count", "message_count", "written_conversation_count", "upgraded_conversation_count", "skipped_conversation_count"), 0))
+
+
+def write_incremental_sources(spark: SparkSession, root: str, incoming: DataFrame, moment: str) -> dict[str, dict[str, int]]:
+    """Merge conversations of any sources into the archive, all in the same jobs: new rows are appended before those they supersede are marked. Returns the counts by source."""
+    placed = incoming.withColumns({"source_dir": F.col("source"), "output_path": F.lit("incoming"), "row_number": F.monotonically_increasing_id()})
     rows = checkpointed(placed)  # their numbers and times must not change between the steps
-    has = matching(spark, [f"{root}/{source}/*"])
-    existing = read_archive(spark, root, source, strict=False).drop("line") if has else rows.where("false")
+    totals = rows.groupBy("source").agg(F.count("*").alias("conversation_count"), F.coalesce(F.sum(F.size("messages")), F.lit(0)).alias("message_count"))
+    counts = {r.source: r.asDict() for r in totals.collect()}  # one row a source
+    held = [s for s in sorted(s for s in counts if s is not None) if matching(spark, [f"{root}/{s}/{FILES}"])]
+    existing = read_archive(spark, root, held, strict=False).drop("line") if held else rows.where("false")
     decided = checkpointed(I.incremental_merge(existing, rows.select(*existing.columns), S.message_fingerprint(F.col("messages"))))
-    n = {r.decision: r["count"] for r in decided.groupBy("decision").count().collect()}
-    taken = decided.where("decision in ('insert', 'upgrade')").select("row_number")
-    if n.get("insert", 0) + n.get("upgrade", 0):
-        write_archive(rows.join(taken, "row_number", "left_semi"), root)
-    if n.get("supersede"):
-        mark_superseded(spark, root, source, decided.where("decision = 'supersede'"), moment)
-    totals = rows.agg(F.count("*").alias("conversation_count"), F.coalesce(F.sum(F.size("messages")), F.lit(0)).alias("message_count")).first().asDict()
-    return totals | {"written_conversation_count": n.get("insert", 0) + n.get("upgrade", 0), "upgraded_conversation_count": n.get("upgrade", 0), "skipped_conversation_count": n.get("skip", 0)}
+    n = {(r.source, r.decision): r["count"] for r in decided.groupBy("source", "decision").count().collect()}
+    made = {decision for _, decision in n}
+    if made & {"insert", "upgrade"}:
+        write_archive(rows.join(decided.where("decision in ('insert', 'upgrade')").select("row_number"), "row_number", "left_semi"), root)
+    if "supersede" in made:
+        mark_superseded(spark, root, decided.where("decision = 'supersede'"), moment)
+    for source, own in counts.items():
+        del own["source"]
+        new, better, poorer = (n.get((source, decision), 0) for decision in ("insert", "upgrade", "skip"))
+        own |= {"written_conversation_count": new + better, "upgraded_conversation_count": better, "skipped_conversation_count": poorer}
+    return counts
 
 
 def write_manifest(spark: SparkSession, root: str, run: dict) -> str:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from colloquy.operators import identity
 from colloquy.sources import batch as B
 from colloquy.sources.archive import read_archive
 from colloquy.streaming import incremental as I
@@ -63,3 +65,34 @@ def test_a_batch_that_comes_twice_changes_nothing(spark, tmp_path, monkeypatch):
         I.merge_batch(rows, 0, broken, "m", "2024-02-01T00:00:00Z")
     monkeypatch.setattr(I, "write_incremental", B.write_incremental)
     assert I.merge_batch(rows, 0, broken, "m", "2024-02-01T00:00:00Z") and held(spark, broken, every=True) == before
+
+
+def test_sources_are_merged_in_the_same_jobs(spark, tmp_path, monkeypatch):
+    root, found, calls = tmp_path / "archive", identity.components, []
+    for source, lines in (("alpha", [row("s1", "a"), "no json", row("s3", "z")]), ("beta", [row("s2", "b", source="beta")])):
+        (root / source).mkdir(parents=True)
+        (root / source / "1.jsonl").write_text("".join(f"{x}\n" for x in lines))
+    (tmp_path / "in" / "mixed").mkdir(parents=True)
+    (tmp_path / "in" / "mixed" / "1.jsonl").write_text("\n".join([row("s1", "a", "b"), row("s2", "b", source="beta"), row("s9", "n", source="beta"), row("s1", "c", source="gamma")]) + "\n")
+    monkeypatch.setattr(identity, "components", lambda edges: calls.append(1) or found(edges))
+    counts = B.write_incremental_sources(spark, str(root), read_archive(spark, str(tmp_path / "in")).drop("line"), "2024-02-01T00:00:00Z")
+    assert len(calls) == 1
+    assert {s: tuple(n.values()) for s, n in counts.items()} == {"alpha": (1, 2, 1, 1, 0), "beta": (2, 2, 1, 0, 1), "gamma": (1, 1, 1, 0, 0)}
+    rows = read_archive(spark, str(root), strict=False, include_superseded=True).collect()
+    assert sorted((r.source, r.source_session_id, len(r.messages), r.superseded_at) for r in rows if r.superseded_at) == [("alpha", "s1", 1, "2024-02-01T00:00:00Z")]
+    assert sorted((r.source, r.source_session_id, len(r.messages)) for r in rows if not r.superseded_at) == [("alpha", "s1", 2), ("alpha", "s3", 1), ("beta", "s2", 1), ("beta", "s9", 1), ("gamma", "s1", 1)]
+    kept = [x for p in sorted((root / "alpha").glob("part-*")) for x in p.read_text().splitlines() if x in ("no json", row("s3", "z"))]
+    assert kept == ["no json", row("s3", "z")]  # in their order, as they were
+    assert (root / "beta" / "1.jsonl").exists() and not (root / "alpha" / "1.jsonl").exists()
+
+
+def test_a_merge_reads_each_row_once(spark, tmp_path):
+    (tmp_path / "alpha").mkdir()
+    (tmp_path / "alpha" / "1.jsonl").write_text("".join(f"{x}\n" for x in (row("s1", "a"), row(None, "x"), row("s1", "a", "b"), row(None, "x"), row(None, "y"))))
+    read, compared = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda text: read.add(1) or text, "string").asNondeterministic()
+    printed = F.udf(lambda messages: compared.add(int(messages is not None)) or str(messages), "string").asNondeterministic()
+    rows = read_archive(spark, str(tmp_path)).withColumn("collected_at", counted("collected_at"))
+    decided = identity.incremental_merge(rows.where("row_number <= 2"), rows.where("row_number > 2"), printed("messages"))
+    assert sorted((r.row_number, r.decision) for r in decided.collect()) == [(1, "supersede"), (2, "keep"), (3, "upgrade"), (4, "skip"), (5, "insert")]
+    assert (read.value, compared.value) == (10, 3)  # the rows are read for either half, and those without identity compared
